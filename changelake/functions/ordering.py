@@ -44,8 +44,10 @@ def neighbour(df: DataFrame, group: Sequence[str], order: Sequence[str], value:
     """``value`` (not NULL) of the next row of the group, or of the previous one for ``step=-1``."""
     move, edge = (F.lead, F.min_by) if step > 0 else (F.lag, F.max_by)
     group, order = list(group), list(order)
+    columns = [*df.columns, out]
     small, large = _split(df, group, hot_rows)
-    result = small.withColumn(out, move(value).over(W.partitionBy(*group).orderBy(*order)))
+    result = small.withColumn(
+        out, move(value).over(W.partitionBy(*group).orderBy(*order))).select(*columns)
     if large is None:
         return result
     sliced = _slices(large, group, order)
@@ -64,13 +66,13 @@ def running_total(df: DataFrame, group: Sequence[str], order: Sequence[str], mea
 
     ``order`` must be unique within a group.
     """
-    group, order = list(group), list(order)
+    group, order, columns = list(group), list(order), [*df.columns, out]
     small, large = _split(df.withColumn(out, measure), group, hot_rows)
 
     def so_far(*keys: str):
         return W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
 
-    result = small.withColumn(out, F.sum(out).over(so_far(*group)))
+    result = small.withColumn(out, F.sum(out).over(so_far(*group))).select(*columns)
     if large is None:
         return result
     sliced = _slices(large, group, order)

@@ -1,88 +1,116 @@
 """Positional text tuples to typed columns, and the rows that do not fit.
 
-Rows come from ``bind_relation``: each has the ``relation`` that names its tuple's positions.
+Each row is first bound to the version of its table that was in force at its position.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from changelake.functions.types import decode_binary, decode_text
-from changelake.operators.relations import TableShape
+from changelake.operators.relations import TableShape, bind_relation
 from changelake.operators.state import flag
 
 POSITIONS = ["lsn", "seq", "xid", "sub_xid", "kind", "relation_id"]
 
 
-def tuple_map(rows: DataFrame, tuple_column: str = "new_cols") -> Column:
-    """The tuple as a map from column name to (kind, text)."""
+def tuple_map(tuple_column: str = "new_cols") -> Column:
+    """A tuple as a map from column name to (kind, text), for tables without a fixed shape."""
     names = F.transform("relation.columns", lambda c: c.getField("name"))
     return F.map_from_arrays(names, tuple_column)
 
 
-def _element(tuple_column: str, name: str) -> Column:
-    """(kind, text) of a named column; NULL if this version of the table lacks it."""
-    at = F.array_position(F.transform("relation.columns", lambda c: c.getField("name")), F.lit(name))
-    return F.when(at > 0, F.get(tuple_column, (at - 1).cast("int")))
+def bind(rows: DataFrame, versions: DataFrame, shape: TableShape) -> DataFrame:
+    """Rows of one table with ``at``: where each of the shape's columns sits in the tuple.
+
+    The places are worked out once per version, not per row; a column that a version lacks has
+    no place, and reads as NULL.
+    """
+    names = F.transform("relation.columns", lambda c: c.getField("name"))
+    wanted = F.array(*[F.lit(c) for c in shape.types])
+    own = versions.where((F.col("relation.namespace") == shape.namespace)
+                         & (F.col("relation.name") == shape.name))
+    placed = own.select(
+        "relation_id", "valid_from", "valid_to", F.size("relation.columns").alias("width"),
+        F.transform(wanted, lambda n: (F.nullif(F.array_position(names, n), F.lit(0)) - 1)
+                    .cast("int")).alias("at"))
+    return bind_relation(rows, placed)
 
 
 def to_columns(rows: DataFrame, shape: TableShape) -> DataFrame:
-    """Typed columns of one table, ``<column>_f`` for those that may come unchanged,
-    ``old_<key>`` for updates that send the old key, and ``reasons``: why a row is unfit."""
-    rows = rows.withColumns(
-        {f"_t_{c}": _element("new_cols", c) for c in shape.types}
-        | {f"_o_{k}": _element("old_cols", k) for k in shape.keys})
+    """Typed columns of one table, ``<column>_f`` for those that may come unchanged, and
+    ``old_<key>`` for updates that send the old key. ``unfit`` is the first reason why a row
+    cannot be used (NULL if it can) and ``reasons`` are all of them."""
     deleted = F.col("kind") == "delete"
-    out: dict[str, Column] = {}
-    reasons: list[Column] = []
-    for name, data_type in shape.types.items():
-        # A delete names its row by the old tuple.
-        cell = F.col(f"_t_{name}")
+    cells: dict[str, Column] = {}
+    for i, name in enumerate(shape.types):
+        place = F.get("at", F.lit(i))
+        cells[f"_t_{name}"] = F.get("new_cols", place)
         if name in shape.keys:
-            cell = F.when(deleted, F.coalesce(F.col(f"_o_{name}"), cell)).otherwise(cell)
-        kind, text = cell.getField("f"), cell.getField("v")
-        value = (F.when(kind == "t", decode_text(text, data_type))
-                 .when(kind == "b", decode_binary(text, data_type)))
-        out[name] = value.cast(data_type)
-        if name in shape.carried and name not in shape.keys:
-            out[flag(name)] = F.coalesce(F.when(deleted, "n").otherwise(kind), F.lit("n"))
-        reasons.append(F.when(~kind.isin("n", "t", "b", "u"), F.lit(f"bad_kind:{name}")))
-        reasons.append(F.when(text.isNotNull() & kind.isin("t", "b") & value.isNull(),
-                              F.lit(f"bad_value:{name}")))
-        if name in shape.required and name not in shape.keys:
-            reasons.append(F.when(~deleted & (F.coalesce(kind, F.lit("n")) == "n"),
-                                  F.lit(f"not_null:{name}")))
+            # A delete names its row by the old tuple.
+            cells[f"_o_{name}"] = F.get("old_cols", place)
+            cells[f"_t_{name}"] = F.when(
+                deleted, F.coalesce(cells[f"_o_{name}"], cells[f"_t_{name}"])
+            ).otherwise(cells[f"_t_{name}"])
+    rows = rows.withColumns(cells)
+    typed: dict[str, Column] = {}
+    for name, data_type in shape.types.items():
+        kind, text = F.col(f"_t_{name}.f"), F.col(f"_t_{name}.v")
+        typed[name] = _decoded(kind, text, data_type)
+        if name in shape.carried_values:
+            typed[flag(name)] = F.when(deleted, "n").otherwise(F.coalesce(kind, F.lit("n")))
+    for key in shape.keys:
+        old = F.when(F.col("kind") == "update", F.col(f"_o_{key}.v"))
+        typed[f"old_{key}"] = _decoded(F.col(f"_o_{key}.f"), old, shape.types[key])
+    rows = rows.withColumns(typed)
+    found = _reasons(shape)
+    kept = [c for c in [*POSITIONS, "commit_lsn"] if c in rows.columns]
+    return rows.select(*kept, *typed, F.coalesce(*found).alias("unfit"),
+                       F.array_compact(F.array(*found)).alias("reasons"))
+
+
+def _decoded(kind: Column, text: Column, data_type: T.DataType) -> Column:
+    value = F.when(kind == "t", decode_text(text, data_type))
+    return value.when(kind == "b", decode_binary(text, data_type)).cast(data_type)
+
+
+def _reasons(shape: TableShape) -> list[Column]:
+    """One reason or NULL per column, and those that concern the whole row."""
+    row = F.col("kind").isin("insert", "update", "delete")
+    deleted = F.col("kind") == "delete"
+    found = []
+    for name in shape.types:
+        kind = F.coalesce(F.col(f"_t_{name}.f"), F.lit("n"))
+        lost = F.col(name).isNull() & F.col(f"_t_{name}.v").isNotNull()
+        reason = F.when(~row, None).when(~kind.isin("n", "t", "b", "u"), f"bad_kind:{name}")
+        reason = reason.when(kind.isin("t", "b") & lost, f"bad_value:{name}")
         if name in shape.keys:
-            reasons.append(F.when(F.coalesce(kind, F.lit("n")).isin("n", "u"), F.lit(f"no_key:{name}")))
+            reason = reason.when(kind.isin("n", "u"), f"no_key:{name}")
+        elif name in shape.required:
+            reason = reason.when(~deleted & (kind == "n"), f"not_null:{name}")
+        found.append(reason)
+    moved, unchanged = F.lit(False), F.lit(False)
     for key in shape.keys:
-        old = F.col(f"_o_{key}")
-        out[f"old_{key}"] = F.when(
-            (F.col("kind") == "update") & (old.getField("f") == "t"),
-            decode_text(old.getField("v"), shape.types[key])).cast(shape.types[key])
-    unchanged = F.lit(False)
+        old = F.col(f"old_{key}")
+        moved = moved | (old.isNotNull() & ~old.eqNullSafe(F.col(key)))
     for name in shape.carried_values:
-        unchanged = unchanged | (out[flag(name)] == "u")
-    moved = F.lit(False)
-    for key in shape.keys:
-        moved = moved | (out[f"old_{key}"].isNotNull() & ~out[f"old_{key}"].eqNullSafe(out[key]))
-    reasons.append(F.when(moved & unchanged, F.lit("unchanged_on_key_change")))
-    wide = F.size("new_cols") != F.size("relation.columns")
-    reasons.append(F.when(F.col("new_cols").isNotNull() & wide, F.lit("tuple_width")))
-    is_row = F.col("kind").isin("insert", "update", "delete")
-    found = F.when(is_row, F.array_compact(F.array(*reasons))).otherwise(F.array().cast("array<string>"))
-    kept = [c for c in [*POSITIONS, "commit_lsn"] if c in rows.columns]
-    return rows.select(*kept, *[c.alias(n) for n, c in out.items()], found.alias("reasons"))
+        unchanged = unchanged | (F.col(flag(name)) == "u")
+    found.append(F.when(row & moved & unchanged, F.lit("unchanged_on_key_change")))
+    found.append(F.when(row & F.col("new_cols").isNotNull() & (F.size("new_cols") != F.col("width")),
+                        F.lit("tuple_width")))
+    return found
 
 
 def fit(decoded: DataFrame) -> DataFrame:
-    return decoded.where(F.size("reasons") == 0).drop("reasons")
+    return decoded.where("unfit IS NULL").drop("unfit", "reasons")
 
 
 def quarantine(decoded: DataFrame) -> DataFrame:
     """Unfit rows with their reasons."""
     kept = [c for c in [*POSITIONS, "commit_lsn"] if c in decoded.columns]
-    return decoded.where(F.size("reasons") > 0).select(*kept, "reasons")
+    return decoded.where("unfit IS NOT NULL").select(*kept, "reasons")
 
 
 def require_fit(decoded: DataFrame) -> DataFrame:

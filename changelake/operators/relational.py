@@ -31,7 +31,7 @@ def describe(df: DataFrame) -> DataFrame:
 
 def orphans(child: DataFrame, parent: DataFrame, keys: Sequence[tuple[str, str]]) -> DataFrame:
     """Child rows whose (child, parent) key columns match no parent row."""
-    parents = parent.select(*[p for _, p in keys]).distinct()
+    parents = parent.select(*[p for _, p in keys])
     match = None
     for c, p in keys:
         same = child[c] == parents[p]

@@ -53,9 +53,10 @@ def rolled_back(changes: DataFrame) -> DataFrame:
 
 
 def pending(changes: DataFrame) -> DataFrame:
-    """Rows whose transaction has not ended."""
+    """Rows whose transaction has not ended, without parts already rolled back."""
     ended = markers(changes).select("xid")
-    return rows_only(changes).join(sized(ended), "xid", "left_anti")
+    return (rows_only(changes).join(sized(aborted_parts(changes)), ["xid", "sub_xid"], "left_anti")
+            .join(sized(ended), "xid", "left_anti"))
 
 
 def deduplicate(changes: DataFrame) -> DataFrame:
