@@ -22,10 +22,10 @@ SLICE = "_slice"
 def _split(df: DataFrame, group: Sequence[str], hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
     """``df`` without its large groups, and the large groups (None if there are none)."""
     counts = df.groupBy(*group).count().where(F.col("count") > hot_rows)
-    hot = freeze(counts.select(*group))
+    hot = counts.select(*group)
     if hot.isEmpty():
         return df, None
-    hot = sized(hot)
+    hot = sized(freeze(hot))
     return df.join(hot, list(group), "left_anti"), df.join(hot, list(group), "left_semi")
 
 

@@ -103,12 +103,8 @@ def decode_text(value: Column, data_type: T.DataType) -> Column:
 
 
 def decode_binary(value: Column, data_type: T.DataType) -> Column:
-    """Value of a binary-format column, carried as hexadecimal text.
-
-    Its bytes fill binary and text columns; other types have no portable binary form.
-    """
+    """Binary-format bytes, carried as hexadecimal text, for a binary or text column. Other
+    types have no portable binary form, so such a value counts as undecodable."""
     if isinstance(data_type, T.BinaryType):
         return F.unhex(value)
-    if isinstance(data_type, T.StringType):
-        return F.try_validate_utf8(F.unhex(value).cast("string"))
-    return F.lit(None).cast(data_type)
+    return F.try_validate_utf8(F.unhex(value).cast("string"))

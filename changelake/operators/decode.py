@@ -73,7 +73,9 @@ def to_columns(rows: DataFrame, shape: TableShape) -> DataFrame:
 
 def _decoded(kind: Column, text: Column, data_type: T.DataType) -> Column:
     value = F.when(kind == "t", decode_text(text, data_type))
-    return value.when(kind == "b", decode_binary(text, data_type)).cast(data_type)
+    if isinstance(data_type, (T.BinaryType, T.StringType)):
+        value = value.when(kind == "b", decode_binary(text, data_type))
+    return value
 
 
 def _reasons(shape: TableShape) -> list[Column]:
@@ -85,7 +87,7 @@ def _reasons(shape: TableShape) -> list[Column]:
         kind = F.coalesce(F.col(f"_t_{name}.f"), F.lit("n"))
         lost = F.col(name).isNull() & F.col(f"_t_{name}.v").isNotNull()
         reason = F.when(~row, None).when(~kind.isin("n", "t", "b", "u"), f"bad_kind:{name}")
-        reason = reason.when(kind.isin("t", "b") & lost, f"bad_value:{name}")
+        reason = reason.when(lost, f"bad_value:{name}")
         if name in shape.keys:
             reason = reason.when(kind.isin("n", "u"), f"no_key:{name}")
         elif name in shape.required:

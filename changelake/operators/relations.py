@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import types as T
 
 from changelake.functions.ordering import HOT_ROWS, neighbour
 from changelake.functions.types import can_be_unchanged, spark_type, wider
-from changelake.session import BROADCAST_ROWS, fits
+from changelake.session import BROADCAST_ROWS, fits, freeze
 
 SLOTS = 1024
 
@@ -19,15 +20,16 @@ def relation_versions(changes: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame
     """One row per shape: relation_id, relation, valid_from, valid_to (NULL for the newest).
 
     A relation message is sent again in every session, so repeats of the same shape go first.
+    The versions are read several times (shapes, size check, binding), so they are fixed once.
     """
     messages = changes.where("kind = 'relation'").select(
-        "relation_id", "lsn", "seq", "relation", F.hash("relation").alias("_shape"))
+        "relation_id", "lsn", "seq", "relation")
     compared = neighbour(messages.withColumn("_text", F.to_json(F.struct("relation"))),
                          ["relation_id"], ["lsn", "seq"], "_text", "_before", -1, hot_rows)
     shapes = compared.where(~F.col("_text").eqNullSafe(F.col("_before"))).select(
         "relation_id", "relation", F.struct("lsn", "seq").alias("valid_from"))
-    return neighbour(shapes, ["relation_id"], ["valid_from"], "valid_from", "valid_to",
-                     hot_rows=hot_rows)
+    return freeze(neighbour(shapes, ["relation_id"], ["valid_from"], "valid_from", "valid_to",
+                            hot_rows=hot_rows))
 
 
 def bind_relation(changes: DataFrame, versions: DataFrame, keep_unknown: bool = False,
@@ -127,6 +129,21 @@ class TableShape:
             T.StructField(c, t, c not in self.required, {"field_id": i})
             for i, (c, t) in enumerate(self.types.items(), 1)])
 
+    def to_json(self) -> str:
+        """The columns as text, kept with the files written in this shape."""
+        return json.dumps({"schema": self.struct_type().jsonValue(), "keys": self.keys,
+                           "carried": self.carried})
+
+    @classmethod
+    def from_json(cls, namespace: str, name: str, text: str) -> TableShape:
+        saved = json.loads(text)
+        shape = cls(namespace, name, [])
+        schema = T.StructType.fromJson(saved["schema"])
+        shape.types = {f.name: f.dataType for f in schema}
+        shape.required = [f.name for f in schema if not f.nullable]
+        shape.keys, shape.carried = saved["keys"], saved["carried"]
+        return shape
+
     @classmethod
     def of(cls, versions: DataFrame, namespace: str, name: str,
            required: Sequence[str] = ()) -> TableShape:

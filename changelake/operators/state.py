@@ -38,21 +38,29 @@ def latest(log: DataFrame, keys: Sequence[str], columns: Sequence[str],
     return log.groupBy(*keys).agg(row, *known)
 
 
+def live_rows(newest: DataFrame, keys: Sequence[str], columns: Sequence[str],
+              carried: Sequence[str] = (), positions: bool = False) -> DataFrame:
+    picked = [F.col(f"_{c}.{c}") if c in carried else F.col(f"_row.{c}") for c in columns]
+    extra = [F.col(f"_row.{c}") for c in ORDER] if positions else []
+    return newest.where("_row.kind <> 'delete'").select(*keys, *picked, *extra)
+
+
 def current_state(log: DataFrame, keys: Sequence[str], columns: Sequence[str],
                   carried: Sequence[str] = (), positions: bool = False) -> DataFrame:
     """Live rows. A column never set since the feed began is NULL; see ``unresolved``."""
-    live = latest(log, keys, columns, carried).where("_row.kind <> 'delete'")
-    picked = [F.col(f"_{c}.{c}") if c in carried else F.col(f"_row.{c}") for c in columns]
-    extra = [F.col(f"_row.{c}") for c in ORDER] if positions else []
-    return live.select(*keys, *picked, *extra)
+    return live_rows(latest(log, keys, columns, carried), keys, columns, carried, positions)
+
+
+def missing(newest: DataFrame, keys: Sequence[str], carried: Sequence[str]) -> DataFrame:
+    """Live keys with a column that every change left unchanged, and those columns."""
+    lost = F.array_compact(F.array(*[F.when(F.col(f"_{c}").isNull(), F.lit(c)) for c in carried]))
+    return newest.where("_row.kind <> 'delete'").select(
+        *keys, lost.alias("missing")).where(F.size("missing") > 0)
 
 
 def unresolved(log: DataFrame, keys: Sequence[str], columns: Sequence[str],
                carried: Sequence[str]) -> DataFrame:
-    """Live keys with a column that every change left unchanged, and those columns."""
-    live = latest(log, keys, columns, carried).where("_row.kind <> 'delete'")
-    missing = F.array_compact(F.array(*[F.when(F.col(f"_{c}").isNull(), F.lit(c)) for c in carried]))
-    return live.select(*keys, missing.alias("missing")).where(F.size("missing") > 0)
+    return missing(latest(log, keys, columns, carried), keys, carried)
 
 
 def state_as_of(log: DataFrame, lsn: int, keys: Sequence[str], columns: Sequence[str],
@@ -66,6 +74,21 @@ def as_changes(state: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
     return state.withColumns({"kind": F.lit("insert"), **{flag(c): F.lit("t") for c in carried}})
 
 
+def collapse(changes: DataFrame, keys: Sequence[str], columns: Sequence[str],
+             carried: Sequence[str] = ()) -> DataFrame:
+    """All changes of a key as one: the newest kind and position, and the newest known values.
+
+    Applying the result gives the same state as applying the changes one by one.
+    """
+    newest = latest(changes, keys, columns, carried)
+    cells = []
+    for c in columns:
+        cells.append((F.col(f"_{c}.{c}") if c in carried else F.col(f"_row.{c}")).alias(c))
+        if c in carried:
+            cells.append(F.when(F.col(f"_{c}").isNull(), "u").otherwise("t").alias(flag(c)))
+    return newest.select(*keys, "_row.kind", *[f"_row.{c}" for c in ORDER], *cells)
+
+
 def apply_changes(base: DataFrame, changes: DataFrame, keys: Sequence[str],
                   columns: Sequence[str], carried: Sequence[str] = ()) -> DataFrame:
     """State after ``changes`` on top of ``base`` (a state with positions)."""
