@@ -93,7 +93,10 @@ def _rewrite_job(spark: SparkSession, plan: DataFrame, out: str, target: int) ->
     size = F.sum("length").over(W.partitionBy("dir", "grp"))
     placed = plan.select("path", _group_id().alias("group_id"),
                          F.ceil(size / target).cast("int").alias("_pieces"))
-    rows = spark.read.parquet(*paths_of(plan))
+    paths = paths_of(plan)
+    if not paths:
+        return
+    rows = spark.read.parquet(*paths)
     columns = rows.columns
     grouped = rows.select("*", scanned_path().alias("_path"),
                           F.col("_metadata.row_index").alias("_row")).join(

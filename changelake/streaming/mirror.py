@@ -56,12 +56,16 @@ class Mirror:
         try:
             counts = batch.groupBy(monitor.label().alias("kind")).agg(
                 F.count(F.lit(1)).alias("n"), F.max("lsn").alias("lsn")).collect()
-            self._relations(batch, batch_id)
-            released = self._released(batch, batch_id).persist()
+            kinds = {r.kind for r in counts}
+            if "relation" in kinds:
+                write_log(batch.where("kind = 'relation'"), self._feed(f"relations/batch={batch_id}"))
+            ends = transactions.markers(batch).persist()
+            released = self._released(batch, ends, batch_id, "stream_abort" in kinds).persist()
             try:
                 self._publish(released, batch_id)
             finally:
                 released.unpersist()
+                ends.unpersist()
         finally:
             batch.unpersist()
         row = (batch_id, {r.kind: r.n for r in counts}, max((r.lsn for r in counts), default=None),
@@ -73,11 +77,6 @@ class Mirror:
                 table.compact()
             self.trim_pending()
 
-    def _relations(self, batch: DataFrame, batch_id: int) -> None:
-        messages = batch.where("kind = 'relation'")
-        if not messages.isEmpty():
-            write_log(messages, self._feed(f"relations/batch={batch_id}"))
-
     def versions(self, batch_id: int | None = None) -> DataFrame:
         """Relation versions known up to a batch."""
         messages = read_log(self.spark, self._feed("relations"), CHANGES + ", batch BIGINT")
@@ -85,52 +84,57 @@ class Mirror:
             messages = messages.where(F.col("batch") <= batch_id)
         return relation_versions(transactions.deduplicate(messages))
 
-    def _released(self, batch: DataFrame, batch_id: int) -> DataFrame:
+    def _released(self, batch: DataFrame, ends: DataFrame, batch_id: int, aborts: bool) -> DataFrame:
         """Committed rows of the transactions that end in this batch; the others are put by."""
-        ended = transactions.markers(batch)
-        parts = batch.where("kind = 'stream_abort' AND sub_xid <> xid")
         number = F.pmod("xid", F.lit(self.pending_buckets)).cast("int").alias("xb")
-        for name, rows in (("pending", transactions.pending(batch)), ("parts", parts),
-                           ("ended", ended.select("xid"))):
-            write_log(rows.select("*", number), f"{self._put_by(name)}/batch={batch_id}", "xb")
-        touched = [r.xb for r in ended.select(number).distinct().collect()]
+        place = self._put_by()
+        write_log(transactions.pending(batch, ends).select("*", number),
+                  f"{place}/pending/batch={batch_id}", "xb")
+        write_log(ends.select("xid"), f"{place}/ended/batch={batch_id}")
+        if aborts:
+            parts = batch.where("kind = 'stream_abort' AND sub_xid <> xid")
+            write_log(parts.select("*", number), f"{place}/parts/batch={batch_id}", "xb")
+        touched = [r.xb for r in ends.select(number).distinct().collect()]
 
         def earlier(name: str) -> DataFrame:
-            return self._kept(name).where(
+            return self._kept(place, name).where(
                 (F.col("batch") < batch_id) & F.col("xb").isin(touched)).drop("batch", "xb")
 
-        waited = earlier("pending").join(sized(ended.select("xid")), "xid", "left_semi")
-        ends = batch.where(F.col("kind").isin(*COMMITS, *ABORTS)).unionByName(earlier("parts"))
+        waited = earlier("pending").join(sized(ends.select("xid")), "xid", "left_semi")
+        known = batch.where(F.col("kind").isin(*COMMITS, *ABORTS)).unionByName(earlier("parts"))
         rows = transactions.deduplicate(rows_only(batch).unionByName(waited))
-        return transactions.committed(ends, rows)
+        return transactions.committed(known, rows, ends)
 
-    def _put_by(self, name: str) -> str:
+    def _put_by(self) -> str:
         """Where rows of open transactions are: a new place after each trim."""
-        done = read_log(self.spark, self._feed("trims"), "trim BIGINT")
-        return self._feed(f"{name}-{done.agg(F.coalesce(F.max('trim'), F.lit(0))).first()[0]}")
+        trims = read_log(self.spark, self._feed("trims"), "trim BIGINT")
+        last = 0 if trims.isEmpty() else trims.agg(F.max("trim")).first()[0]
+        return self._feed(f"open-{last}")
 
-    def _kept(self, name: str) -> DataFrame:
-        schema = "xid BIGINT" if name == "ended" else CHANGES
-        return read_log(self.spark, self._put_by(name), schema + ", batch BIGINT, xb INT")
+    def _kept(self, place: str, name: str) -> DataFrame:
+        schema = "xid BIGINT, batch BIGINT" if name == "ended" else CHANGES + ", batch BIGINT, xb INT"
+        return read_log(self.spark, f"{place}/{name}", schema)
 
     def pending(self) -> DataFrame:
         """Rows of transactions that no batch has ended, without parts rolled back."""
-        ended = self._kept("ended").select("xid")
-        dropped = self._kept("parts").select("xid", "sub_xid").distinct()
-        rows = self._kept("pending").drop("xb").join(sized(ended.distinct()), "xid", "left_anti")
+        place = self._put_by()
+        ended = self._kept(place, "ended").select("xid").distinct()
+        dropped = self._kept(place, "parts").select("xid", "sub_xid").distinct()
+        rows = self._kept(place, "pending").drop("xb").join(sized(ended), "xid", "left_anti")
         return transactions.deduplicate(rows.join(sized(dropped), ["xid", "sub_xid"], "left_anti"))
 
     def trim_pending(self) -> None:
         """Write what is still open to a new place, without transactions that ended since."""
-        done = self.last_batch()
+        done, place = self.last_batch(), self._put_by()
         if done is None:
             return
-        trim = int(self._put_by("pending").rsplit("-", 1)[1]) + 1
+        trim = int(place.rsplit("-", 1)[1]) + 1
         number = F.pmod("xid", F.lit(self.pending_buckets)).cast("int").alias("xb")
-        ended = sized(self._kept("ended").select("xid").distinct())
-        for name, rows in (("pending", self.pending().drop("batch")), ("parts", self._kept("parts").drop(
-                "batch", "xb").join(ended, "xid", "left_anti"))):
-            write_log(rows.select("*", number), self._feed(f"{name}-{trim}/batch={done}"), "xb")
+        ended = sized(self._kept(place, "ended").select("xid").distinct())
+        parts = self._kept(place, "parts").drop("xb").join(ended, "xid", "left_anti")
+        for name, rows in (("pending", self.pending()), ("parts", parts)):
+            write_log(rows.drop("batch").select("*", number),
+                      self._feed(f"open-{trim}/{name}/batch={done}"), "xb")
         write_log(self.spark.createDataFrame([(trim,)], "trim BIGINT").coalesce(1),
                   self._feed(f"trims/at={trim}"))
 
