@@ -49,7 +49,7 @@ def listed_path(path: Column) -> Column:
 
 def paths_of(files: DataFrame) -> list[str]:
     """File names for a reader, which keeps the same list in its file index."""
-    return [row.path for row in files.select("path").toLocalIterator()]
+    return [row.path for row in files.select("path").collect()]
 
 
 def jobs(plan: DataFrame, files_per_job: int = FILES_PER_JOB) -> Iterator[DataFrame]:

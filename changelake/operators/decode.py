@@ -22,7 +22,7 @@ def tuple_map(tuple_column: str = "new_cols") -> Column:
     return F.map_from_arrays(names, tuple_column)
 
 
-def bind(rows: DataFrame, versions: DataFrame, shape: TableShape) -> DataFrame:
+def bind(rows: DataFrame, versions: DataFrame, shape: TableShape, few: bool | None = None) -> DataFrame:
     """Rows of one table with ``at``: where each of the shape's columns sits in the tuple.
 
     The places are worked out once per version, not per row; a column that a version lacks has
@@ -36,7 +36,7 @@ def bind(rows: DataFrame, versions: DataFrame, shape: TableShape) -> DataFrame:
         "relation_id", "valid_from", "valid_to", F.size("relation.columns").alias("width"),
         F.transform(wanted, lambda n: (F.nullif(F.array_position(names, n), F.lit(0)) - 1)
                     .cast("int")).alias("at"))
-    return bind_relation(rows, placed)
+    return bind_relation(rows, placed, few=few)
 
 
 def to_columns(rows: DataFrame, shape: TableShape) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from changelake.functions.ordering import HOT_ROWS, neighbour
 from changelake.functions.types import can_be_unchanged, spark_type, wider
-from changelake.session import BROADCAST_ROWS, fits, freeze
+from changelake.session import fits, freeze
 
 SLOTS = 1024
 
@@ -33,10 +33,10 @@ def relation_versions(changes: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame
 
 
 def bind_relation(changes: DataFrame, versions: DataFrame, keep_unknown: bool = False,
-                  broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+                  few: bool | None = None) -> DataFrame:
     """Each change row with the ``relation`` in force at its position (as-of join).
 
-    Few versions are broadcast. Otherwise both sides get the slot of the log they lie in and
+    Few versions (counted, unless the caller knows) are broadcast. Otherwise both sides get the slot of the log they lie in and
     join on (relation, slot), so the rows of one busy relation spread over many tasks.
     Rows before the first relation message have none; ``keep_unknown`` keeps them.
     """
@@ -45,7 +45,7 @@ def bind_relation(changes: DataFrame, versions: DataFrame, keep_unknown: bool =
     side = versions.withColumnRenamed("relation_id", "_id")
     in_force = ((F.col("relation_id") == F.col("_id")) & (F.col("_at") >= F.col("valid_from"))
                 & (F.col("valid_to").isNull() | (F.col("_at") < F.col("valid_to"))))
-    if fits(versions, broadcast_rows):
+    if fits(versions) if few is None else few:
         joined = rows.join(F.broadcast(side), in_force, how)
     else:
         low, high = changes.agg(F.min("lsn"), F.max("lsn")).first()
@@ -60,9 +60,9 @@ def bind_relation(changes: DataFrame, versions: DataFrame, keep_unknown: bool =
     return joined.drop("_at", "_id", "valid_from", "valid_to")
 
 
-def unknown_relation(changes: DataFrame, versions: DataFrame) -> DataFrame:
+def unknown_relation(changes: DataFrame, versions: DataFrame, few: bool | None = None) -> DataFrame:
     """Rows whose relation had not been described yet."""
-    return bind_relation(changes, versions, keep_unknown=True).where("relation IS NULL")
+    return bind_relation(changes, versions, True, few).where("relation IS NULL")
 
 
 def merge_nullability(columns: DataFrame, known: DataFrame) -> DataFrame:

@@ -32,18 +32,18 @@ def aborted_parts(changes: DataFrame) -> DataFrame:
     ).select("xid", "sub_xid").distinct()
 
 
-def committed(changes: DataFrame, rows: DataFrame | None = None,
-              ends: DataFrame | None = None) -> DataFrame:
+def committed(changes: DataFrame, rows: DataFrame | None = None, ends: DataFrame | None = None,
+              parts: DataFrame | None = None) -> DataFrame:
     """Rows of committed transactions with their ``commit_lsn``.
 
     ``rows`` defaults to the row messages of ``changes``; a streaming batch adds earlier ones.
-    ``ends`` are the markers of ``changes``, where they are at hand.
+    ``ends`` and ``parts`` are the sized markers and aborted parts, where they are at hand.
     """
     rows = rows_only(changes) if rows is None else rows
-    ends = markers(changes) if ends is None else ends
-    commits = ends.where("NOT aborted").select("xid", "commit_lsn")
-    return (rows.join(sized(aborted_parts(changes)), ["xid", "sub_xid"], "left_anti")
-            .join(sized(commits), "xid"))
+    ends = sized(markers(changes)) if ends is None else ends
+    parts = sized(aborted_parts(changes)) if parts is None else parts
+    return (rows.join(parts, ["xid", "sub_xid"], "left_anti")
+            .join(ends.where("NOT aborted").select("xid", "commit_lsn"), "xid"))
 
 
 def rolled_back(changes: DataFrame) -> DataFrame:
@@ -55,11 +55,13 @@ def rolled_back(changes: DataFrame) -> DataFrame:
             .where("_whole OR _part").drop("_whole", "_part"))
 
 
-def pending(changes: DataFrame, ends: DataFrame | None = None) -> DataFrame:
+def pending(changes: DataFrame, ends: DataFrame | None = None,
+            parts: DataFrame | None = None) -> DataFrame:
     """Rows whose transaction has not ended, without parts already rolled back."""
-    ended = (markers(changes) if ends is None else ends).select("xid")
-    return (rows_only(changes).join(sized(aborted_parts(changes)), ["xid", "sub_xid"], "left_anti")
-            .join(sized(ended), "xid", "left_anti"))
+    ends = sized(markers(changes)) if ends is None else ends
+    parts = sized(aborted_parts(changes)) if parts is None else parts
+    return (rows_only(changes).join(parts, ["xid", "sub_xid"], "left_anti")
+            .join(ends.select("xid"), "xid", "left_anti"))
 
 
 def deduplicate(changes: DataFrame) -> DataFrame:

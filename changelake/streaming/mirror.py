@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from changelake.operators import decode, monitor, transactions
 from changelake.operators.relations import TableShape, relation_versions, unknown_relation
-from changelake.session import sized
-from changelake.sources.envelope import ABORTS, CHANGES, COMMITS, rows_only
+from changelake.session import fits, sized
+from changelake.sources.envelope import ABORTS, CHANGES, rows_only
 from changelake.sources.logs import read_log, write_log
 from changelake.streaming.table import MirroredTable
 
@@ -35,6 +35,7 @@ class Mirror:
         self.tables = {t.full_name: t for t in tables}
         self.fold_every, self.compact_every = fold_every, compact_every
         self.pending_buckets = pending_buckets
+        self._described: tuple[DataFrame, bool, dict[str, TableShape]] | None = None
 
     def _feed(self, name: str) -> str:
         return f"{self.root}/_feed/{name}"
@@ -59,6 +60,7 @@ class Mirror:
             kinds = {r.kind for r in counts}
             if "relation" in kinds:
                 write_log(batch.where("kind = 'relation'"), self._feed(f"relations/batch={batch_id}"))
+                self._described = None
             ends = transactions.markers(batch).persist()
             released = self._released(batch, ends, batch_id, "stream_abort" in kinds).persist()
             try:
@@ -84,12 +86,26 @@ class Mirror:
             messages = messages.where(F.col("batch") <= batch_id)
         return relation_versions(transactions.deduplicate(messages))
 
+    def _shapes(self, batch_id: int) -> tuple[DataFrame, bool, dict[str, TableShape]]:
+        """Relation versions, whether they are few, and the shapes of the configured tables.
+
+        They are kept until the next relation message.
+        """
+        if self._described is None:
+            versions = self.versions(batch_id)
+            named = {(r.namespace, r.name) for r in versions.select(
+                "relation.namespace", "relation.name").distinct().collect()}
+            shapes = {t.full_name: TableShape.of(versions, t.namespace, t.name, t.required)
+                      for t in self.tables.values() if (t.namespace, t.name) in named}
+            self._described = versions, fits(versions), shapes
+        return self._described
+
     def _released(self, batch: DataFrame, ends: DataFrame, batch_id: int, aborts: bool) -> DataFrame:
         """Committed rows of the transactions that end in this batch; the others are put by."""
         number = F.pmod("xid", F.lit(self.pending_buckets)).cast("int").alias("xb")
-        place = self._put_by()
-        write_log(transactions.pending(batch, ends).select("*", number),
-                  f"{place}/pending/batch={batch_id}", "xb")
+        place, ends = self._put_by(), sized(ends)
+        open_rows = transactions.pending(batch, ends, None if aborts else self._no_parts())
+        write_log(open_rows.select("*", number), f"{place}/pending/batch={batch_id}", "xb")
         write_log(ends.select("xid"), f"{place}/ended/batch={batch_id}")
         if aborts:
             parts = batch.where("kind = 'stream_abort' AND sub_xid <> xid")
@@ -100,11 +116,14 @@ class Mirror:
             return self._kept(place, name).where(
                 (F.col("batch") < batch_id) & F.col("xb").isin(touched)).drop("batch", "xb")
 
-        waited = earlier("pending").join(sized(ends.select("xid")), "xid", "left_semi")
-        known = batch.where(F.col("kind").isin(*COMMITS, *ABORTS)).unionByName(earlier("parts"))
+        waited = earlier("pending").join(ends.select("xid"), "xid", "left_semi")
+        known = batch.where(F.col("kind").isin(*ABORTS)).unionByName(earlier("parts"))
         rows = transactions.deduplicate(rows_only(batch).unionByName(waited))
         return transactions.committed(known, rows, ends)
 
+    def _no_parts(self) -> DataFrame:
+        return self.spark.createDataFrame([], "xid BIGINT, sub_xid BIGINT")
+
     def _put_by(self) -> str:
         """Where rows of open transactions are: a new place after each trim."""
         trims = read_log(self.spark, self._feed("trims"), "trim BIGINT")
@@ -139,28 +158,21 @@ class Mirror:
                   self._feed(f"trims/at={trim}"))
 
     def _publish(self, released: DataFrame, batch_id: int) -> None:
-        versions = self.versions(batch_id)
-        snapshot_id = (batch_id + 1) * STEP
-        unknown = unknown_relation(released, versions).select(
+        versions, few, shapes = self._shapes(batch_id)
+        unknown = unknown_relation(released, versions, few).select(
             F.lit(None).cast("string").alias("table_name"), "lsn", "seq", "xid", "kind", "relation_id",
             F.array(F.lit("unknown_relation")).alias("reasons"))
         self._errors(unknown, batch_id, "unknown")
-        described = {(r.namespace, r.name) for r in versions.select(
-            "relation.namespace", "relation.name").distinct().toLocalIterator()}
         fold = (batch_id + 1) % self.fold_every == 0
-        for table in self.tables.values():
-            if (table.namespace, table.name) not in described:
-                continue
-            shape = TableShape.of(versions, table.namespace, table.name, table.required)
-            decoded = decode.to_columns(decode.bind(released, versions, shape), shape)
+        for name, shape in shapes.items():
+            decoded = decode.to_columns(decode.bind(released, versions, shape, few), shape)
             unfit = Observation()
             decoded = decoded.observe(unfit, F.count("unfit").alias("rows"))
-            table.append(decode.fit(decoded), shape, snapshot_id, fold)
+            self.tables[name].append(decode.fit(decoded), shape, (batch_id + 1) * STEP, fold)
             if unfit.get["rows"]:
                 bad = decode.quarantine(decoded).select(
-                    F.lit(table.full_name).alias("table_name"), "lsn", "seq", "xid", "kind",
-                    "relation_id", "reasons")
-                self._errors(bad, batch_id, table.full_name)
+                    F.lit(name).alias("table_name"), "lsn", "seq", "xid", "kind", "relation_id", "reasons")
+                self._errors(bad, batch_id, name)
 
     def _errors(self, rows: DataFrame, batch_id: int, part: str) -> None:
         if not rows.isEmpty():

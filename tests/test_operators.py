@@ -179,14 +179,14 @@ def test_versions_drop_repeats(spark, feed):
     assert [(r.valid_from.lsn, r.valid_to.lsn if r.valid_to else None) for r in found] == [(2, 20), (20, None)]
 
 
-@pytest.mark.parametrize("limit", [1000, 0])
-def test_binding_by_broadcast_and_by_slots(spark, feed, limit):
+@pytest.mark.parametrize("few", [True, False])
+def test_binding_by_broadcast_and_by_slots(spark, feed, few):
     versions = relations.relation_versions(feed)
     rows = feed.where("kind <> 'relation'")
-    bound = relations.bind_relation(rows, versions, keep_unknown=True, broadcast_rows=limit)
+    bound = relations.bind_relation(rows, versions, keep_unknown=True, few=few)
     found = {r.lsn: len(r.relation.columns) if r.relation else None for r in bound.collect()}
     assert found == {1: None, 10: 2, 11: 2, 30: 3, 31: 3, 32: 3, 33: 3, 34: 3, 35: 3, 36: 3}
-    assert relations.bind_relation(rows, versions, broadcast_rows=limit).count() == 9
+    assert relations.bind_relation(rows, versions, few=few).count() == 9
     assert [r.lsn for r in relations.unknown_relation(rows, versions).collect()] == [1]
 
 
