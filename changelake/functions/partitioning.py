@@ -41,3 +41,15 @@ def bucket(columns: Iterable[str], count: int) -> Column:
 def partition_by(df: DataFrame, spec: Iterable[PartitionField]) -> DataFrame:
     """``df`` with one column per partition field, ready for ``write.partitionBy``."""
     return df.withColumns({field.name: transform(df, field) for field in spec})
+
+
+def write_partitioned(df: DataFrame, spec: Iterable[PartitionField], path: str,
+                      mode: str = "append") -> None:
+    """Write a directory per partition value.
+
+    Rows are gathered by value so that files are few; adaptive execution splits a value that
+    holds much of the data over several tasks.
+    """
+    spec = list(spec)
+    names = [field.name for field in spec]
+    partition_by(df, spec).hint("rebalance", *names).write.mode(mode).partitionBy(*names).parquet(path)

@@ -30,7 +30,8 @@ def describe(df: DataFrame) -> DataFrame:
 
 
 def orphans(child: DataFrame, parent: DataFrame, keys: Sequence[tuple[str, str]]) -> DataFrame:
-    """Child rows whose (child, parent) key columns match no parent row."""
+    """Child rows whose (child, parent) key columns match no parent row. A NULL refers to none."""
+    child = child.where(" AND ".join(f"`{c}` IS NOT NULL" for c, _ in keys))
     parents = parent.select(*[p for _, p in keys])
     match = None
     for c, p in keys:

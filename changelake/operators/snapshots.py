@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changelake.functions.ordering import HOT_ROWS, neighbour, running_total
+from changelake.functions.ordering import HOT_ROWS, neighbour, running_totals
 
 ADDED, EXISTING, REMOVED = 1, 2, 3
 
@@ -49,9 +49,9 @@ def snapshot_summary(files: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         F.coalesce(F.sum(F.when(added, F.col("record_count"))), F.lit(0)).alias("added_records"),
         F.sum(sign).cast("bigint").alias("_files"),
         F.sum(sign * F.col("record_count")).alias("_records"))
-    key = (["table_name"], ["snapshot_id"])
-    total = running_total(changes, *key, F.col("_files"), "total_files", hot_rows)
-    total = running_total(total, *key, F.col("_records"), "total_records", hot_rows)
+    total = running_totals(
+        changes, ["table_name"], ["snapshot_id"],
+        {"total_files": F.col("_files"), "total_records": F.col("_records")}, hot_rows)
     return total.drop("_files", "_records")
 
 

@@ -10,11 +10,12 @@ from __future__ import annotations
 import datetime
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from changelake.operators import decode, monitor, transactions
-from changelake.operators.relations import TableShape, relation_versions, unknown_relation
+from changelake.operators.relations import (
+    TableShape, bind_relation, relation_versions, unknown_relation)
 from changelake.session import fits, sized
 from changelake.sources.envelope import ABORTS, CHANGES, rows_only
 from changelake.sources.logs import read_log, write_log
@@ -26,6 +27,11 @@ ERRORS = """table_name STRING, lsn BIGINT, seq INT, xid BIGINT, kind STRING, rel
             reasons ARRAY<STRING>, batch BIGINT"""
 
 
+def full_name() -> Column:
+    """Name of the relation a row is bound to; NULL if there is none."""
+    return F.concat(F.col("relation.namespace"), F.lit("."), F.col("relation.name"))
+
+
 class Mirror:
     """Configured tables below one root. ``fold_every`` batches, states are brought up to date."""
 
@@ -93,10 +99,10 @@ class Mirror:
         """
         if self._described is None:
             versions = self.versions(batch_id)
-            named = {(r.namespace, r.name) for r in versions.select(
-                "relation.namespace", "relation.name").distinct().collect()}
+            named = versions.select(full_name().alias("n")).where(
+                F.col("n").isin(*self.tables)).distinct().collect()
             shapes = {t.full_name: TableShape.of(versions, t.namespace, t.name, t.required)
-                      for t in self.tables.values() if (t.namespace, t.name) in named}
+                      for t in (self.tables[r.n] for r in named)}
             self._described = versions, fits(versions), shapes
         return self._described
 
@@ -159,24 +165,27 @@ class Mirror:
 
     def _publish(self, released: DataFrame, batch_id: int) -> None:
         versions, few, shapes = self._shapes(batch_id)
-        unknown = unknown_relation(released, versions, few).select(
-            F.lit(None).cast("string").alias("table_name"), "lsn", "seq", "xid", "kind", "relation_id",
-            F.array(F.lit("unknown_relation")).alias("reasons"))
-        self._errors(unknown, batch_id, "unknown")
+        # One pass tells which configured tables have rows; the others cost nothing more.
+        bound = bind_relation(released, versions, True, few).select(full_name().alias("n"))
+        found = {r.n for r in bound.where(F.col("n").isNull() | F.col("n").isin(*self.tables))
+                 .distinct().collect()}
+        if None in found:
+            unknown = unknown_relation(released, versions, few)
+            self._errors(unknown.withColumn("reasons", F.array(F.lit("unknown_relation"))), None, batch_id)
         fold = (batch_id + 1) % self.fold_every == 0
-        for name, shape in shapes.items():
+        for name in sorted(found - {None}):
+            shape = shapes[name]
             decoded = decode.to_columns(decode.bind(released, versions, shape, few), shape)
             unfit = Observation()
             decoded = decoded.observe(unfit, F.count("unfit").alias("rows"))
             self.tables[name].append(decode.fit(decoded), shape, (batch_id + 1) * STEP, fold)
             if unfit.get["rows"]:
-                bad = decode.quarantine(decoded).select(
-                    F.lit(name).alias("table_name"), "lsn", "seq", "xid", "kind", "relation_id", "reasons")
-                self._errors(bad, batch_id, name)
+                self._errors(decode.quarantine(decoded), name, batch_id)
 
-    def _errors(self, rows: DataFrame, batch_id: int, part: str) -> None:
-        if not rows.isEmpty():
-            write_log(rows, self._feed(f"errors/batch={batch_id}/part={part}"))
+    def _errors(self, rows: DataFrame, name: str | None, batch_id: int) -> None:
+        rows = rows.select(F.lit(name).cast("string").alias("table_name"), "lsn", "seq", "xid", "kind",
+                           "relation_id", "reasons")
+        write_log(rows, self._feed(f"errors/batch={batch_id}/part={name or 'unknown'}"))
 
     # --- reading ---------------------------------------------------------------------------
 

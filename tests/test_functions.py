@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from changelake.functions.lsn import format_lsn, parse_lsn
 from changelake.functions.ordering import neighbour, running_total
-from changelake.functions.partitioning import PartitionField, partition_by
+from changelake.functions.partitioning import PartitionField, partition_by, write_partitioned
 from changelake.functions.types import (
     can_be_unchanged, decode_binary, decode_text, field_type, source_type, spark_type, table_type, wider)
 
@@ -113,3 +113,10 @@ def test_partition_transforms(spark):
     assert (row.w, row.p) == (-10, "abc") and 0 <= row.b < 4
     with pytest.raises(ValueError):
         partition_by(df, [PartitionField("v", "other", "x")])
+
+
+def test_write_partitioned(spark, tmp_path):
+    df = spark.sql("select id, timestamp_ntz'2024-01-01' + make_dt_interval(cast(id as int)) t from range(100)")
+    write_partitioned(df, [PartitionField("t", "month", "m")], str(tmp_path / "p"))
+    back = spark.read.parquet(str(tmp_path / "p"))
+    assert back.count() == 100 and back.where("m = '2024-02-01'").count() == 29

@@ -388,5 +388,5 @@ def test_sql(spark):
     assert relational.query(spark, "select id from five where id = ?", [3]).first().id == 3
     described = relational.describe(spark.sql("select 1 a, cast(1 as bigint) b, 'x' c, cast(1 as decimal(5,2)) d, current_date() e, true f"))
     assert [r.source_type for r in described.orderBy("ordinal").collect()] == ["int4", "int8", "text", "numeric", "date", "bool"]
-    child, parent = spark.createDataFrame([(1, 999), (2, 1)], "id INT, user_id INT"), spark.createDataFrame([(1,)], "id INT")
+    child, parent = spark.createDataFrame([(1, 999), (2, 1), (3, None)], "id INT, user_id INT"), spark.createDataFrame([(1,)], "id INT")
     assert [r.id for r in relational.orphans(child, parent, [("user_id", "id")]).collect()] == [1]

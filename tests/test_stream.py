@@ -116,6 +116,9 @@ def test_stream_merge_on_read_and_maintenance(spark, tmp_path):
     assert sorted(map(str, users.read_log().collect())) == log
     end_it = spark.createDataFrame([end(40, 109)], CHANGES)
     m.apply_batch(end_it, 3)
+    assert users.live().where("status = 2").count() > 0
+    assert Mirror(spark, str(tmp_path / "m"), [MirroredTable(spark, str(tmp_path / "m"), "public", "users", buckets=7)]
+                  ).tables["public.users"].info().buckets == 3
     assert (1, "never", 99) in contents(m, "users")
     counts = {r.kind: r.messages for r in m.message_counts().collect()}
     assert counts["relation"] == 2 and counts["truncate"] == 1
