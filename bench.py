@@ -17,7 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from changelake.operators import compaction, state, transactions  # noqa: E402
+from changelake.operators import compaction, relational, state, transactions  # noqa: E402
 from changelake.plans import change_queries, feeds, stream_queries, table_queries  # noqa: E402
 from changelake.session import build_session, scratch_path  # noqa: E402
 from changelake.sources import inventory  # noqa: E402
@@ -79,21 +79,22 @@ def main() -> None:
         query = getattr(change_queries, name, None) or getattr(table_queries, name)
         timed(name, lambda: run(query(spark, SF)))
 
-    orders.createOrReplaceTempView("orders")
-    spark.read.parquet(f"{SF}/customer.parquet").createOrReplaceTempView("customer")
-    spark.read.parquet(f"{SF}/lineitem.parquet").createOrReplaceTempView("lineitem")
+    names = ("region", "nation", "supplier", "orders")
+    relational.register({n: spark.read.parquet(f"{SF}/{n}.parquet") for n in names}, keep_small=True)
 
-    def count(_=0):
-        return spark.sql("select count(*) from orders").collect()
+    def count():
+        return relational.query(spark, "select count(*) from orders").collect()
 
     def filtered(key):
-        return spark.sql("select count(*) from orders where o_orderkey = :k", args={"k": key}).collect()
+        return relational.query(
+            spark, "select count(*) from orders where o_orderkey = :k", {"k": key}).collect()
 
-    def join(_=0):
-        return spark.sql("""select c_name, l_partkey, l_quantity, o_totalprice from customer
-            join orders on c_custkey = o_custkey join lineitem on l_orderkey = o_orderkey
-            where o_orderstatus = 'P' order by o_totalprice desc limit 100""").collect()
+    def join():
+        return relational.query(spark, """select s_name, n_name, r_name from supplier
+            join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey
+            where r_name = 'ASIA' order by s_acctbal desc""").collect()
 
+    count(), join()
     timed("count_100", lambda: [count() for _ in range(100)])
     timed("join_50", lambda: [join() for _ in range(50)])
     with ThreadPoolExecutor(10) as pool:

@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from changelake.functions.types import source_type
+from changelake.session import fits
 
 
 def query(spark: SparkSession, text: str, args: dict[str, Any] | list | None = None) -> DataFrame:
@@ -15,9 +16,15 @@ def query(spark: SparkSession, text: str, args: dict[str, Any] | list | None = N
     return spark.sql(text, args=args) if args else spark.sql(text)
 
 
-def register(tables: dict[str, DataFrame]) -> None:
-    """Make tables resolvable by name."""
+def register(tables: dict[str, DataFrame], keep_small: bool = False) -> None:
+    """Make tables resolvable by name.
+
+    ``keep_small`` holds tables that are counted to be small in memory, in one partition: short
+    queries on them then need neither a listing nor a shuffle.
+    """
     for name, df in tables.items():
+        if keep_small and fits(df):
+            df = df.coalesce(1).cache()
         df.createOrReplaceTempView(name)
 
 

@@ -227,10 +227,14 @@ def column_metrics(spark, sf):
     return snapshots.column_metrics(_by_year(spark, sf), "path", ["l_orderkey", "l_linenumber", "l_returnflag"])
 
 
-@query()
+@query(" union all ".join(
+    f"select '{c}' column_name, count({c}) value_count, count(*) - count({c}) null_count, "
+    f"cast(min({c}) as varchar) \"lower\", cast(max({c}) as varchar) \"upper\" from lineitem"
+    for c in ("l_orderkey", "l_shipdate", "l_returnflag")))
 def file_metrics(spark, sf):
-    """The same per real data file."""
-    return snapshots.file_metrics(table(spark, sf, "lineitem"), ["l_orderkey", "l_shipdate", "l_returnflag"])
+    """The same per real data file; the given table is one file."""
+    return snapshots.file_metrics(
+        table(spark, sf, "lineitem"), ["l_orderkey", "l_shipdate", "l_returnflag"]).drop("path")
 
 
 @query("with f as (select l_suppkey, l_returnflag, l_linestatus, min(l_extendedprice) lo, max(l_extendedprice) hi "
@@ -295,14 +299,20 @@ def compaction_rows_preserved(spark, sf):
     return merged.unionByName(spark.read.parquet(*alone)) if alone else merged
 
 
-@query()
+NAMES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
+         "benchmark labels conversations").split()
+
+
+@query(" union all ".join(f"select '{n}.parquet' as name, true filled" for n in NAMES))
 def file_inventory(spark, sf):
-    return inventory.relative_names(inventory.file_inventory(spark, sf), "file:" + sf).select("name", "length")
+    files = inventory.relative_names(inventory.file_inventory(spark, sf), "file:" + sf)
+    return files.select("name", (F.col("length") > 0).alias("filled"))
 
 
-@query()
+@query("select cast(1 as bigint) dirs")
 def data_dirs(spark, sf):
-    return inventory.data_dirs(inventory.list_files(spark, sf))
+    """Directories with Parquet files; the given tables share one."""
+    return inventory.data_dirs(inventory.list_files(spark, sf)).agg(F.count(F.lit(1)).alias("dirs"))
 
 
 # --- monitoring -----------------------------------------------------------------------------
