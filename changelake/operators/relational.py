@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import datetime
+import time
 from collections.abc import Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
 from changelake.functions.types import source_type
-from changelake.session import fits
+from changelake.session import fits, freeze
+
+QUERY_LOG = "statement STRING, status STRING, started_at TIMESTAMP, seconds DOUBLE"
 
 
 def query(spark: SparkSession, text: str, args: dict[str, Any] | list | None = None) -> DataFrame:
@@ -16,6 +20,22 @@ def query(spark: SparkSession, text: str, args: dict[str, Any] | list | None = N
     return spark.sql(text, args=args) if args else spark.sql(text)
 
 
+def run_logged(spark: SparkSession, text: str, log: str,
+               args: dict[str, Any] | list | None = None) -> DataFrame:
+    """Run SQL text to its end and append a row on it to the query log, failed queries included.
+
+    The result stays on the cluster, in the shared folder; the duration is that of the whole query.
+    """
+    started, clock, status = datetime.datetime.now(datetime.timezone.utc), time.time(), "error"
+    try:
+        result = freeze(query(spark, text, args))
+        status = "ok"
+        return result
+    finally:
+        row = (text, status, started, time.time() - clock)
+        spark.createDataFrame([row], QUERY_LOG).coalesce(1).write.mode("append").parquet(log)
+
+
 def register(tables: dict[str, DataFrame], keep_small: bool = False) -> None:
     """Make tables resolvable by name.
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changelake.session import sized
+from changelake.session import fits, sized
 from changelake.sources.envelope import ABORTS, COMMITS, rows_only
 
 
@@ -32,18 +32,29 @@ def aborted_parts(changes: DataFrame) -> DataFrame:
     ).select("xid", "sub_xid").distinct()
 
 
+def outside(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """Rows that are not in the given sub-transactions.
+
+    Unless the parts are few, only rows that are in some sub-transaction shuffle to meet them.
+    """
+    if fits(parts):
+        return rows.join(F.broadcast(parts), ["xid", "sub_xid"], "left_anti")
+    inside = F.coalesce(F.col("sub_xid") != F.col("xid"), F.lit(False))
+    return rows.where(~inside).unionByName(
+        rows.where(inside).join(parts, ["xid", "sub_xid"], "left_anti"))
+
+
 def committed(changes: DataFrame, rows: DataFrame | None = None, ends: DataFrame | None = None,
               parts: DataFrame | None = None) -> DataFrame:
     """Rows of committed transactions with their ``commit_lsn``.
 
     ``rows`` defaults to the row messages of ``changes``; a streaming batch adds earlier ones.
-    ``ends`` and ``parts`` are the sized markers and aborted parts, where they are at hand.
+    ``ends`` are the sized markers and ``parts`` the aborted parts, where they are at hand.
     """
     rows = rows_only(changes) if rows is None else rows
     ends = sized(markers(changes)) if ends is None else ends
-    parts = sized(aborted_parts(changes)) if parts is None else parts
-    return (rows.join(parts, ["xid", "sub_xid"], "left_anti")
-            .join(ends.where("NOT aborted").select("xid", "commit_lsn"), "xid"))
+    rows = outside(rows, aborted_parts(changes) if parts is None else parts)
+    return rows.join(ends.where("NOT aborted").select("xid", "commit_lsn"), "xid")
 
 
 def rolled_back(changes: DataFrame) -> DataFrame:
@@ -59,9 +70,8 @@ def pending(changes: DataFrame, ends: DataFrame | None = None,
             parts: DataFrame | None = None) -> DataFrame:
     """Rows whose transaction has not ended, without parts already rolled back."""
     ends = sized(markers(changes)) if ends is None else ends
-    parts = sized(aborted_parts(changes)) if parts is None else parts
-    return (rows_only(changes).join(parts, ["xid", "sub_xid"], "left_anti")
-            .join(ends.select("xid"), "xid", "left_anti"))
+    rows = outside(rows_only(changes), aborted_parts(changes) if parts is None else parts)
+    return rows.join(ends.select("xid"), "xid", "left_anti")
 
 
 def deduplicate(changes: DataFrame) -> DataFrame:

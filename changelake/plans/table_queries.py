@@ -12,6 +12,7 @@ from changelake.plans.feeds import FILES, LISTING, check
 from changelake.plans.registry import query
 from changelake.session import scratch_path
 from changelake.sources import inventory
+from changelake.sources.logs import qualified
 
 
 def table(spark, sf, name):
@@ -305,7 +306,7 @@ NAMES = ("region nation customer supplier part orders lineitem events documents
 
 @query(" union all ".join(f"select '{n}.parquet' as name, true filled" for n in NAMES))
 def file_inventory(spark, sf):
-    files = inventory.relative_names(inventory.file_inventory(spark, sf), "file:" + sf)
+    files = inventory.relative_names(inventory.file_inventory(spark, sf), qualified(spark, sf))
     return files.select("name", (F.col("length") > 0).alias("filled"))
 
 

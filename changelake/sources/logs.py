@@ -11,6 +11,18 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a directory that nothing refers to any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` as file listings spell it, with its file system."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(target).toString()
+
+
 def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of a log; none if nothing was written yet."""
     if not exists(spark, path):
@@ -20,5 +32,5 @@ def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_log(rows: DataFrame, path: str, *partition: str) -> None:
-    """Write one part of a log. Writing it again replaces it, so a repeated batch is harmless."""
+    """Write one part of a log. Writing it again replaces it, so a repeat after a failure is harmless."""
     rows.write.mode("overwrite").partitionBy(*partition).parquet(path)

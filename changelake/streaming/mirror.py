@@ -2,27 +2,32 @@
 
 Per micro-batch: transactions that ended meet their rows from this and earlier batches; rows of
 open transactions wait below ``_feed/pending``; released rows are decoded and published per
-table. All paths of a batch carry its number, so a repeated batch replaces what it wrote.
+table. All paths of a batch carry its number: repeated after a failure, it replaces what it wrote,
+and leaves alone what it had published.
 """
 
 from __future__ import annotations
 
 import datetime
+import time
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from changelake.operators import decode, monitor, transactions
+from changelake.operators import compaction, decode, monitor, transactions
+from changelake.operators.maintenance import RUNS
 from changelake.operators.relations import (
     TableShape, bind_relation, relation_versions, unknown_relation)
 from changelake.session import fits, sized
 from changelake.sources.envelope import ABORTS, CHANGES, rows_only
-from changelake.sources.logs import read_log, write_log
+from changelake.sources.logs import exists, read_log, remove, write_log
 from changelake.streaming.table import MirroredTable
 
 STEP = 1000  # snapshot ids of a batch and of the maintenance that follows it
 BATCHES = "batch_id BIGINT, messages MAP<STRING, BIGINT>, last_lsn BIGINT, finished_at TIMESTAMP"
+TRIMS = "trim BIGINT, first_batch BIGINT"
 ERRORS = """table_name STRING, lsn BIGINT, seq INT, xid BIGINT, kind STRING, relation_id BIGINT,
             reasons ARRAY<STRING>, batch BIGINT"""
 
@@ -59,6 +64,9 @@ class Mirror:
             raise query.exception()
 
     def apply_batch(self, batch: DataFrame, batch_id: int) -> None:
+        done = self._feed(f"batches/batch={batch_id}")
+        if exists(self.spark, f"{done}/_SUCCESS"):
+            return  # the stream stopped after this batch was finished and before it noted so
         batch = transactions.deduplicate(batch).persist()
         try:
             counts = batch.groupBy(monitor.label().alias("kind")).agg(
@@ -78,13 +86,23 @@ class Mirror:
             batch.unpersist()
         row = (batch_id, {r.kind: r.n for r in counts}, max((r.lsn for r in counts), default=None),
                datetime.datetime.now(datetime.timezone.utc))
-        write_log(self.spark.createDataFrame([row], BATCHES).coalesce(1),
-                  self._feed(f"batches/batch={batch_id}"))
+        write_log(self.spark.createDataFrame([row], BATCHES).coalesce(1), done)
         if self.compact_every and (batch_id + 1) % self.compact_every == 0:
-            for table in self.tables.values():
-                table.compact()
+            self.compact(batch_id)
             self.trim_pending()
 
+    def compact(self, run: int) -> None:
+        """Merge small log files of every table, and keep the totals of the run."""
+        start = time.time()
+        stats = [s for s in (t.compact() for t in self.tables.values()) if s is not None]
+        if stats:
+            merged = reduce(DataFrame.unionByName, stats)
+            totals = compaction.run_totals(merged, len(self.tables), time.time() - start)
+            write_log(totals.coalesce(1), self._feed(f"compactions/run={run}"))
+
+    def compactions(self) -> DataFrame:
+        return read_log(self.spark, self._feed("compactions"), RUNS)
+
     def versions(self, batch_id: int | None = None) -> DataFrame:
         """Relation versions known up to a batch."""
         messages = read_log(self.spark, self._feed("relations"), CHANGES + ", batch BIGINT")
@@ -109,7 +127,7 @@ class Mirror:
     def _released(self, batch: DataFrame, ends: DataFrame, batch_id: int, aborts: bool) -> DataFrame:
         """Committed rows of the transactions that end in this batch; the others are put by."""
         number = F.pmod("xid", F.lit(self.pending_buckets)).cast("int").alias("xb")
-        place, ends = self._put_by(), sized(ends)
+        place, ends = self._put_by(batch_id), sized(ends)
         open_rows = transactions.pending(batch, ends, None if aborts else self._no_parts())
         write_log(open_rows.select("*", number), f"{place}/pending/batch={batch_id}", "xb")
         write_log(ends.select("xid"), f"{place}/ended/batch={batch_id}")
@@ -124,44 +142,58 @@ class Mirror:
 
         waited = earlier("pending").join(ends.select("xid"), "xid", "left_semi")
         known = batch.where(F.col("kind").isin(*ABORTS)).unionByName(earlier("parts"))
-        rows = transactions.deduplicate(rows_only(batch).unionByName(waited))
+        rows = rows_only(batch)
+        if not waited.isEmpty():
+            # A row put by earlier may have been delivered again now.
+            rows = transactions.deduplicate(rows.unionByName(waited))
         return transactions.committed(known, rows, ends)
 
     def _no_parts(self) -> DataFrame:
         return self.spark.createDataFrame([], "xid BIGINT, sub_xid BIGINT")
 
-    def _put_by(self) -> str:
-        """Where rows of open transactions are: a new place after each trim."""
-        trims = read_log(self.spark, self._feed("trims"), "trim BIGINT")
-        last = 0 if trims.isEmpty() else trims.agg(F.max("trim")).first()[0]
+    def _put_by(self, batch_id: int) -> str:
+        """Where a batch finds and leaves rows of open transactions: a new place after each trim.
+
+        A trim serves the batches after it; one that is repeated goes back to the place before.
+        """
+        trims = read_log(self.spark, self._feed("trims"), TRIMS).where(F.col("first_batch") <= batch_id)
+        last = trims.agg(F.max("trim")).first()[0] or 0
         return self._feed(f"open-{last}")
 
     def _kept(self, place: str, name: str) -> DataFrame:
         schema = "xid BIGINT, batch BIGINT" if name == "ended" else CHANGES + ", batch BIGINT, xb INT"
         return read_log(self.spark, f"{place}/{name}", schema)
 
+    def _next_batch(self) -> int:
+        done = self.last_batch()
+        return 0 if done is None else done + 1
+
     def pending(self) -> DataFrame:
-        """Rows of transactions that no batch has ended, without parts rolled back."""
-        place = self._put_by()
-        ended = self._kept(place, "ended").select("xid").distinct()
-        dropped = self._kept(place, "parts").select("xid", "sub_xid").distinct()
-        rows = self._kept(place, "pending").drop("xb").join(sized(ended), "xid", "left_anti")
-        return transactions.deduplicate(rows.join(sized(dropped), ["xid", "sub_xid"], "left_anti"))
+        """Rows of transactions that no finished batch has ended, without parts rolled back."""
+        upto = self._next_batch()
+        place, before = self._put_by(upto), F.col("batch") < upto
+        ended = self._kept(place, "ended").where(before).select("xid").distinct()
+        dropped = self._kept(place, "parts").where(before).select("xid", "sub_xid").distinct()
+        rows = self._kept(place, "pending").where(before).drop("xb")
+        rows = rows.join(sized(ended), "xid", "left_anti")
+        return transactions.deduplicate(transactions.outside(rows, dropped))
 
     def trim_pending(self) -> None:
         """Write what is still open to a new place, without transactions that ended since."""
-        done, place = self.last_batch(), self._put_by()
-        if done is None:
-            return
-        trim = int(place.rsplit("-", 1)[1]) + 1
+        first = self._next_batch()
+        place = self._put_by(first)
+        last = int(place.rsplit("-", 1)[1])
+        before = F.col("batch") < first
         number = F.pmod("xid", F.lit(self.pending_buckets)).cast("int").alias("xb")
-        ended = sized(self._kept(place, "ended").select("xid").distinct())
-        parts = self._kept(place, "parts").drop("xb").join(ended, "xid", "left_anti")
+        ended = sized(self._kept(place, "ended").where(before).select("xid").distinct())
+        parts = self._kept(place, "parts").where(before).drop("xb").join(ended, "xid", "left_anti")
         for name, rows in (("pending", self.pending()), ("parts", parts)):
             write_log(rows.drop("batch").select("*", number),
-                      self._feed(f"open-{trim}/{name}/batch={done}"), "xb")
-        write_log(self.spark.createDataFrame([(trim,)], "trim BIGINT").coalesce(1),
-                  self._feed(f"trims/at={trim}"))
+                      self._feed(f"open-{last + 1}/{name}/batch={first - 1}"), "xb")
+        write_log(self.spark.createDataFrame([(last + 1, first)], TRIMS).coalesce(1),
+                  self._feed(f"trims/at={last + 1}"))
+        # Only the last batch can be repeated, and it needs at most the place before this one.
+        remove(self.spark, self._feed(f"open-{last - 1}"))
 
     def _publish(self, released: DataFrame, batch_id: int) -> None:
         versions, few, shapes = self._shapes(batch_id)
@@ -177,9 +209,10 @@ class Mirror:
             shape = shapes[name]
             decoded = decode.to_columns(decode.bind(released, versions, shape, few), shape)
             unfit = Observation()
-            decoded = decoded.observe(unfit, F.count("unfit").alias("rows"))
-            self.tables[name].append(decode.fit(decoded), shape, (batch_id + 1) * STEP, fold)
-            if unfit.get["rows"]:
+            seen = decoded.observe(unfit, F.count("unfit").alias("rows"))
+            rows = self.tables[name].append(decode.fit(seen), shape, (batch_id + 1) * STEP, fold)
+            # Without a write there is no count; the job may have stopped before the errors.
+            if rows is None or unfit.get["rows"]:
                 self._errors(decode.quarantine(decoded), name, batch_id)
 
     def _errors(self, rows: DataFrame, name: str | None, batch_id: int) -> None:
@@ -231,3 +264,20 @@ class Mirror:
         return self.spark.createDataFrame(
             rows, "table_name STRING, feed_lsn BIGINT, applied_lsn BIGINT").withColumn(
             "lag_bytes", F.greatest(F.col("feed_lsn") - F.col("applied_lsn"), F.lit(0)))
+
+    def health(self, degraded_bytes: int, unhealthy_bytes: int) -> DataFrame:
+        """Components in the form that ``status_rollup`` takes: storage and lag per table."""
+        far = F.when(F.col("lag_bytes") >= unhealthy_bytes, "unhealthy").when(
+            F.col("lag_bytes") >= degraded_bytes, "degraded").otherwise("healthy")
+        lag = self.lag().select(
+            F.concat(F.lit("replication:"), "table_name").alias("component"), far.alias("status"),
+            F.create_map(F.lit("lag_bytes"), F.col("lag_bytes").cast("string")).alias("details"))
+        parts = [lag]
+        for table in self.tables.values():
+            size = table.live().agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"))
+            parts.append(size.select(
+                F.lit(f"storage:{table.full_name}").alias("component"),
+                F.when(F.col("files") > 0, "healthy").otherwise("degraded").alias("status"),
+                F.create_map(F.lit("files"), F.col("files").cast("string"), F.lit("bytes"),
+                             F.coalesce("bytes", F.lit(0)).cast("string")).alias("details")))
+        return reduce(DataFrame.unionByName, parts).withColumn("checked_at", F.current_timestamp())

@@ -26,23 +26,48 @@ def test_transactions(spark):
     assert {r.k for r in transactions.pending(changes).collect()} == {5}
 
 
-def test_large_marker_sides_join_without_broadcast(spark, monkeypatch):
-    """Beyond the counted size nothing is hinted, and the rows are the same."""
+@pytest.fixture
+def nothing_fits(spark, monkeypatch):
     from changelake import session
-    rows = [(i, 0, i % 50, i % 50, "insert", i, "x") for i in range(500)]
-    rows += [(1000 + x, 0, x, None, "commit", None, None) for x in range(0, 50, 2)]
-    changes = spark.createDataFrame(rows, FEED)
-    small = transactions.committed(changes)
-    monkeypatch.setattr(session.fits, "__defaults__", (3,))
-    monkeypatch.setattr(session.sized, "__defaults__", (3,))
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    monkeypatch.setattr(session.fits, "__defaults__", (0,))
+    monkeypatch.setattr(session.sized, "__defaults__", (0,))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "200KB",
+                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "200KB"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    yield
+    for key in settings:
+        spark.conf.unset(key)
+
+
+def test_large_sides_join_without_broadcast(spark, nothing_fits):
+    """Beyond the counted size nothing is hinted, and the rows are the same."""
+    rows = [(i, 0, i % 50, i % 50 if i % 2 else 100 + i, "insert", i, "x") for i in range(500)]
+    rows += [(1000 + x, 0, x, None, "commit", None, None) for x in range(0, 50, 4)]
+    rows += [(2000 + x, 0, x % 50, 100 + x, "stream_abort", None, None) for x in range(0, 100, 2)]
+    found = transactions.committed(spark.createDataFrame(rows, FEED))
+    assert "SortMergeJoin [xid" in found._jdf.queryExecution().toString()
+    gone = {x for x in range(0, 100, 2)}
+    assert {r.k for r in found.collect()} == {i for i in range(500) if i % 50 % 4 == 0 and i not in gone}
+
+
+def test_one_transaction_with_a_third_of_the_rows_is_split(spark, nothing_fits):
+    n = 60_000
+    xid = "if(id % 3 = 0, 7, id % 500)"
+    rows = spark.range(n).selectExpr("id lsn", "0 seq", f"{xid} xid", f"{xid} sub_xid", "'insert' kind", "id k",
+                                     "repeat(sha2(cast(id as string), 256), 2) v").repartition(8)
+    ends = spark.range(500).selectExpr(f"id + {n} lsn", "1 seq", "id xid", "'commit' kind")
+    changes = rows.unionByName(ends, allowMissingColumns=True)
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
     try:
-        large = transactions.committed(changes)
-        plan = large._jdf.queryExecution().toString()
-        assert "SortMergeJoin [xid" in plan
-        assert large.exceptAll(small).isEmpty() and large.count() == small.count() == 250
+        total = state.current_state(transactions.committed(changes), ["k"], ["v"]).agg(
+            F.count("k").alias("n"), F.sum(F.length("v")).alias("size"))
+        assert tuple(total.first()) == (n, n * 128)
+        total.collect()
+        assert "skew=true" in total._jdf.queryExecution().executedPlan().toString()
     finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
 LOG = "k BIGINT, kind STRING, a STRING, a_f STRING, n BIGINT, commit_lsn BIGINT, lsn BIGINT, seq INT"
@@ -390,3 +415,20 @@ def test_sql(spark):
     assert [r.source_type for r in described.orderBy("ordinal").collect()] == ["int4", "int8", "text", "numeric", "date", "bool"]
     child, parent = spark.createDataFrame([(1, 999), (2, 1), (3, None)], "id INT, user_id INT"), spark.createDataFrame([(1,)], "id INT")
     assert [r.id for r in relational.orphans(child, parent, [("user_id", "id")]).collect()] == [1]
+
+
+def test_query_log(spark, tmp_path):
+    log = str(tmp_path / "log")
+    assert relational.run_logged(spark, "select :x x", log, {"x": 3}).first().x == 3
+    with pytest.raises(Exception):
+        relational.run_logged(spark, "select * from no_such_table", log)
+    rows = spark.read.parquet(log)
+    assert {r.status for r in rows.collect()} == {"ok", "error"}
+    assert monitor.duration_histogram(rows, "seconds").where("le = 'Infinity'").first().at_most == 2
+    assert monitor.query_counts(rows, "status").count() == 2
+
+
+def test_views_kept_small(spark):
+    relational.register({"few": spark.range(3), "many": spark.range(300_000)}, keep_small=True)
+    assert spark.catalog.isCached("few") and not spark.catalog.isCached("many")
+    assert "Exchange" not in spark.sql("select count(*) from few")._jdf.queryExecution().executedPlan().toString()

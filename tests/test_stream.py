@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from changelake.operators import monitor
 from changelake.sources.envelope import CHANGES, read_changes
+from changelake.sources.logs import remove
 from changelake.streaming.mirror import STEP, Mirror
 from changelake.streaming.table import MirroredTable
 
@@ -63,15 +65,33 @@ def contents(m, name):
     return set() if df is None else {tuple(r) for r in df.collect()}
 
 
-def test_cuts_repeats_and_redelivery(spark, tmp_path):
+def test_cuts_repeats_and_redelivery(spark, tmp_path, monkeypatch):
     """Batches cut inside transactions, one run twice, rows and markers delivered again."""
     m = mirror(spark, tmp_path / "m")
     bounds = [(0, 18), (14, 24), (20, 99)]  # overlapping: the overlap comes twice
+    append = MirroredTable.append
+
+    def fails(table, *args):
+        if table.name == "users":
+            raise RuntimeError("lost")
+        return append(table, *args)
+
     for n, (low, high) in enumerate(bounds):
         batch = spark.createDataFrame([r for r in FEED if low <= r[0] < high], CHANGES)
+        if n == 2:
+            # It stops between two tables; readers see neither until the batch is finished.
+            monkeypatch.setattr(MirroredTable, "append", fails)
+            with pytest.raises(RuntimeError, match="lost"):
+                m.apply_batch(batch, n)
+            monkeypatch.setattr(MirroredTable, "append", append)
+            assert contents(m, "users") == before and contents(m, "items") == {(5, "x")}
         m.apply_batch(batch, n)
         if n == 1:
+            # The job stopped after the batch, and after maintenance that builds on it.
             before = contents(m, "users")
+            m.compact(n)
+            m.trim_pending()
+            remove(spark, f"{m.root}/_feed/batches/batch={n}")
             m.apply_batch(batch.unionByName(batch), n)
             assert contents(m, "users") == before
     assert contents(m, "users") == USERS_AFTER and contents(m, "items") == ITEMS_AFTER
@@ -84,7 +104,8 @@ def test_cuts_repeats_and_redelivery(spark, tmp_path):
     assert {tuple(r) for r in users.read_at_lsn(13).collect()} == {(1, "ann", 30), (2, "bob", 40)}
     assert {tuple(r) for r in m.read("public.users", as_of=STEP).collect()} == {(1, "ann", 30), (2, "bob", 40)}
     chain = users.snapshots().orderBy("sequence").collect()
-    assert [(r.sequence, r.parent_snapshot_id) for r in chain] == [(1, 0), (2, STEP), (3, 2 * STEP)]
+    assert [(r.sequence, r.snapshot_id, r.parent_snapshot_id) for r in chain] == [
+        (1, STEP, 0), (2, 2 * STEP, STEP), (3, 2 * STEP + 1, 2 * STEP), (4, 3 * STEP, 2 * STEP + 1)]
     lag = {r.table_name: r.lag_bytes for r in m.lag().collect()}
     assert lag == {"public.users": 1, "public.items": 1}
     assert sorted(m.register()) == ["items", "users"]
@@ -105,8 +126,11 @@ def test_stream_merge_on_read_and_maintenance(spark, tmp_path):
     log = sorted(map(str, users.read_log().collect()))
     m.trim_pending()
     assert {r.xid for r in m.pending().collect()} == {109}
-    stats = users.compact()
-    assert stats.first().files_before >= 2
+    m.compact(1)
+    assert m.compactions().first().files_processed >= 2
+    health = m.health(10**6, 10**9)
+    assert health.count() == 4 and monitor.status_rollup(health).first().status == "healthy"
+    assert monitor.status_rollup(m.health(1, 10**9)).first().status == "degraded"
     assert users.snapshot().operation == "compact"
     assert sorted(map(str, users.read_log().collect())) == log
     assert contents(m, "users") == USERS_AFTER
