@@ -65,15 +65,16 @@ def parse(html: str) -> Page:
             if in_link:
                 linked += len(raw)
 
-    def close(names, stops) -> None:
+    def close(names, stops) -> bool:
         for depth in range(len(stack) - 1, 0, -1):
             name = page.name[stack[depth]]
             if name in names:
                 flush()
                 del stack[depth:]
-                return
+                return True
             if name in stops:
-                return
+                break
+        return False
 
     while at < size:
         match = TAG.search(html, at)
@@ -99,7 +100,8 @@ def parse(html: str) -> Page:
                 buffer.append(" " if name == "br" else "")
             continue
         if ends:
-            close((name,), ())
+            if not close((name,), ()) and name == "p":
+                flush()  # a stray end of a paragraph is an empty one
             in_link = False
             continue
         if name in VOID:

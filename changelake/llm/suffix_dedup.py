@@ -172,12 +172,14 @@ def _grouped(documents: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
                 pick = np.repeat(np.arange(len(at)), count)
                 group = near[pick] + np.arange(len(pick)) - np.repeat(np.cumsum(count) - count, count)
                 head = at[pick] - GROUP * group  # the last string of a whole group starts here
-                begin = np.maximum(first[pick], head - GROUP + 1)
-                end = np.minimum(last[pick], head)
                 sums = hashing.sums(data)
                 core = hashing.spans(sums, head, head - GROUP + 1 + length)
                 low, high = offsets[owner[pick]], offsets[owner[pick] + 1]
                 fits = (head - GROUP + 1 >= low) & (head + length <= high)
+                # A group that lies in the text is taken whole, also where its strings have another
+                # minimiser: any group of the same cover can then stand for it.
+                begin = np.where(fits, head - GROUP + 1, np.maximum(first[pick], head - GROUP + 1))
+                end = np.where(fits, head, np.minimum(last[pick], head))
                 whole = np.zeros(len(pick), np.uint64)
                 whole[fits] = hashing.spans(sums, head[fits] - GROUP + 1, head[fits] + length)
                 yield pa.RecordBatch.from_arrays([
