@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from changelake.llm.common import small_batches, store
+from changelake.llm.common import prepare, store
 from changelake.llm.vectors import usable
 
 BLOCK = 8192
@@ -169,7 +169,7 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, dro
                                        np.frombuffer(row.qvals, np.int64).reshape(len(query_ids), -1), k, dropped)
                 yield pd.DataFrame({"query_id": q, "vec_id": v, "score": s})
 
-    small_batches(spark)
+    prepare(spark)
     index = (rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
              .groupBy("block").applyInPandas(build, "block int, ids binary, vals binary, low long, bits int, planes binary"))
     packed = (rows.where(asked).withColumn("pack", F.pmod(F.xxhash64("vec_id"), F.lit(packs)).cast("int"))

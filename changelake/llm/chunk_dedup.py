@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from changelake.llm.common import STEP, hinted, small_batches, span_hash, store, texts
+from changelake.llm.common import STEP, hinted, prepare, span_hash, store, texts
 
 GEAR = np.random.default_rng(2024).integers(0, 2**32, 256, dtype=np.uint32)
 SPACE = np.zeros(256, bool)
@@ -117,7 +117,7 @@ def deduplicate(documents: DataFrame, least: int = 100) -> DataFrame:
     same text; texts of rows without a doc_id stay, and come before all others. Other columns stay;
     those that have one of the new names give way.
     """
-    small_batches(documents.sparkSession)
+    prepare(documents.sparkSession)
     base = documents.drop("n_bytes", "n_removed", "n_spans", "__spans")
     spans = store(repeated_spans(base, least), "spans")
     spans = hinted(spans, F.size("spans") * 16)

@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import functools
+import pathlib
+import tempfile
+import weakref
+import zipfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import changelake
 from changelake.session import scratch_path
 
 # Bytes of text that one numpy step works on; a longer text is one step of its own.
@@ -26,9 +31,25 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of 4 MB at most (or one row), as texts can be long; holds for later plans."""
+_SHIPPED: weakref.WeakSet = weakref.WeakSet()
+
+
+def prepare(spark: SparkSession) -> None:
+    """Lets Python workers run this package's functions on batches of whole texts.
+
+    Arrow batches hold 4 MB at most (or one row), as texts can be long; this holds for later plans.
+    The package goes to the executors once for each application, as they may not have it installed.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    context = spark.sparkContext
+    if context not in _SHIPPED:
+        package = pathlib.Path(changelake.__file__).parent
+        archive = pathlib.Path(tempfile.mkdtemp(prefix="changelake-")) / "changelake.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for file in sorted(package.rglob("*.py")):
+                out.write(file, file.relative_to(package.parent))
+        context.addPyFile(str(archive))
+        _SHIPPED.add(context)
 
 
 def hinted(df: DataFrame, size: Column, limit: int = BROADCAST_BYTES) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from changelake.llm.common import small_batches, store
+from changelake.llm.common import prepare, store
 from changelake.llm.vectors import matrix, usable
 
 RANGE_ROWS = 2048
@@ -86,7 +86,7 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, curves: int = 8,
     no order that keeps neighbours close, so recall is bought with wide windows. A range that equal
     keys make larger than two ranges is split by a salt, and its queries go to every piece.
     """
-    spark = vectors.sparkSession
+    prepare(vectors.sparkSession)
     rows = store(usable(vectors, zero=False), "vectors")
     size, mean, spread = _moments(rows)
     total = rows.count()
@@ -156,7 +156,6 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, curves: int = 8,
         return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype(
             {"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
-    small_batches(spark)
     found = (salted.join(rows, "vec_id").groupBy("curve", "place", "piece")
              .cogroup(windows.groupBy("q_curve", "q_place", "q_piece"))
              .applyInPandas(near, "query_id long, vec_id long, score double"))

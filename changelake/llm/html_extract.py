@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changelake.llm.common import small_batches
+from changelake.llm.common import prepare
 from changelake.llm.dom import Page, parse
 
 BUCKETS = 4096
@@ -309,7 +309,7 @@ def extract(pages: DataFrame, model: TreeModel) -> DataFrame:
     null or empty page, or one without content, has an empty text and 0. Repeated rows give repeated
     rows; other columns are left out.
     """
-    small_batches(pages.sparkSession)
+    prepare(pages.sparkSession)
 
     def run(batches):
         for batch in batches:

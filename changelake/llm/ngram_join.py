@@ -20,12 +20,11 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changelake.llm.common import hinted, mix, small_batches, span_hash, store, texts, words
+from changelake.llm.common import hinted, mix, prepare, span_hash, store, texts, words
 from changelake.llm.graph import components
 
 TILE = 512
@@ -139,23 +138,24 @@ class CountTree:
     """An R-tree over count vectors, bulk loaded by sorting; nodes know their largest coordinates."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray):
+        self.order, self.points, self.sizes = np.arange(len(points)), points, sizes
+        self.levels: list = []  # (largest coordinates, least size) by node, leaves first
+        if len(points) <= LEAF:  # one leaf: its points are looked at one by one
+            return
         # Neighbours in the order of coarser and coarser counts share leaves.
         halves = [points.reshape(len(points), g, -1).sum(2) for g in (8, 4, 2) if points.shape[1] >= g]
         keys = [column for h in halves for column in h.T[::-1]] + [sizes]
-        self.order = np.lexsort(keys) if len(points) else np.zeros(0, np.int64)
+        self.order = np.lexsort(keys)
         self.points, self.sizes = points[self.order], sizes[self.order]
-        self.levels = []  # (largest coordinates, least size) by node, leaves first
         tops, least = self.points, self.sizes
-        while len(tops) > 1 or not self.levels:
-            cuts = np.arange(0, max(1, len(tops)), LEAF)
-            if not len(tops):
-                break
+        while len(tops) > 1:
+            cuts = np.arange(0, len(tops), LEAF)
             tops, least = np.maximum.reduceat(tops, cuts, axis=0), np.minimum.reduceat(least, cuts)
             self.levels.append((tops, least))
 
     def survivors(self, probe: np.ndarray, size: int, rule: Rule) -> np.ndarray:
         """Numbers of the points whose bound allows a link with a set of ``size`` at ``probe``."""
-        nodes = np.arange(len(self.levels[-1][0])) if self.levels else np.zeros(0, np.int64)
+        nodes = np.arange(len(self.levels[-1][0]) if self.levels else len(self.points))
         for depth in range(len(self.levels) - 1, -1, -1):
             tops, least = self.levels[depth]
             held = np.minimum(tops[nodes], probe).sum(1) >= rule.shared(size, least[nodes])
@@ -357,24 +357,54 @@ def _across(blocks: DataFrame, parts: DataFrame, sets: DataFrame, rule: Rule) ->
         "block", "tile.*", "doc_id", "component", "ours")
     light = sets.select("doc_id", "counts", (F.octet_length("tokens") / 8).cast("long").alias("n"))
 
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        counts = [np.frombuffer(c, np.uint16) for c in pdf["counts"]]
-        groups = min(map(len, counts))
-        points = np.array([coarsened(c, groups) for c in counts])
-        ids, sizes, parts = (pdf[c].to_numpy() for c in ("doc_id", "n", "component"))
-        mixed, ours = bool(pdf["mixed"].iloc[0]), pdf["ours"].to_numpy(bool)
-        held = np.flatnonzero(ours) if mixed else np.arange(len(ids))
-        asking = np.flatnonzero(~ours) if mixed else held
-        tree, found = CountTree(points[held], sizes[held]), []
-        for i in asking:
-            near = held[tree.survivors(points[i], sizes[i], rule)]
-            near = near[(parts[near] != parts[i]) & (mixed | (ids[near] < ids[i]))]
-            found.append(np.stack([np.minimum(ids[near], ids[i]), np.maximum(ids[near], ids[i])], 1))
-        found = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
-
-    return (tiled.join(light, "doc_id").groupBy("block", "mixed", "i", "j")
-            .applyInPandas(search, "a long, b long").distinct())
+    def search(batches):
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables(
+                [held, pa.Table.from_batches([batch])])
+            tile = [rows.column(c).to_numpy() for c in ("block", "mixed", "i", "j")]
+            edges = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in tile])) + 1
+            edges = [0, *edges.tolist()]
+            # The last tile may go on in the next batch.
+            yield _tiles(rows.slice(0, edges[-1]), edges)
+            held = rows.slice(edges[-1])
+        if held is not None:
+            yield _tiles(held, [0, len(held)])
+
+    def _tiles(rows, edges):
+        ids, sizes, parts, ours, mixed = (rows.column(c).to_numpy() for c in ("doc_id", "n", "component", "ours", "mixed"))
+        counts = [np.frombuffer(c, np.uint16) for c in rows.column("counts").to_pylist()]
+        found = [np.zeros((0, 2), np.int64)]
+        for low, high in zip(edges, edges[1:], strict=False):
+            if high - low > 1 and (parts[low:high] != parts[low]).any():
+                near = _near(counts[low:high], sizes[low:high], parts[low:high],
+                             ours[low:high] if mixed[low] else None, ids[low:high], rule)
+                if len(near):
+                    found.append(ids[low:high][near])
+        found = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+    key = ["block", "mixed", "i", "j"]
+    return (tiled.join(light, "doc_id").repartition(*key).sortWithinPartitions(*key)
+            .mapInArrow(search, "a long, b long").distinct())
+
+
+def _near(counts, sizes, parts, ours, ids, rule: Rule) -> np.ndarray:
+    """Pairs of row numbers of a tile, in different components, that the bound cannot tell from links.
+
+    With ``ours`` the rows it marks are held and the others ask, else all rows ask all.
+    """
+    groups = min(map(len, counts))
+    points = np.array([coarsened(c, groups) for c in counts])
+    held = np.flatnonzero(ours) if ours is not None else np.arange(len(ids))
+    asking = np.flatnonzero(~ours) if ours is not None else held
+    tree = CountTree(points[held], sizes[held])
+    out = [np.zeros((0, 2), np.int64)]
+    for i in asking:
+        near = held[tree.survivors(points[i], sizes[i], rule)]
+        near = near[(parts[near] != parts[i]) & ((ids[near] < ids[i]) | (ours is not None))]
+        out.append(np.stack([near, np.full(len(near), i)], 1))
+    return np.concatenate(out)
 
 
 def link(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
@@ -386,7 +416,7 @@ def link(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
     without a doc_id have no component and link with nothing. Other columns are left out; an empty
     table gives an empty one. Shingles are told apart by 64-bit hashes, equal sets by 128 bits.
     """
-    small_batches(documents.sparkSession)
+    prepare(documents.sparkSession)
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     usable = documents.where("doc_id is not null and text is not null")
     sets = store(_sets(documents, rule), "sets")

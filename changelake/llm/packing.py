@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from changelake.llm.common import small_batches, store
+from changelake.llm.common import prepare, store
 
 REMEMBERED = 400_000
 CLOSING = 2
@@ -105,7 +105,7 @@ def pieces(documents: DataFrame, path: str, size: int) -> DataFrame:
 
     ``place`` counts the pieces of one length within the partition ``part``.
     """
-    small_batches(documents.sparkSession)
+    prepare(documents.sparkSession)
 
     def cut(batches):
         from pyspark import TaskContext

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from changelake.llm.common import blobs, hinted, small_batches, span_hash, store, texts
+from changelake.llm.common import blobs, hinted, prepare, span_hash, store, texts
 
 GRAM = 64
 GROUP = 16
@@ -215,7 +215,7 @@ def _strings(documents: DataFrame, open_groups: DataFrame, length: int) -> DataF
 
 def repeated_starts(documents: DataFrame, length: int = 400, batches: int = BATCHES) -> DataFrame:
     """(t, starts): ranges (first, last) of starts of strings that also start elsewhere, by text."""
-    small_batches(documents.sparkSession)
+    prepare(documents.sparkSession)
     index = store(suffixes(documents, length), "suffixes")
     family, shared = IndexFamily(), None
     batch = F.pmod(F.xxhash64("t"), F.lit(batches))

@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from changelake.llm.common import small_batches
+from changelake.llm.common import prepare
 
 # Words that a Python worker remembers between batches (about 150 MB); then it starts anew.
 REMEMBERED = 400_000
@@ -170,7 +170,7 @@ def encode_decode(documents: DataFrame, path: str) -> DataFrame:
     other columns are left out. The distinct new words of a batch go into one trie; a worker
     remembers a bounded number of encoded words, which changes speed alone.
     """
-    small_batches(documents.sparkSession)
+    prepare(documents.sparkSession)
 
     def run(batches):
         encoder = trie_encoder(path)
