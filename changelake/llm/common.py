@@ -19,7 +19,7 @@ import changelake
 from changelake.session import scratch_path
 
 # Bytes of text that one numpy step works on; a longer text is one step of its own.
-STEP = 1 << 20
+STEP = 1 << 17
 # Bytes that may be broadcast, once they are summed.
 BROADCAST_BYTES = 16 << 20
 
@@ -83,7 +83,7 @@ def texts(column: pa.Array, step: int = STEP) -> Iterator[tuple[int, np.ndarray,
 def mix(values: np.ndarray) -> np.ndarray:
     """A bijection on 64 bits that spreads every bit."""
     values = values ^ (values >> np.uint64(32))
-    values = values * np.uint64(0xD6E8FEB86659FD93)
+    values *= np.uint64(0xD6E8FEB86659FD93)
     values ^= values >> np.uint64(32)
     values *= np.uint64(0xD6E8FEB86659FD93)
     values ^= values >> np.uint64(32)
@@ -112,10 +112,20 @@ class SpanHash:
 
     def sums(self, data: np.ndarray) -> np.ndarray:
         self._grow(len(data) + 1)
-        out = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.values[data] * self.up[:len(data)], out=out[1:])
+        out = np.empty(len(data) + 1, np.uint64)
+        out[0] = 0
+        part = self.values[data]
+        part *= self.up[:len(data)]
+        np.cumsum(part, out=out[1:])
         return out
 
+    def windows(self, sums: np.ndarray, width: int) -> np.ndarray:
+        """The hashes of all spans of one width."""
+        count = len(sums) - width
+        out = sums[width:] - sums[:count]
+        out *= self.down[:count]
+        return mix(out)
+
     def spans(self, sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         return mix((sums[stop] - sums[start]) * self.down[start])
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changelake.llm.common import hinted, mix, prepare, span_hash, store, texts, words
+from changelake.llm.common import hinted, longs, mix, prepare, span_hash, store, texts, words
 from changelake.llm.graph import components
 
 TILE = 512
@@ -44,82 +44,87 @@ class Rule:
         return -(-self.part * (a + b) // (self.over + self.part))
 
     @functools.cached_property
-    def classes(self) -> list[int]:
+    def classes(self) -> np.ndarray:
         """Least sizes of the size classes: linked sets lie in one class or in neighbouring ones."""
         out = [1]
         while out[-1] < 1 << 40:
             out.append(max(out[-1] + 1, out[-1] * self.over // self.part + 1))
-        return out
+        return np.array(out)
 
-    @functools.lru_cache(4096)  # noqa: B019
-    def groups(self, number: int) -> tuple[int, int]:
-        """(groups, empty groups that may be) for pairs whose larger set is in class ``number``.
+    @functools.cached_property
+    def groups(self) -> tuple[np.ndarray, np.ndarray]:
+        """(groups, empty groups that may be) for pairs whose larger set is in a class; 0 if it has none.
 
         Sets of the class and of the one below differ in d shingles at most, which leaves as many
         groups alike as there are above d. Some of these may be empty in both, so there are more; a
         set with more empty groups than that belongs to an extra block with others of its kind.
         """
-        largest = self.classes[number + 1] - 1
-        smallest = self.classes[max(0, number - 1)]
-        apart = 2 * largest * (self.over - self.part) // (self.over + self.part)
-        spare = 2
-        for _ in range(4):
-            empty = (apart + 1 + spare) * math.exp(-smallest / (apart + 1 + spare))
-            spare = max(2, min(apart + 2, math.ceil(empty + 3 * math.sqrt(empty))))
-        return apart + 1 + spare, spare
-
-    def differ(self, number: int) -> bool:
-        """Whether sets of this class can link at all without being equal."""
-        return 2 * (self.classes[number + 1] - 1) * (self.over - self.part) >= self.over + self.part
-
-
-def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text; fewer words than ``size`` are one shingle."""
+        counts, spares = [], []
+        for number in range(len(self.classes) - 1):
+            largest, smallest = int(self.classes[number + 1]) - 1, int(self.classes[max(0, number - 1)])
+            apart = 2 * largest * (self.over - self.part) // (self.over + self.part)
+            spare = 2
+            for _ in range(4):
+                empty = (apart + 1 + spare) * math.exp(-smallest / (apart + 1 + spare))
+                spare = max(2, min(apart + 2, math.ceil(empty + 3 * math.sqrt(empty))))
+            counts.append(apart + 1 + spare if apart else 0)
+            spares.append(spare)
+        return np.array(counts), np.array(spares)
+
+
+def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, bounds): the sorted distinct shingles of each text; few words are one shingle."""
     starts, stops, first = words(data, offsets)
     hashing = span_hash(202, fold=True)
     word = hashing.spans(hashing.sums(data), starts, stops)
-    step, joined = np.uint64(0x9E3779B97F4A7C15), np.zeros(max(0, len(word) - size + 1), np.uint64)
+    step, joined = np.uint64(0x9E3779B97F4A7C15), np.zeros(len(word), np.uint64)
+    full = max(0, len(word) - size + 1)
     for j in range(size):
-        joined = mix(joined * step + word[j:j + len(joined)])
-    out = []
+        joined[:full] = mix(joined[:full] * step + word[j:j + full])
+    new = np.zeros(len(word), bool)
     for low, high in zip(first.tolist(), first[1:].tolist(), strict=False):
         if high - low >= size:
-            out.append(np.unique(joined[low:high - size + 1]))
+            joined[low:high - size + 1].sort()
+            new[low:high - size + 1] = True
         elif high > low:
             value = np.array([high - low], np.uint64)
             for w in word[low:high]:
                 value = mix(value * step + w)
-            out.append(value)
-        else:
-            out.append(np.zeros(0, np.uint64))
-    return out
-
-
-def group_marks(tokens: np.ndarray, rule: Rule) -> np.ndarray:
-    """Hashes of what a set holds in each group, for its class and the one above."""
-    own = int(np.searchsorted(rule.classes, len(tokens), "right")) - 1
-    out = []
-    sums = np.zeros(len(tokens) + 1, np.uint64)
-    np.cumsum(mix(tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5)), out=sums[1:])
+            joined[low], new[low] = value[0], True
+    again = np.zeros(len(word), bool)
+    again[1:] = (joined[1:] == joined[:-1]) & new[:-1]
+    again[first[:-1][first[:-1] < len(word)]] = False
+    new &= ~again
+    return joined[new], np.concatenate([[0], np.cumsum(new)])[first]
+
+
+def group_marks(tokens: np.ndarray, bounds: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of what a set holds in a group, set) for the class of each set and the one above."""
+    sizes = np.diff(bounds)
+    own = np.searchsorted(rule.classes, sizes, "right") - 1
+    counts, spares = rule.groups
+    mixed, high = mix(tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5)), tokens >> np.uint64(32)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    out, sets = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for number in (own, own + 1):
-        if not rule.differ(number):
+        number = np.where(sizes > 0, number, 0)
+        count = counts[number]
+        chosen = np.repeat(count > 0, sizes)
+        if not chosen.any():
             continue
-        count, spare = rule.groups(number)
-        # Groups are equal ranges of the hash.
-        edges = np.searchsorted(tokens, _edges(count))
-        edges = np.append(edges, len(tokens))
-        marks = mix((sums[edges[1:]] - sums[edges[:-1]]) ^ (np.arange(count, dtype=np.uint64) << np.uint64(8))
-                    ^ (np.uint64(number) << np.uint64(40)))
-        full = edges[1:] > edges[:-1]
-        out.append(marks[full])
-        if count - int(full.sum()) > spare:
-            out.append(mix(np.array([number + (1 << 50)], np.uint64)))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
-
-
-@functools.lru_cache(4096)
-def _edges(count: int) -> np.ndarray:
-    return (np.arange(count, dtype=object) * 2**64 // count).astype(np.uint64)
+        # Groups are equal ranges of the hash, and shingles are in its order.
+        of, hashes = owner[chosen], mixed[chosen]
+        group = (high[chosen] * count[of].astype(np.uint64)) >> np.uint64(32)
+        begins = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (of[1:] != of[:-1])]))
+        held = np.add.reduceat(hashes, begins)
+        held ^= group[begins] << np.uint64(8)
+        held ^= number[of[begins]].astype(np.uint64) << np.uint64(40)
+        out.append(mix(held))
+        sets.append(of[begins])
+        sparse = np.flatnonzero((count > 0) & (count - np.bincount(of[begins], minlength=len(sizes)) > spares[number]))
+        out.append(mix(number[sparse].astype(np.uint64) + np.uint64(1 << 50)))
+        sets.append(sparse)
+    return np.concatenate(out), np.concatenate(sets)
 
 
 def point(tokens: np.ndarray) -> np.ndarray:
@@ -182,17 +187,23 @@ class _Seen:
         return True
 
 
+def _digests(tokens: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    data, places = tokens.tobytes(), (8 * bounds).tolist()
+    return [hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(places, places[1:], strict=False)]
+
+
 def _sets(documents: DataFrame, rule: Rule) -> DataFrame:
     """(doc_id, n, digest) of every row; the digest tells sets apart."""
     def run(batches):
         for batch in batches:
             sizes, digests = [], []
             for _, data, offsets in texts(batch.column("text")):
-                for s in shingles(data, offsets, rule.size):
-                    sizes.append(len(s))
-                    digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                tokens, bounds = shingles(data, offsets, rule.size)
+                sizes.append(np.diff(bounds))
+                digests += _digests(tokens, bounds)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())],
+                [batch.column("doc_id"), pa.array(np.concatenate(sizes) if sizes else [], pa.int64()),
+                 pa.array(digests, pa.binary())],
                 ["doc_id", "n", "digest"])
 
     return documents.mapInArrow(run, "doc_id long, n long, digest binary")
@@ -205,16 +216,13 @@ def _marks(documents: DataFrame, rule: Rule) -> DataFrame:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
             for row, data, offsets in texts(batch.column("text")):
-                marks, owners = [], []
-                for i, s in enumerate(shingles(data, offsets, rule.size)):
-                    if len(s) and seen.fresh(hashlib.blake2b(s.tobytes(), digest_size=16).digest()):
-                        own = group_marks(s, rule)
-                        marks.append(own)
-                        owners.append(np.full(len(own), ids[row + i]))
-                if marks:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(marks).view(np.int64)), pa.array(np.concatenate(owners))],
-                        ["mark", "doc_id"])
+                tokens, bounds = shingles(data, offsets, rule.size)
+                fresh = np.array([seen.fresh(d) for d in _digests(tokens, bounds)])
+                tokens = tokens[np.repeat(fresh, np.diff(bounds))]
+                sizes = np.where(fresh, np.diff(bounds), 0)
+                marks, owner = group_marks(tokens, np.concatenate([[0], np.cumsum(sizes)]), rule)
+                if len(marks):
+                    yield pa.RecordBatch.from_arrays([longs(marks), pa.array(ids[row + owner])], ["mark", "doc_id"])
 
     return documents.mapInArrow(run, "mark long, doc_id long")
 
@@ -287,9 +295,10 @@ def _tokens(documents: DataFrame, rule: Rule) -> DataFrame:
         for batch in batches:
             tokens, counts = [], []
             for _, data, offsets in texts(batch.column("text")):
-                for s in shingles(data, offsets, rule.size):
-                    tokens.append(s.tobytes())
-                    counts.append(point(s).tobytes())
+                found, bounds = shingles(data, offsets, rule.size)
+                for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False):
+                    tokens.append(found[a:b].tobytes())
+                    counts.append(point(found[a:b]).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(tokens, pa.binary()),
                                               pa.array(counts, pa.binary())], ["doc_id", "tokens", "counts"])
 

@@ -49,11 +49,15 @@ def minimisers(data: np.ndarray, offsets: np.ndarray, length: int):
     if len(data) < length:
         return none, none.view(np.uint64), none, none
     hashing = span_hash(1010)
-    sums, grams = hashing.sums(data), np.arange(len(data) - GRAM + 1)
-    prints = hashing.spans(sums, grams, grams + GRAM)
+    sums, grams = hashing.sums(data), np.arange(len(data) - GRAM + 1, dtype=np.uint64)
+    prints = hashing.windows(sums, GRAM)
     # Smallest fingerprint (its upper 40 bits), leftmost place among equals.
-    ranked = (prints >> PLACE_BITS << PLACE_BITS) | grams.astype(np.uint64)
-    best = (sliding_min(ranked, length - GRAM + 1) & np.uint64((1 << 24) - 1)).astype(np.int64)
+    ranked = prints >> PLACE_BITS
+    ranked <<= PLACE_BITS
+    ranked |= grams
+    best = sliding_min(ranked, length - GRAM + 1)
+    best &= np.uint64((1 << 24) - 1)
+    best = best.view(np.int64)
     inside = np.zeros(len(data) + 1, np.int32)
     lengths = np.diff(offsets)
     long = lengths >= length
