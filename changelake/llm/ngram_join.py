@@ -7,9 +7,10 @@ it by its largest coordinates. Pairs that survive the bound are verified on the
 The tree alone would compare every set with all sets of a similar size, so sets meet in blocks
 first. A pair at the threshold differs in a known number d of shingles; with more than d groups, one
 group at least holds the same shingles in both. A block is the sets (of similar size) that agree
-in one group, so each pair that links meets in a block. Blocks start with their first member: what
-it links is one component then. Only blocks whose members still lie in different components are
-searched with the tree, in tiles, for pairs across components.
+in one group, so each pair that links meets in a block. Each block's first member is compared with
+the others, which unites most of what links. Blocks that share members form a cluster; the members
+of a cluster whose sizes are close and that still lie in different components are searched with the
+tree, in tiles, and verified where they meet: a tile gives the links that unite components, not all.
 """
 
 from __future__ import annotations
@@ -322,14 +323,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("ta"), batch.column("tb"), strict=True):
-                x = np.frombuffer(x.as_buffer(), np.uint64)
-                y = np.frombuffer(y.as_buffer(), np.uint64)
-                place = np.searchsorted(x, y)
-                shared = int((x[np.minimum(place, len(x) - 1)] == y).sum())
-                keep.append(rule.over * shared >= rule.part * (len(x) + len(y) - shared))
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                keep.append(_shared(x, y) >= rule.shared(len(x), len(y)))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    light = sets.select("doc_id", "counts", (F.octet_length("tokens") / 8).cast("long").alias("n"))
+    light = sets.select("doc_id", "counts", "n")
     near = (pairs.join(light.toDF("b", "cb", "nb"), "b").join(light.toDF("a", "ca", "na"), "a")
             .select("a", "b", "ca", "cb", "na", "nb").mapInArrow(bound, "a long, b long"))
     whole = sets.select("doc_id", "tokens")
@@ -337,20 +335,32 @@ def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
             .select("a", "b", "ta", "tb").mapInArrow(exact, "a long, b long"))
 
 
+def _similar_sizes(clusters: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """(block, doc_id, n): members of a cluster whose sizes allow a link, each with its class and the next."""
+    bounds = F.array(*(F.lit(int(x)) for x in rule.classes))
+    own = F.size(F.filter(bounds, lambda x: x <= F.col("n")))
+    return (sets.select("doc_id", "n").join(clusters, "doc_id")
+            .select(F.explode(F.array(own, own + 1)).alias("number"), "cluster", "doc_id", "n")
+            .select(F.xxhash64("cluster", "number").alias("block"), "doc_id", "n"))
+
+
 def _across(blocks: DataFrame, parts: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs in different components that the tree cannot tell from links, from blocks not yet united.
+    """Links between different components of a block; enough of them to unite what links unite.
 
-    Members of a block's most frequent component meet the others, the others meet each other too;
-    both in tiles of about 512 rows a side, so that no task takes a whole block.
+    Members of a block's largest component meet the others, the others meet each other too; both in
+    tiles of about 512 rows and 500,000 shingles a side, so that no task takes a whole block.
     """
     placed = blocks.join(parts, "doc_id", "left").select(
-        "block", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    sizes = (placed.groupBy("block", "component").count()
-             .groupBy("block").agg(F.count("*").alias("kinds"), F.sum("count").alias("total"),
-                                   F.max(F.struct("count", F.negative("component").alias("c"))).alias("top"))
+        "block", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
+    weight = F.greatest(F.count("*") / TILE, F.sum("n") / (1000 * TILE))
+    sizes = (placed.groupBy("block", "component").agg(weight.alias("weight"))
+             .groupBy("block").agg(F.count("*").alias("kinds"), F.sum("weight").alias("total"),
+                                   F.max(F.struct("weight", F.negative("component").alias("c"))).alias("top"))
              .where("kinds > 1").select("block", F.negative("top.c").alias("major"),
-                                        F.ceil(F.col("top.count") / TILE).cast("int").alias("wide"),
-                                        F.ceil((F.col("total") - F.col("top.count")) / TILE).cast("int").alias("tall")))
+                                        F.ceil("top.weight").cast("int").alias("wide"),
+                                        F.ceil(F.col("total") - F.col("top.weight")).cast("int").alias("rest"))
+             # Sums of shares may come out a little below a whole number, but never at none.
+             .withColumn("tall", F.greatest("rest", F.lit(1))).drop("rest"))
     rows = placed.join(sizes, "block")
     ours, salt = F.col("component") == F.col("major"), F.xxhash64("doc_id")
 
@@ -364,7 +374,6 @@ def _across(blocks: DataFrame, parts: DataFrame, sets: DataFrame, rule: Rule) ->
                  F.transform(tall, lambda j: tiles(False, F.least(spot, j), F.greatest(spot, j)))))
     tiled = rows.select("block", "doc_id", "component", ours.alias("ours"), F.explode(where).alias("tile")).select(
         "block", "tile.*", "doc_id", "component", "ours")
-    light = sets.select("doc_id", "counts", (F.octet_length("tokens") / 8).cast("long").alias("n"))
 
     def search(batches):
         held = None
@@ -381,39 +390,54 @@ def _across(blocks: DataFrame, parts: DataFrame, sets: DataFrame, rule: Rule) ->
             yield _tiles(held, [0, len(held)])
 
     def _tiles(rows, edges):
-        ids, sizes, parts, ours, mixed = (rows.column(c).to_numpy() for c in ("doc_id", "n", "component", "ours", "mixed"))
+        ids, parts, ours, mixed = (rows.column(c).to_numpy() for c in ("doc_id", "component", "ours", "mixed"))
         counts = [np.frombuffer(c, np.uint16) for c in rows.column("counts").to_pylist()]
+        tokens = [np.frombuffer(c, np.uint64) for c in rows.column("tokens").to_pylist()]
         found = [np.zeros((0, 2), np.int64)]
         for low, high in zip(edges, edges[1:], strict=False):
             if high - low > 1 and (parts[low:high] != parts[low]).any():
-                near = _near(counts[low:high], sizes[low:high], parts[low:high],
-                             ours[low:high] if mixed[low] else None, ids[low:high], rule)
+                near = _links(counts[low:high], tokens[low:high], parts[low:high],
+                              ours[low:high] if mixed[low] else None, rule)
                 if len(near):
                     found.append(ids[low:high][near])
         found = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
     key = ["block", "mixed", "i", "j"]
-    return (tiled.join(light, "doc_id").repartition(*key).sortWithinPartitions(*key)
-            .mapInArrow(search, "a long, b long").distinct())
+    return (tiled.join(sets.select("doc_id", "counts", "tokens"), "doc_id")
+            .repartition(*key).sortWithinPartitions(*key).mapInArrow(search, "a long, b long").distinct())
 
 
-def _near(counts, sizes, parts, ours, ids, rule: Rule) -> np.ndarray:
-    """Pairs of row numbers of a tile, in different components, that the bound cannot tell from links.
+def _links(counts, tokens, parts, ours, rule: Rule) -> np.ndarray:
+    """Links of a tile as pairs of row numbers: those that unite components, found through the tree.
 
-    With ``ours`` the rows it marks are held and the others ask, else all rows ask all.
+    With ``ours`` the rows it marks are held and the others ask, else all rows ask those before.
     """
     groups = min(map(len, counts))
-    points = np.array([coarsened(c, groups) for c in counts])
-    held = np.flatnonzero(ours) if ours is not None else np.arange(len(ids))
+    points, sizes = np.array([coarsened(c, groups) for c in counts]), np.array([len(t) for t in tokens])
+    held = np.flatnonzero(ours) if ours is not None else np.arange(len(counts))
     asking = np.flatnonzero(~ours) if ours is not None else held
     tree = CountTree(points[held], sizes[held])
-    out = [np.zeros((0, 2), np.int64)]
-    for i in asking:
+    label = np.unique(parts, return_inverse=True)[1]
+    out = []
+    for i in asking.tolist():
         near = held[tree.survivors(points[i], sizes[i], rule)]
-        near = near[(parts[near] != parts[i]) & ((ids[near] < ids[i]) | (ours is not None))]
-        out.append(np.stack([near, np.full(len(near), i)], 1))
-    return np.concatenate(out)
+        if ours is None:
+            near = near[near < i]
+        # The most alike first: what it unites needs no look at others of that component.
+        bound = np.minimum(points[near], points[i]).sum(1) / (sizes[near] + sizes[i])
+        for j in near[np.argsort(-bound, kind="stable")].tolist():
+            if label[i] != label[j] and _shared(tokens[i], tokens[j]) >= rule.shared(len(tokens[i]), len(tokens[j])):
+                label[label == label[j]] = label[i]
+                out.append((j, i))
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    if len(x) > len(y):
+        x, y = y, x
+    place = np.searchsorted(y, x)
+    return int((y[np.minimum(place, len(y) - 1)] == x).sum())
 
 
 def link(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
@@ -449,12 +473,12 @@ def link(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
         F.least("leader", "doc_id").alias("a"), F.greatest("leader", "doc_id").alias("b")).distinct(), "stars")
     chosen = store(blocks.select("doc_id").union(blocks.select("leader")).distinct(), "chosen")
     # Several rows with one doc_id are several sets of one node.
-    tokens = store(_tokens(usable.join(hinted(chosen, F.lit(8)), "doc_id"), rule).where("octet_length(tokens) > 0"),
-                   "tokens")
+    tokens = store(_tokens(usable.join(hinted(chosen, F.lit(8)), "doc_id"), rule)
+                   .withColumn("n", (F.octet_length("tokens") / 8).cast("long")).where("n > 0"), "tokens")
     linked = store(_verified(stars, tokens, rule).distinct(), "linked")
     parts = components(linked).withColumnRenamed("id", "doc_id")
-    more = store(_across(blocks, parts, tokens, rule).join(stars, ["a", "b"], "left_anti"), "across")
-    crossed = _verified(more, tokens, rule)
+    clusters = components(stars).toDF("doc_id", "cluster")
+    crossed = _across(_similar_sizes(clusters, tokens, rule), parts, tokens, rule)
     edges = store(linked.union(crossed).union(copies.where("doc_id <> first")).distinct(), "edges")
     return sets.join(components(edges).withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
