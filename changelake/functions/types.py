@@ -85,6 +85,15 @@ def wider(left: T.DataType, right: T.DataType) -> T.DataType:
     for steps in ladder:
         if left in steps and right in steps:
             return steps[-1]
+    if {type(left), type(right)} <= {T.IntegerType, T.FloatType, T.DoubleType}:
+        return T.DoubleType()  # holds every 32-bit integer
+    if {type(left), type(right)} == {T.DateType, T.TimestampNTZType}:
+        return T.TimestampNTZType()
+    if {type(left), type(right)} == {T.DateType, T.TimestampType}:
+        return T.TimestampType()
+    whole_numbers = {T.IntegerType: T.DecimalType(10, 0), T.LongType: T.DecimalType(19, 0)}
+    if isinstance(left, T.DecimalType) != isinstance(right, T.DecimalType):
+        left, right = whole_numbers.get(type(left), left), whole_numbers.get(type(right), right)
     if isinstance(left, T.DecimalType) and isinstance(right, T.DecimalType):
         scale = max(left.scale, right.scale)
         whole = max(left.precision - left.scale, right.precision - right.scale)

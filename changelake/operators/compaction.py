@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from changelake.functions.ordering import HOT_ROWS, running_total
 from changelake.session import freeze, sized
@@ -60,16 +61,21 @@ def jobs(plan: DataFrame, files_per_job: int = FILES_PER_JOB) -> Iterator[DataFr
 
 
 def rewrite(spark: SparkSession, plan: DataFrame, out: str, target: int = TARGET_BYTES,
-            files_per_job: int = FILES_PER_JOB) -> DataFrame:
+            files_per_job: int = FILES_PER_JOB, schemas: Mapping[str, T.StructType] | None = None) -> DataFrame:
     """Write the rows of each group to a directory of its own below ``out``.
 
-    A group becomes one file per ``target`` bytes, so one huge group is many tasks. Row counts
-    are compared before the result, one row per written file, is returned: dir, grp, path,
-    record_count, bytes. The replaced files stay until ``vacuum``.
+    A group becomes one file per ``target`` bytes, so one huge group is many tasks. ``schemas``
+    has the schema of each ``dir``; without it, a job's files are read with their merged schema,
+    so that columns that some files lack are NULL there (types that do not merge are an error).
+    Rows and the values of every column are counted before and after, before the result, one
+    row per written file, is returned: dir, grp, path, record_count, bytes. The replaced files
+    stay until ``vacuum``.
     """
     plan = freeze(plan.withColumn("path", listed_path(F.col("path"))))
     for number, part in enumerate(jobs(plan, files_per_job)):
-        _rewrite_job(spark, part, f"{out}/job={number}", target)
+        for place, (name, schema) in enumerate((schemas or {None: None}).items()):
+            _rewrite_job(spark, part if name is None else part.where(F.col("dir") == name),
+                         f"{out}/job={number}-{place}", target, schema)
     if plan.isEmpty():
         return plan.select("dir", "grp", "path", F.lit(0).cast("bigint").alias("record_count"),
                            F.col("length").alias("bytes"))
@@ -77,10 +83,6 @@ def rewrite(spark: SparkSession, plan: DataFrame, out: str, target: int = TARGET
                .groupBy(scanned_path().alias("path"), "group_id")
                .agg(F.count(F.lit(1)).alias("record_count"),
                     F.first("_metadata.file_size").alias("bytes")))
-    before = spark.read.parquet(*paths_of(plan)).count()
-    after = written.agg(F.sum("record_count")).first()[0]
-    if before != after:
-        raise RuntimeError(f"rewrite of {before} rows wrote {after}; nothing was replaced")
     ids = plan.select("dir", "grp", _group_id().alias("group_id")).distinct()
     return written.join(ids, "group_id").select("dir", "grp", "path", "record_count", "bytes")
 
@@ -89,14 +91,22 @@ def _group_id() -> Column:
     return F.concat(F.lower(F.hex(F.xxhash64("dir"))), F.lit("-"), F.col("grp"))
 
 
-def _rewrite_job(spark: SparkSession, plan: DataFrame, out: str, target: int) -> None:
+def _filled(rows: DataFrame, columns: list[str]) -> dict[str, int]:
+    """Rows, and rows with a value in each column."""
+    return rows.agg(F.count(F.lit(1)).alias("*"), *(F.count(f"`{c}`").alias(c) for c in columns)).first().asDict()
+
+
+def _rewrite_job(spark: SparkSession, plan: DataFrame, out: str, target: int,
+                 schema: T.StructType | None) -> None:
     size = F.sum("length").over(W.partitionBy("dir", "grp"))
     placed = plan.select("path", _group_id().alias("group_id"),
                          F.ceil(size / target).cast("int").alias("_pieces"))
     paths = paths_of(plan)
     if not paths:
         return
-    rows = spark.read.parquet(*paths)
+    # All files of a job have one schema, given or merged: none may hide another's columns.
+    schema = schema or spark.read.option("mergeSchema", "true").parquet(*paths).schema
+    rows = spark.read.schema(schema).parquet(*paths)
     columns = rows.columns
     grouped = rows.select("*", scanned_path().alias("_path"),
                           F.col("_metadata.row_index").alias("_row")).join(
@@ -105,6 +115,10 @@ def _rewrite_job(spark: SparkSession, plan: DataFrame, out: str, target: int) ->
     outputs = placed.select("group_id", "_pieces").distinct().agg(F.sum("_pieces")).first()[0]
     (grouped.withColumn("_piece", piece).repartition(outputs, "group_id", "_piece")
      .select("group_id", *columns).write.mode("overwrite").partitionBy("group_id").parquet(out))
+    written = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(out)
+    before, after = _filled(rows, columns), _filled(written, columns)
+    if before != after:
+        raise RuntimeError(f"rewrite of {before} wrote {after}; nothing was replaced")
 
 
 def compaction_stats(plan: DataFrame, written: DataFrame) -> DataFrame:

@@ -54,6 +54,11 @@ def to_columns(rows: DataFrame, shape: TableShape) -> DataFrame:
             cells[f"_t_{name}"] = F.when(
                 deleted, F.coalesce(cells[f"_o_{name}"], cells[f"_t_{name}"])
             ).otherwise(cells[f"_t_{name}"])
+        else:
+            # A full old tuple has the value that the new one leaves out. The old tuple of a key
+            # alone has NULL for the others, which says nothing.
+            new, old = cells[f"_t_{name}"], F.get("old_cols", place)
+            cells[f"_t_{name}"] = F.when((new["f"] == "u") & old["f"].isin("t", "b"), old).otherwise(new)
     rows = rows.withColumns(cells)
     typed: dict[str, Column] = {}
     for name, data_type in shape.types.items():

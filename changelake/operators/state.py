@@ -97,7 +97,12 @@ def apply_changes(base: DataFrame, changes: DataFrame, keys: Sequence[str],
 
 
 def explode_key_change(changes: DataFrame, keys: Sequence[str], old_prefix: str = "old_") -> DataFrame:
-    """An update that moves a row becomes a delete of the old key and an upsert of the new."""
+    """An update that moves a row becomes a delete of the old key and an upsert of the new.
+
+    Without keys no row can move.
+    """
+    if not keys:
+        return changes
     old = [F.col(old_prefix + k) for k in keys]
     moved = (F.col("kind") == "update") & old[0].isNotNull() & ~_same(old, keys)
     others = [c for c in changes.columns if c != "kind" and c not in keys]

@@ -178,18 +178,6 @@ def _files(spark, sf):
     return feeds.run(spark, sf, FILES, "select * from files")
 
 
-@query(check(FILES, "select path, table_name, snapshot_id, record_count, bytes from files a where status = 1 "
-                    "and not exists (select 1 from files b where b.path = a.path and b.status = 3)"))
-def live_files(spark, sf):
-    return snapshots.live_files(_files(spark, sf)).select("path", "table_name", "snapshot_id", "record_count", "bytes")
-
-
-@query(check(FILES, "select path, table_name, record_count, bytes from files a where status = 1 and snapshot_id <= 9 "
-                    "and not exists (select 1 from files b where b.path = a.path and b.status = 3 and b.snapshot_id <= 9)"))
-def live_files_as_of(spark, sf):
-    return snapshots.live_files(_files(spark, sf), 9).select("path", "table_name", "record_count", "bytes")
-
-
 @query(check(FILES, """
     select table_name, snapshot_id, coalesce(lag(snapshot_id) over (partition by table_name order by snapshot_id), 0)
     parent_snapshot_id from (select distinct table_name, snapshot_id from files) x"""))
@@ -300,32 +288,18 @@ def compaction_rows_preserved(spark, sf):
     return merged.unionByName(spark.read.parquet(*alone)) if alone else merged
 
 
-NAMES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
-         "benchmark labels conversations").split()
-
-
-@query(" union all ".join(f"select '{n}.parquet' as name, true filled" for n in NAMES))
-def file_inventory(spark, sf):
-    files = inventory.relative_names(inventory.file_inventory(spark, sf), qualified(spark, sf))
-    return files.select("name", (F.col("length") > 0).alias("filled"))
-
-
-@query("select cast(1 as bigint) dirs")
-def data_dirs(spark, sf):
-    """Directories with Parquet files; the given tables share one."""
-    return inventory.data_dirs(inventory.list_files(spark, sf)).agg(F.count(F.lit(1)).alias("dirs"))
-
-
 # --- monitoring -----------------------------------------------------------------------------
 
 @query("""select cast(le as double) le, (select count(*) from events where value <= le) at_most,
                  (select cast(sum(cast(value as decimal(18, 2))) as double) from events) sum_seconds,
                  (select count(value) from events) queries
-          from (values (0.005), (0.01), (0.025), (0.05), (0.1), (0.25), (0.5), (1.0), (2.5), (5.0), (10.0)) b(le)""")
+          from (values (0.005), (0.01), (0.025), (0.05), (0.1), (0.25), (0.5), (1.0), (2.5), (5.0), (10.0)) b(le)
+          union all select cast('infinity' as double), count(value),
+                 cast(sum(cast(value as decimal(18, 2))) as double), count(value) from events""")
 def duration_histogram(spark, sf):
-    """Event values as seconds. The last bound, infinity, equals the count and is left out."""
+    """Event values as seconds; the last bound is infinity."""
     log = table(spark, sf, "events").withColumn("value", F.col("value").cast("decimal(18,2)"))
-    lines = monitor.duration_histogram(log, "value").where(F.col("le") < float("inf"))
+    lines = monitor.duration_histogram(log, "value")
     return lines.select("le", "at_most", F.col("sum_seconds").cast("double").alias("sum_seconds"), "queries")
 
 

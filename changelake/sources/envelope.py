@@ -40,7 +40,18 @@ def read_kafka(spark: SparkSession, options: dict[str, str], streaming: bool = T
 
 
 def from_json_text(rows: DataFrame, column: str = "value") -> DataFrame:
-    return rows.select(F.from_json(column, CHANGES).alias("c")).select("c.*")
+    """Messages from JSON text. Text that is no envelope becomes a message of kind ``malformed``
+    that carries the text as its only cell, below all positions, so that it is seen and counted."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    parsed = rows.select(F.from_json(column, CHANGES + ", _corrupt STRING", options).alias("c"),
+                         F.col(column).alias("_text"))
+    bad = F.col("c._corrupt").isNotNull() | F.col("c.kind").isNull() | F.col("c.lsn").isNull()
+    cells = {f.name: F.col(f"c.{f.name}") for f in parsed.schema["c"].dataType.fields if f.name != "_corrupt"}
+    instead = {"kind": F.lit("malformed"), "seq": F.lit(0),
+               "lsn": -F.abs(F.shiftrightunsigned(F.xxhash64("_text"), 1)) - 1,
+               "new_cols": F.array(F.struct(F.lit("t").alias("f"), F.col("_text").alias("v")))}
+    return parsed.select(*(F.when(~bad, cell).otherwise(instead.get(n, F.lit(None))).alias(n)
+                           for n, cell in cells.items()))
 
 
 def rows_only(changes: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from changelake.operators import compaction, decode, monitor, transactions
 from changelake.operators.maintenance import RUNS
 from changelake.operators.relations import (
     TableShape, bind_relation, relation_versions, unknown_relation)
-from changelake.session import fits, sized
+from changelake.session import fits, freeze, sized
 from changelake.sources.envelope import ABORTS, CHANGES, rows_only
 from changelake.sources.logs import exists, read_log, remove, write_log
 from changelake.streaming.table import MirroredTable
@@ -51,11 +51,15 @@ class Mirror:
     def _feed(self, name: str) -> str:
         return f"{self.root}/_feed/{name}"
 
-    def start(self, changes: DataFrame):
-        """Apply everything the source holds now, then stop. Progress is in the checkpoint."""
+    def start(self, changes: DataFrame, interval: str | None = None):
+        """Apply everything the source holds now, then stop; or go on, a batch every ``interval``.
+
+        Progress is in the checkpoint.
+        """
+        trigger = {"processingTime": interval} if interval else {"availableNow": True}
         return (changes.writeStream.foreachBatch(self.apply_batch)
                 .option("checkpointLocation", self._feed("checkpoint"))
-                .trigger(availableNow=True).start())
+                .trigger(**trigger).start())
 
     def run(self, changes: DataFrame) -> None:
         query = self.start(changes)
@@ -69,22 +73,31 @@ class Mirror:
             return  # the stream stopped after this batch was finished and before it noted so
         batch = transactions.deduplicate(batch).persist()
         try:
-            counts = batch.groupBy(monitor.label().alias("kind")).agg(
+            raw = F.when(F.col("kind") == "malformed", F.col("kind")).alias("raw")
+            counts = batch.groupBy(monitor.label().alias("kind"), raw).agg(
                 F.count(F.lit(1)).alias("n"), F.max("lsn").alias("lsn")).collect()
             kinds = {r.kind for r in counts}
             if "relation" in kinds:
                 write_log(batch.where("kind = 'relation'"), self._feed(f"relations/batch={batch_id}"))
                 self._described = None
+            if "malformed" in {r.raw for r in counts}:
+                bad = batch.where("kind = 'malformed'")
+                self._errors(bad.withColumn("reasons", F.concat(
+                    F.array(F.lit("malformed")), F.transform("new_cols", lambda c: c["v"]))), None, batch_id, "malformed")
             ends = transactions.markers(batch).persist()
             released = self._released(batch, ends, batch_id, "stream_abort" in kinds).persist()
             try:
-                self._publish(released, batch_id)
+                left_out = self._publish(released, batch_id)
             finally:
                 released.unpersist()
                 ends.unpersist()
         finally:
             batch.unpersist()
-        row = (batch_id, {r.kind: r.n for r in counts}, max((r.lsn for r in counts), default=None),
+        messages: dict[str, int] = {}
+        for r in counts:
+            messages[r.kind] = messages.get(r.kind, 0) + r.n
+        messages |= {f"not selected: {name}": n for name, n in left_out.items()}
+        row = (batch_id, messages, max((r.lsn for r in counts if r.raw is None), default=None),
                datetime.datetime.now(datetime.timezone.utc))
         write_log(self.spark.createDataFrame([row], BATCHES).coalesce(1), done)
         if self.compact_every and (batch_id + 1) % self.compact_every == 0:
@@ -128,9 +141,16 @@ class Mirror:
         """Committed rows of the transactions that end in this batch; the others are put by."""
         number = F.pmod("xid", F.lit(self.pending_buckets)).cast("int").alias("xb")
         place, ends = self._put_by(batch_id), sized(ends)
+        new_ends = ends
+        # Rows that land after their marker belong to a transaction that has ended.
+        gone = self._kept(place, "ended").where(F.col("batch") < batch_id).select("xid", "commit_lsn", "aborted")
+        behind = (gone.join(rows_only(batch).select("xid").distinct(), "xid", "left_semi")
+                  .join(ends.select("xid"), "xid", "left_anti").dropDuplicates(["xid"]))
+        if not behind.isEmpty():
+            ends = sized(ends.unionByName(freeze(behind)))
         open_rows = transactions.pending(batch, ends, None if aborts else self._no_parts())
         write_log(open_rows.select("*", number), f"{place}/pending/batch={batch_id}", "xb")
-        write_log(ends.select("xid"), f"{place}/ended/batch={batch_id}")
+        write_log(new_ends.select("xid", "commit_lsn", "aborted"), f"{place}/ended/batch={batch_id}")
         if aborts:
             parts = batch.where("kind = 'stream_abort' AND sub_xid <> xid")
             write_log(parts.select("*", number), f"{place}/parts/batch={batch_id}", "xb")
@@ -161,7 +181,8 @@ class Mirror:
         return self._feed(f"open-{last}")
 
     def _kept(self, place: str, name: str) -> DataFrame:
-        schema = "xid BIGINT, batch BIGINT" if name == "ended" else CHANGES + ", batch BIGINT, xb INT"
+        schema = ("xid BIGINT, commit_lsn BIGINT, aborted BOOLEAN, batch BIGINT" if name == "ended"
+                  else CHANGES + ", batch BIGINT, xb INT")
         return read_log(self.spark, f"{place}/{name}", schema)
 
     def _next_batch(self) -> int:
@@ -195,12 +216,13 @@ class Mirror:
         # Only the last batch can be repeated, and it needs at most the place before this one.
         remove(self.spark, self._feed(f"open-{last - 1}"))
 
-    def _publish(self, released: DataFrame, batch_id: int) -> None:
+    def _publish(self, released: DataFrame, batch_id: int) -> dict[str, int]:
+        """Publishes the rows of configured tables; gives the numbers of rows of all others."""
         versions, few, shapes = self._shapes(batch_id)
-        # One pass tells which configured tables have rows; the others cost nothing more.
+        # One pass tells which tables have rows; the others cost nothing more.
         bound = bind_relation(released, versions, True, few).select(full_name().alias("n"))
-        found = {r.n for r in bound.where(F.col("n").isNull() | F.col("n").isin(*self.tables))
-                 .distinct().collect()}
+        rows_of = {r.n: r["count"] for r in bound.groupBy("n").count().collect()}
+        found = {n for n in rows_of if n is None or n in self.tables}
         if None in found:
             unknown = unknown_relation(released, versions, few)
             self._errors(unknown.withColumn("reasons", F.array(F.lit("unknown_relation"))), None, batch_id)
@@ -214,11 +236,15 @@ class Mirror:
             # Without a write there is no count; the job may have stopped before the errors.
             if rows is None or unfit.get["rows"]:
                 self._errors(decode.quarantine(decoded), name, batch_id)
+            late = self.tables[name].late(decode.fit(decoded), (batch_id + 1) * STEP)
+            if late is not None:
+                self._errors(late.withColumn("reasons", F.array(F.lit("late_commit"))), name, batch_id, f"{name}-late")
+        return {n: count for n, count in rows_of.items() if n is not None and n not in self.tables}
 
-    def _errors(self, rows: DataFrame, name: str | None, batch_id: int) -> None:
+    def _errors(self, rows: DataFrame, name: str | None, batch_id: int, part: str | None = None) -> None:
         rows = rows.select(F.lit(name).cast("string").alias("table_name"), "lsn", "seq", "xid", "kind",
                            "relation_id", "reasons")
-        write_log(rows, self._feed(f"errors/batch={batch_id}/part={name or 'unknown'}"))
+        write_log(rows, self._feed(f"errors/batch={batch_id}/part={part or name or 'unknown'}"))
 
     # --- reading ---------------------------------------------------------------------------
 
@@ -236,13 +262,17 @@ class Mirror:
         return self.tables[full_name].read(bound if as_of is None else min(as_of, bound))
 
     def register(self) -> list[str]:
-        """A view per mirrored table, under its bare name."""
+        """A view per mirrored table: ``<schema>_<name>``, and the bare name where only one has it."""
         names = []
+        bare = [t.name for t in self.tables.values()]
         for table in self.tables.values():
             df = self.read(table.full_name)
             if df is not None:
-                df.createOrReplaceTempView(table.name)
-                names.append(table.name)
+                names.append(f"{table.namespace}_{table.name}")
+                if bare.count(table.name) == 1:
+                    names.append(table.name)
+                for name in names[-2:] if names[-1] == table.name else names[-1:]:
+                    df.createOrReplaceTempView(name)
         return names
 
     def errors(self) -> DataFrame:
