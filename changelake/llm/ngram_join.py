@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from changelake.llm.common import hinted, longs, mix, prepare, span_hash, store, texts, words
 from changelake.llm.graph import components
 
-TILE = 512
+TILE = 2048
 LEAF = 16
 
 
@@ -348,7 +348,7 @@ def _across(blocks: DataFrame, parts: DataFrame, sets: DataFrame, rule: Rule) ->
     """Links between different components of a block; enough of them to unite what links unite.
 
     Members of a block's largest component meet the others, the others meet each other too; both in
-    tiles of about 512 rows and 500,000 shingles a side, so that no task takes a whole block.
+    tiles of about 2,048 rows and two million shingles a side, so that no task takes a whole block.
     """
     placed = blocks.join(parts, "doc_id", "left").select(
         "block", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
@@ -375,59 +375,84 @@ def _across(blocks: DataFrame, parts: DataFrame, sets: DataFrame, rule: Rule) ->
     tiled = rows.select("block", "doc_id", "component", ours.alias("ours"), F.explode(where).alias("tile")).select(
         "block", "tile.*", "doc_id", "component", "ours")
 
-    def search(batches):
-        held = None
-        for batch in batches:
-            rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables(
-                [held, pa.Table.from_batches([batch])])
-            tile = [rows.column(c).to_numpy() for c in ("block", "mixed", "i", "j")]
-            edges = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in tile])) + 1
-            edges = [0, *edges.tolist()]
-            # The last tile may go on in the next batch.
-            yield _tiles(rows.slice(0, edges[-1]), edges)
-            held = rows.slice(edges[-1])
-        if held is not None:
-            yield _tiles(held, [0, len(held)])
-
-    def _tiles(rows, edges):
-        ids, parts, ours, mixed = (rows.column(c).to_numpy() for c in ("doc_id", "component", "ours", "mixed"))
+    key = ["block", "mixed", "i", "j"]
+    row = [*key, "doc_id", "component", "ours", "counts"]
+
+    def by_tile(handle):
+        """Gives ``handle`` the rows of whole tiles, which come in order, and where tiles begin."""
+        def run(batches):
+            held = None
+            for batch in batches:
+                rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables(
+                    [held, pa.Table.from_batches([batch])])
+                tile = [rows.column(c).to_numpy() for c in key]
+                edges = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in tile])) + 1
+                edges = [0, *edges.tolist()]
+                # The last tile may go on in the next batch.
+                yield from handle(rows.slice(0, edges[-1]), edges)
+                held = rows.slice(edges[-1])
+            if held is not None:
+                yield from handle(held, [0, len(held)])
+        return run
+
+    def tiles_of(rows, edges):
+        parts, ours, mixed = (rows.column(c).to_numpy() for c in ("component", "ours", "mixed"))
         counts = [np.frombuffer(c, np.uint16) for c in rows.column("counts").to_pylist()]
-        tokens = [np.frombuffer(c, np.uint64) for c in rows.column("tokens").to_pylist()]
-        found = [np.zeros((0, 2), np.int64)]
+        sizes = rows.column("n").to_numpy()
         for low, high in zip(edges, edges[1:], strict=False):
             if high - low > 1 and (parts[low:high] != parts[low]).any():
-                near = _links(counts[low:high], tokens[low:high], parts[low:high],
-                              ours[low:high] if mixed[low] else None, rule)
-                if len(near):
-                    found.append(ids[low:high][near])
+                yield low, high, counts[low:high], sizes[low:high], parts[low:high], (
+                    ours[low:high] if mixed[low] else None)
+
+    def hopeful(rows, edges):
+        keep = np.zeros(len(rows), bool)
+        for low, high, counts, sizes, parts, ours in tiles_of(rows, edges):
+            for i, near, _ in _near(counts, sizes, parts, ours, rule):
+                keep[low + i] = True
+                keep[low + near] = True
+        yield from rows.filter(pa.array(keep)).to_batches()
+
+    def links(rows, edges):
+        ids = rows.column("doc_id").to_numpy()
+        tokens = [np.frombuffer(c, np.uint64) for c in rows.column("tokens").to_pylist()]
+        found = [np.zeros((0, 2), np.int64)]
+        for low, high, *tile in tiles_of(rows, edges):
+            found.append(ids[low:high][_links(tokens[low:high], *tile, rule)])
         found = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
-    key = ["block", "mixed", "i", "j"]
-    return (tiled.join(sets.select("doc_id", "counts", "tokens"), "doc_id")
-            .repartition(*key).sortWithinPartitions(*key).mapInArrow(search, "a long, b long").distinct())
+    # The points alone tell which members need their whole sets in a tile.
+    points = tiled.join(sets.select("doc_id", "counts", "n"), "doc_id").select(*row, "n")
+    asked = points.repartition(*key).sortWithinPartitions(*key).mapInArrow(by_tile(hopeful), points.schema)
+    return (asked.join(sets.select("doc_id", "tokens", "n"), ["doc_id", "n"]).select(*row, "n", "tokens")
+            .repartition(*key).sortWithinPartitions(*key).mapInArrow(by_tile(links), "a long, b long").distinct())
 
 
-def _links(counts, tokens, parts, ours, rule: Rule) -> np.ndarray:
-    """Links of a tile as pairs of row numbers: those that unite components, found through the tree.
+def _near(counts, sizes, parts, ours, rule: Rule):
+    """(row, rows, bounds) of a tile: what the tree cannot tell from a link, in other components.
 
     With ``ours`` the rows it marks are held and the others ask, else all rows ask those before.
     """
     groups = min(map(len, counts))
-    points, sizes = np.array([coarsened(c, groups) for c in counts]), np.array([len(t) for t in tokens])
+    points = np.array([coarsened(c, groups) for c in counts])
     held = np.flatnonzero(ours) if ours is not None else np.arange(len(counts))
     asking = np.flatnonzero(~ours) if ours is not None else held
     tree = CountTree(points[held], sizes[held])
-    label = np.unique(parts, return_inverse=True)[1]
-    out = []
     for i in asking.tolist():
         near = held[tree.survivors(points[i], sizes[i], rule)]
-        if ours is None:
-            near = near[near < i]
+        near = near[(parts[near] != parts[i]) & ((near < i) | (ours is not None))]
+        if len(near):
+            yield i, near, np.minimum(points[near], points[i]).sum(1) / (sizes[near] + sizes[i])
+
+
+def _links(tokens, counts, sizes, parts, ours, rule: Rule) -> np.ndarray:
+    """Links of a tile as pairs of row numbers: as many as unite components."""
+    label = np.unique(parts, return_inverse=True)[1]
+    out = []
+    for i, near, bound in _near(counts, sizes, parts, ours, rule):
         # The most alike first: what it unites needs no look at others of that component.
-        bound = np.minimum(points[near], points[i]).sum(1) / (sizes[near] + sizes[i])
         for j in near[np.argsort(-bound, kind="stable")].tolist():
-            if label[i] != label[j] and _shared(tokens[i], tokens[j]) >= rule.shared(len(tokens[i]), len(tokens[j])):
+            if label[i] != label[j] and _shared(tokens[i], tokens[j]) >= rule.shared(sizes[i], sizes[j]):
                 label[label == label[j]] = label[i]
                 out.append((j, i))
     return np.array(out, np.int64).reshape(-1, 2)
