@@ -71,15 +71,15 @@ QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_ngram_join, op3_html_extract, op4_hilbert_neighbours, op5_url_filter, op6_chunk_dedup,
     op7_packing, op8_trie_bpe, op9_bit_sliced, op10_suffix_dedup)}
 
-_QUANTISED = """select vec_id, list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) as q
+_QUANTISED = """select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as q
     from embeddings where vec_id is not null and len(embedding) > 0
-    and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0"""
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"""
 
 CHECKS = {
     "op9_bit_sliced": f"""
         with v as ({_QUANTISED}),
         s as (select a.vec_id as query_id, b.vec_id, cast(list_sum(list_transform(list_zip(a.q, b.q),
-                  p -> p[1] * p[2])) as bigint) as score
+                  lambda p: p[1] * p[2])) as bigint) as score
               from v a join v b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id)
         select query_id, cast(rank as int) as rank, vec_id, score from (
             select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
