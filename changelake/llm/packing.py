@@ -15,6 +15,7 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,22 +78,38 @@ class WordIds:
         self.tokenizer.no_padding()
         self.known: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Little-endian 32-bit ids. White space divides words and is no token, so words stand alone."""
-        from changelake.llm.trie_bpe import NOT_SPACE
-
-        split = [t.split() if not NOT_SPACE.search(t) else None for t in texts]
-        known = self.known
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """Little-endian 32-bit ids. White space divides words and is no token, so words stand alone.
+
+        Arrow splits a batch and numbers its distinct words. Arrow and Python also split at four
+        separators that the tokenizer takes for letters; texts with these are encoded whole.
+        """
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        whole = pc.match_substring_regex(texts, "[\x1c-\x1f]")
+        lists = pc.utf8_split_whitespace(pc.if_else(whole, "", texts))
+        coded = lists.flatten().dictionary_encode()
+        words, known = coded.dictionary.to_pylist(), self.known
         if len(known) > REMEMBERED:
             known.clear()
-        fresh = list(set().union(*(s for s in split if s is not None)).difference(known))
+        fresh = [w for w in words if w not in known]
         for word, found in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
             known[word] = np.array(found.ids, "<u4").tobytes()
-        for text, words in zip(texts, split, strict=True):
-            if words is None:
-                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        held = [known[w] for w in words]
+        sizes = np.fromiter(map(len, held), np.int64, len(held)) // 4
+        begins = np.cumsum(sizes) - sizes
+        at = coded.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(sizes[at])])
+        # Where each id of the batch lies among the ids of its distinct words.
+        spots = np.repeat((begins[at] - ends[:-1]).astype(np.int32), sizes[at])
+        spots += np.arange(len(spots), dtype=np.int32)
+        data = np.frombuffer(b"".join(held), "<u4")[spots].tobytes()
+        edges = (4 * ends[lists.offsets.to_numpy()]).tolist()
+        for i, odd in enumerate(whole.to_pylist()):
+            if odd:
+                found = self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False)
+                yield np.array(found.ids, "<u4").tobytes()
             else:
-                yield b"".join([known[w] for w in words])
+                yield data[edges[i]:edges[i + 1]]
 
 
 @functools.cache
@@ -114,8 +131,7 @@ def pieces(documents: DataFrame, path: str, size: int) -> DataFrame:
         closing = np.array([CLOSING], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
-            ids = encoder.encode([t or "" for t in batch.column("text").to_pylist()])
-            for doc, data in zip(batch.column("doc_id").to_pylist(), ids, strict=True):
+            for doc, data in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text")), strict=True):
                 data += closing
                 total = len(data) // 4
                 for start in range(0, total, size):
