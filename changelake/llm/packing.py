@@ -8,8 +8,10 @@ and pieces find theirs by their rank among the pieces of their length.
 
 from __future__ import annotations
 
+import array
 import bisect
 import functools
+import re
 import zlib
 from collections.abc import Iterator, Mapping
 
@@ -21,7 +23,8 @@ from pyspark.sql import functions as F
 
 from changelake.llm.common import prepare, store
 
-REMEMBERED = 400_000
+# Words, and pieces, that a worker keeps: about 200 bytes each.
+REMEMBERED = 600_000
 CLOSING = 2
 
 
@@ -64,19 +67,48 @@ def places(patterns: list[tuple[tuple[int, ...], int]]):
     return np.array(sorted(rows), np.int64).reshape(-1, 4).T
 
 
+# The tokenizer's own division of words, for the Latin letters below U+0180 (lower case). None of them
+# changes under its normal form, and U+0130 alone has a lower case of two letters.
+LETTERS, NUMBERS = "a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
+# Special tokens and all other letters are left to the tokenizer.
+OTHER = re.compile("<\\||[^\x00-\u012f\u0131-\u017f]")
+
+
 class WordIds:
-    """Ids of texts with the tokenizers library; each distinct word is encoded once."""
+    """Ids of texts with the tokenizers library; each distinct word, and piece of one, is encoded once."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.remembered, self.tokenizer = remembered, Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        # Pieces need neither the normal form nor the division again.
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    @staticmethod
+    def _each(tokenizer, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        for word, found in zip(words, tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+            yield word, array.array("I", found.ids).tobytes()
+
+    def _learn(self, fresh: list[str]) -> None:
+        if len(self.parts) > self.remembered:
+            self.parts.clear()
+        other = [w for w in fresh if OTHER.search(w)]
+        plain = [w for w in fresh if not OTHER.search(w)] if other else fresh
+        cut = [PIECE.findall(w.lower()) for w in plain]
+        self.parts.update(self._each(self.bare, list(set().union(*cut).difference(self.parts))))
+        part = self.parts.__getitem__
+        for word, pieces in zip(plain, cut, strict=True):
+            self.known[word] = b"".join(map(part, pieces))
+        self.known.update(self._each(self.tokenizer, other))
 
     def encode(self, texts: pa.Array) -> Iterator[bytes]:
         """Little-endian 32-bit ids. White space divides words and is no token, so words stand alone.
@@ -88,12 +120,11 @@ class WordIds:
         whole = pc.match_substring_regex(texts, "[\x1c-\x1f]")
         lists = pc.utf8_split_whitespace(pc.if_else(whole, "", texts))
         coded = lists.flatten().dictionary_encode()
-        words, known = coded.dictionary.to_pylist(), self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        fresh = [w for w in words if w not in known]
-        for word, found in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            known[word] = np.array(found.ids, "<u4").tobytes()
+        words, known = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self.known
+        if len(known) > self.remembered:
+            # What this batch has stays: frequent words among them.
+            known = self.known = {w: known[w] for w in words if w in known}
+        self._learn([w for w in words if w not in known])
         held = [known[w] for w in words]
         sizes = np.fromiter(map(len, held), np.int64, len(held)) // 4
         begins = np.cumsum(sizes) - sizes
@@ -113,11 +144,11 @@ class WordIds:
 
 
 @functools.cache
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+def word_ids(path: str, remembered: int) -> WordIds:
+    return WordIds(path, remembered)
 
 
-def pieces(documents: DataFrame, path: str, size: int) -> DataFrame:
+def pieces(documents: DataFrame, path: str, size: int, remembered: int = REMEMBERED) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, part, place): documents cut to sequences.
 
     ``place`` counts the pieces of one length within the partition ``part``.
@@ -127,7 +158,7 @@ def pieces(documents: DataFrame, path: str, size: int) -> DataFrame:
     def cut(batches):
         from pyspark import TaskContext
 
-        encoder, part, seen = word_ids(path), TaskContext.get().partitionId(), {}
+        encoder, part, seen = word_ids(path, remembered), TaskContext.get().partitionId(), {}
         closing = np.array([CLOSING], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
@@ -148,16 +179,17 @@ def pieces(documents: DataFrame, path: str, size: int) -> DataFrame:
         cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, place long")
 
 
-def pack(documents: DataFrame, path: str, size: int = 4096) -> DataFrame:
+def pack(documents: DataFrame, path: str, size: int = 4096, remembered: int = REMEMBERED) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset): each document's pieces.
 
     A null or empty text is the closing id alone. Every row is a document of its own, so repeated
     rows are packed as often as they come; other columns are left out; an empty table gives an empty
     one. Only the histogram (``size`` entries at most) and the patterns, whose number it bounds,
     meet the driver. Ranks within a length come from counts by partition, so that a length that a
-    third of all pieces share is still numbered where they lie.
+    third of all pieces share is still numbered where they lie. ``remembered`` bounds the words that a
+    worker keeps encoded; fewer need less memory and more time.
     """
-    cut = store(pieces(documents, path, size), "pieces")
+    cut = store(pieces(documents, path, size, remembered), "pieces")
     counts = cut.groupBy("length", "part").count()
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("length", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))

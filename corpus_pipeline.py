@@ -14,6 +14,8 @@ from changelake.llm import chunk_dedup, ngram_join, packing, toxicity
 from changelake.llm.common import store
 from changelake.llm.queries import table, vocabulary
 
+# Workers still hold what the earlier stages took; the words they keep encoded are fewer here.
+REMEMBERED = 80_000
 NEAR = ngram_join.Rule(size=5, part=80, over=100)
 
 
@@ -46,7 +48,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of at most 4,096 tokens."""
-    return packing.pack(docs, vocabulary(), 4096)
+    return packing.pack(docs, vocabulary(), 4096, REMEMBERED)
 
 
 STAGES = [("toxicity", drop_toxic), ("ngram_join", keep_one_of_near_copies),

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -296,3 +297,20 @@ def test_neighbours_with_odd_rows_ties_and_hot_keys(spark, monkeypatch):
     same = [(i, [1.0, 0.5, 0.25, 0.0]) for i in range(400)] + [(1000 + i, [float(v) for v in x[i]]) for i in range(100)]
     got = hilbert.nearest(spark.createDataFrame(same, VECTORS), every=100, k=5).where("query_id = 100").collect()
     assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got) == [(i + 1, i, 0.0) for i in range(5)]
+
+
+@pytest.mark.parametrize("remembered", [600_000, 40])
+def test_packing_word_ids_match_the_library(remembered):
+    words = packing.WordIds(VOCABULARY, remembered)
+    rng = random.Random(3)
+    letters = [chr(c) for c in range(0x250) if not chr(c).isspace()] + list("'stremvdl'<|>09") * 15
+    batches = [
+        ["", None, " ", "a\x1cb c", "\x1f", "x\x85y\xa0z w", "\u0130stanbul \u03a3\u0391\u03a3", "it's 'S ''s\tend\n",
+         "<|endoftext|> a<|startoftext|>b <|", "e\u0301 \u00e9", "x\u200by"],
+        [None], [], [chr(c) for c in range(0x600)],
+        ["".join(rng.choices(letters, k=rng.randint(1, 9))) for _ in range(3000)],
+        ["".join(rng.choices("'stremvdlSTE<|> .1\xbd\xaa", k=8)) for _ in range(3000)],
+    ]
+    for batch in batches:
+        got = [np.frombuffer(x, "<u4").tolist() for x in words.encode(pa.array(batch, pa.string()))]
+        assert got == [words.tokenizer.encode(t or "", add_special_tokens=False).ids for t in batch]
