@@ -1,7 +1,7 @@
 """Repeated passages by content-defined chunks.
 
-A gear rolling hash over the last 32 bytes chooses cuts after white space, so that an insertion
-moves only the chunks around it. Chunks are compared by digest; runs of adjacent repeated chunks
+A gear rolling hash over the last 32 bytes chooses cuts after white space, or between any characters
+where these bytes hold none, so that an insertion moves only the chunks around it. Chunks are compared by digest; runs of adjacent repeated chunks
 leave every document but the one that has them first.
 """
 
@@ -19,6 +19,7 @@ GEAR = np.random.default_rng(2024).integers(0, 2**32, 256, dtype=np.uint32)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LEAST, MOST = 24, 1024
+WINDOW = 32
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -33,24 +34,30 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def cuts(data: np.ndarray, offsets: np.ndarray, rare: int = 2) -> np.ndarray:
+def cuts(data: np.ndarray, offsets: np.ndarray, rare: int = 2, rarer: int = 4) -> np.ndarray:
     """Chunk ends, each text's end among them (none for an empty text).
 
-    A cut needs white space, ``rare`` zero bits at the top of the hash and 24 bytes since the last
-    cut; after 1,024 bytes without one the next start of a character is cut.
+    A cut needs 24 bytes since the last one and either white space and ``rare`` zero bits at the top
+    of the hash, or 32 bytes without white space, the start of a character and ``rarer`` zero bits.
+    After 1,024 bytes without a cut the next start of a character is cut.
     """
     if not len(data):
         return np.zeros(0, np.int64)
     # The hash starts anew with each text: bytes of the text before it are taken out of reach by
     # cutting texts apart first.
-    found = np.flatnonzero(SPACE[data] & (gear(data) >> np.uint32(32 - rare) == 0)) + 1
+    space, hashes, first_byte = SPACE[data], gear(data), (data & 0xC0) != 0x80
+    found = space & (hashes >> np.uint32(32 - rare) == 0)
+    anywhere = np.flatnonzero((hashes >> np.uint32(32 - rarer) == 0) & ~space) + 1
+    anywhere = anywhere[(anywhere == len(data)) | first_byte[np.minimum(anywhere, len(data) - 1)]]
+    spaces = np.concatenate([[-1], np.flatnonzero(space)])
+    found[anywhere[anywhere - 1 - spaces[np.searchsorted(spaces, anywhere) - 1] >= WINDOW] - 1] = True
+    found = np.flatnonzero(found) + 1
     starts = offsets[:-1]
     # Near a text's start the window reaches into the text before; such cuts are left out.
     owner = np.searchsorted(starts, found - 1, "right") - 1
-    found = found[found - starts[owner] >= 32]
+    found = found[found - starts[owner] >= WINDOW]
     out: list[int] = []
     candidates, at = found.tolist(), 0
-    first_byte = (data & 0xC0) != 0x80
     for start, stop in zip(starts.tolist(), offsets[1:].tolist(), strict=True):
         last = start
         while last < stop:

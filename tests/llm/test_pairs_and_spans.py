@@ -228,6 +228,23 @@ def test_chunk_dedup_keeps_the_first_of_a_passage(spark):
     assert chunk_dedup.deduplicate(spark.createDataFrame([], DOCS)).count() == 0
 
 
+@pytest.mark.parametrize("letters", [[chr(c) for c in range(0x4E00, 0x4F00)], [chr(c) for c in range(0x0E01, 0x0E2F)],
+                                     "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"])
+def test_shifted_passages_without_white_space(spark, letters):
+    rng = random.Random(8)
+
+    def run(n):
+        return "".join(rng.choice(letters) for _ in range(n))
+
+    passage = run(500)
+    rows = [(i, run(300 + 37 * i) + passage + run(400)) for i in range(12)]
+    got = {r["doc_id"]: r["text"] for r in chunk_dedup.deduplicate(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[0] == rows[0][1]
+    for i, text in rows[1:]:
+        assert passage[170:330] not in got[i] and got[i].startswith(text[:200]) and got[i].endswith(text[-300:])
+        assert len(text) - 500 <= len(got[i]) < len(text) - 350, i
+
+
 # -- graph and urls
 
 def test_components(spark):
