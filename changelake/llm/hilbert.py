@@ -20,6 +20,8 @@ from changelake.llm.common import prepare, store
 from changelake.llm.vectors import matrix, usable
 
 RANGE_ROWS = 2048
+# A window holds this many rows at least and ten times k, or the whole table.
+WINDOW_ROWS = 128
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -75,6 +77,25 @@ def _moments(rows: DataFrame):
     return len(each), mean, math.sqrt(max(spread, 1e-30))
 
 
+def _windows(depths: np.ndarray, reach: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last range) of the window around each range; ``depths`` are the rows in each."""
+    ranges, below = len(depths), np.concatenate([[0], np.cumsum(depths)])
+    # At an end of the curve the window keeps its width.
+    begin = np.maximum(0, np.minimum(np.arange(ranges) - reach, ranges - 1 - 2 * reach))
+
+    def opened(more):
+        return np.maximum(begin - more, 0), np.minimum(begin + 2 * reach + more, ranges - 1)
+
+    # The fewest ranges more at both sides that hold enough rows.
+    low, high = np.zeros(ranges, np.int64), np.full(ranges, ranges)
+    while (low < high).any():
+        middle = (low + high) // 2
+        first, last = opened(middle)
+        enough = below[last + 1] - below[first] >= least
+        low, high = np.where(enough, low, np.minimum(middle + 1, high)), np.where(enough, middle, high)
+    return opened(low)
+
+
 def nearest(vectors: DataFrame, every: int = 100, k: int = 10, curves: int = 8, dims: int = 8, bits: int = 7,
             share: float = 0.2, seed: int = 7) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query by Euclidean distance.
@@ -83,8 +104,10 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, curves: int = 8,
     query's own; ties go to the smaller vec_id, fewer candidates give fewer rows. See ``usable`` for
     the rows that take no part; other columns are left out. An empty table gives an empty one.
     ``share`` is the part of all rows that a window covers on a curve: nearly isotropic vectors have
-    no order that keeps neighbours close, so recall is bought with wide windows. A range that equal
-    keys make larger than two ranges is split by a salt, and its queries go to every piece.
+    no order that keeps neighbours close, so recall is bought with wide windows. One that holds fewer
+    than 128 rows or ten times k opens to both sides until it holds as many; smaller tables are searched
+    whole. A range that equal keys make larger than two ranges is split by a salt, and its queries go to
+    every piece.
     """
     prepare(vectors.sparkSession)
     rows = store(usable(vectors, zero=False), "vectors")
@@ -128,10 +151,19 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, curves: int = 8,
     salted = places.join(pieces, ["curve", "place"]).select(
         "vec_id", "curve", "place", F.pmod(F.xxhash64("vec_id"), F.col("pieces")).cast("int").alias("piece"))
     asked = F.col("vec_id") % every == 0
-    # At an end of the curve the window keeps its width.
-    begin = F.greatest(F.lit(0), F.least(F.col("place") - reach, F.lit(ranges - 1 - 2 * reach)))
-    windows = places.where(asked).select("vec_id", "curve", F.explode(
-        F.sequence(begin, begin + 2 * reach)).alias("place"))
+    depths = np.zeros((curves, ranges), np.int64)
+    for c, place, depth in places.groupBy("curve", "place").count().collect():
+        depths[c, place] = depth
+    spans = np.array([_windows(d, reach, min(total, max(WINDOW_ROWS, 10 * k))) for d in depths], np.int32)
+
+    def opened(batches):
+        for batch in batches:
+            begin, end = spans[batch.column("curve").to_numpy(), :, batch.column("place").to_numpy()].reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("curve"), pa.array(begin), pa.array(end)],
+                                             ["vec_id", "curve", "begin", "end"])
+
+    windows = places.where(asked).mapInArrow(opened, "vec_id long, curve int, begin int, end int").select(
+        "vec_id", "curve", F.explode(F.sequence("begin", "end")).alias("place"))
     windows = windows.join(pieces, ["curve", "place"]).select(
         "vec_id", "curve", "place", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece")).join(
         rows.where(asked), "vec_id").toDF("query_id", "q_curve", "q_place", "q_piece", "query")

@@ -299,6 +299,25 @@ def test_neighbours_with_odd_rows_ties_and_hot_keys(spark, monkeypatch):
     assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got) == [(i + 1, i, 0.0) for i in range(5)]
 
 
+@pytest.mark.parametrize("size", [2, 5, 11])
+def test_neighbours_of_small_tables_are_whole(spark, size):
+    x = np.random.default_rng(size).normal(size=(size, 16))
+    rows = [(i, [float(v) for v in x[i]]) for i in range(size)]
+    got = {}
+    for r in hilbert.nearest(spark.createDataFrame(rows, VECTORS), every=1, k=10).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    for i in range(size):
+        order = [int(j) for j in np.argsort(((x - x[i]) ** 2).sum(1)) if j != i][:10]
+        assert got[i] == dict(enumerate(order, 1))
+
+
+def test_few_rows_beside_a_hot_key_find_enough(spark):
+    x = np.random.default_rng(1).normal(size=(4, 16)) * 0.1 + 3
+    rows = [(i, [1.0] * 16) for i in range(300)] + [(1000 + i, [float(v) for v in x[i]]) for i in range(4)]
+    got = hilbert.nearest(spark.createDataFrame(rows, VECTORS), every=1, k=10).where("query_id >= 1000").collect()
+    assert len(got) == 40
+
+
 @pytest.mark.parametrize("remembered", [600_000, 40])
 def test_packing_word_ids_match_the_library(remembered):
     words = packing.WordIds(VOCABULARY, remembered)
