@@ -18,6 +18,7 @@ PARTS = r"(?s)^(.*?)://([^/?#]*)([^?#]*)(\?[^#]*)?"
 TRACKING = r"(?i)(?<=[?&])(utm_[a-z]*|gclid|fbclid|ref)=[^&]*(&|$)"
 CANONICAL = (r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)",
              r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\burl\s*=\s*[\"']?([^\"'\s>]+)")
+BASE = r"(?is)<base\b[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 
 
 def host(url: Column) -> Column:
@@ -45,17 +46,50 @@ def normal_form(url: Column) -> Column:
         F.regexp_replace(path(url), "/+$", ""), query))
 
 
+def _without_dots(path: Column) -> Column:
+    """``path`` with its ``.`` and ``..`` segments carried out."""
+    parts = F.split(path, "/")
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda done, part: F.when(
+        part == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))).when(part == ".", done).otherwise(
+        F.concat(done, F.array(part))))
+    closed = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.when(path.contains("/."), F.array_join(closed, "/")).otherwise(path)
+
+
+def resolved(target: Column, base: Column) -> Column:
+    """The address that a target on a page at ``base`` names; null if it is empty or of a scheme without ``//``."""
+    scheme, place, query = (F.regexp_extract(base, PARTS, i) for i in (1, 3, 4))
+    site = F.concat(scheme, F.lit("://"), F.regexp_extract(base, PARTS, 2))
+    joined = F.when(target.startswith("/"), target).otherwise(F.concat(F.regexp_replace(place, r"(?s)[^/]*$", ""), target))
+    joined = F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))
+    return (F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+            .when((target == "") | target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+            .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
+            .when(target.startswith("?"), F.concat(site, place, target))
+            .when(target.startswith("#"), F.concat(site, place, query, target))
+            .otherwise(F.concat(site, _without_dots(F.regexp_extract(joined, r"(?s)^([^?#]*)(.*)$", 1)),
+                                F.regexp_extract(joined, r"(?s)^([^?#]*)(.*)$", 2))))
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """(src, dst): each page's url to its normal form, canonical link and refresh target."""
-    def target(pattern):
-        found = F.regexp_extract(F.col("html"), pattern, 1)
-        base = F.regexp_extract(F.col("url"), r"(?s)^(.*?://[^/?#]*)", 1)
-        return (F.when(found.contains("://"), found)
-                .when(found.startswith("/") & ~found.startswith("//"), F.concat(base, found)))
-
-    targets = [target(p) for p in CANONICAL] if "html" in pages.columns else []
-    pairs = pages.where(F.col("url").contains("://")).select(
-        F.col("url").alias("src"), F.explode(F.array(normal_form(F.col("url")), *targets)).alias("dst"))
+    """(src, dst): each page's url to its normal form, canonical link and refresh target.
+
+    Targets are resolved against the page's ``base`` element, if it has one, else against its url;
+    ``&amp;`` in them is ``&``.
+    """
+    def written(pattern):
+        return F.regexp_replace(F.regexp_extract(F.col("html"), pattern, 1), r"(?i)&(amp|#38|#x26);", "&")
+
+    on_page = "html" in pages.columns
+    targets = [written(p) for p in CANONICAL] if on_page else []
+    base = written(BASE) if on_page else F.lit("")
+    found = pages.where(F.col("url").contains("://")).select(
+        F.col("url").alias("src"), base.alias("base"), F.posexplode(F.array(normal_form(F.col("url")), *targets)).alias(
+            "number", "target")).where("target <> ''")
+    # The patterns run on the page once, below the explode; what is written there is used in many places.
+    pairs = found.withColumn("base", F.coalesce(resolved(F.col("base"), F.col("src")), "src")).select(
+        "src", F.when(F.col("number") == 0, F.col("target")).otherwise(
+            resolved(F.col("target"), F.col("base"))).alias("dst"))
     # A target's own normal form joins it to the pages that are written like it.
     return pairs.where("dst is not null").select(
         "src", F.explode(F.array("dst", normal_form(F.col("dst")))).alias("dst")).where("src <> dst").distinct()

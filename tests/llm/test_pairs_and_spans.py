@@ -331,3 +331,39 @@ def test_url_rules_and_aliases(spark):
         15: ("p.example.com", "/de/", "example.com/de/", "block", "rule")}
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert url_filter.judge(empty, url_filter.page_links(empty)).count() == 0
+
+
+def test_page_links_resolve_as_a_browser_does(spark):
+    page = "http://shop.org/a/b/c.html?x=1#top"
+    cases = {"//other.org/p": "http://other.org/p", "page.html": "http://shop.org/a/b/page.html",
+             "../x": "http://shop.org/a/x", "../../../x/./y": "http://shop.org/x/y", "..": "http://shop.org/a/",
+             "?id=1&amp;p=2": "http://shop.org/a/b/c.html?id=1&p=2", "/q?a=1&amp;b=2": "http://shop.org/q?a=1&b=2",
+             "/r/../s?u=/../t": "http://shop.org/s?u=/../t", "#end": "http://shop.org/a/b/c.html?x=1#end",
+             "go?to=http://z.org/": "http://shop.org/a/b/go?to=http://z.org/",
+             "https://z.org/1?a=1&amp;b=2": "https://z.org/1?a=1&b=2", "mailto:a@b.org": None}
+    for form in ("<link rel=canonical href='%s'>", '<meta http-equiv="refresh" content="0; url=%s">'):
+        df = spark.createDataFrame([(f"{page}{i}", form % t) for i, t in enumerate(cases)], "url string, html string")
+        got = {}
+        for r in url_filter.page_links(df).collect():
+            got.setdefault(r["src"], set()).add(r["dst"])
+        for i, want in enumerate(cases.values()):
+            own = "https://shop.org/a/b/c.html?x=1"
+            if want is None:
+                assert got[f"{page}{i}"] == {own}
+            else:
+                assert want in got[f"{page}{i}"] and len(got[f"{page}{i}"] - {own, want}) <= 1, want
+    rows = [("http://h.org", "<link rel=canonical href=x>", "http://h.org/x"),
+            ("http://h.org/p/q", "<base href='/z/'><link rel=canonical href=x>", "http://h.org/z/x"),
+            ("http://h.org/p/r", "<base href='//i.org/z/'><link rel=canonical href=x>", "http://i.org/z/x")]
+    found = {tuple(r) for r in url_filter.page_links(spark.createDataFrame(
+        [r[:2] for r in rows], "url string, html string")).collect()}
+    assert {(r[0], r[2]) for r in rows} <= found
+
+
+def test_verdicts_reach_aliases_over_relative_targets(spark):
+    link = "<link rel=canonical href='%s'>"
+    rows = [(1, "https://clean.org/a", link % "//x.example.com/de/1"), (2, "https://x.org/fr/p?a=1&b=2", ""),
+            (3, "https://x.org/other/q", link % "../fr/p?a=1&amp;b=2"), (4, "https://x.org/fr", link % "fr/z")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: (r["verdict"], r["method"]) for r in url_filter.judge(df, url_filter.page_links(df)).collect()}
+    assert got == {1: ("block", "alias"), 2: ("allow", "rule"), 3: ("allow", "alias"), 4: ("allow", "alias")}
