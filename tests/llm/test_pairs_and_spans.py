@@ -3,6 +3,7 @@
 import random
 
 import brute
+import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
@@ -289,6 +290,26 @@ def test_rows_that_share_an_id_are_cut_by_their_own_repeats(spark):
     assert got == sorted([(1, first), (2, ""), (2, other), (2, other), (2, None)], key=repr)
 
 
+def test_pipeline_stages_keep_other_texts_of_an_id(spark):
+    rng = random.Random(23)
+
+    def words(n):
+        return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(n))
+
+    a, b, c, d = (words(150) for _ in range(4))
+    near = a.rsplit(" ", 1)[0] + " other"
+    rows = [(1, a), (2, near), (2, b), (2, b), (3, c), (3, d), (4, c), (None, a), (None, a), (5, None), (5, "")]
+    df = spark.createDataFrame(rows, DOCS)
+    # By hand: ``near`` and the later ``c`` go, repeated rows stay once.
+    left = [(1, a), (2, b), (3, c), (3, d), (None, a), (None, a), (5, None), (5, "")]
+    assert rows_of(corpus_pipeline.keep_one_of_near_copies(spark, df, SF), "doc_id", "text") == sorted(left, key=repr)
+    # Rows without an id come first, so ``a`` goes; other texts of an id that loses text are whole.
+    cut = [(2, near), (2, a), (2, b), (2, b), (3, c), (3, d), (4, c + " " + a), (None, a)]
+    got = rows_of(corpus_pipeline.drop_repeated_passages(spark, spark.createDataFrame(cut, DOCS), SF), "doc_id", "text")
+    assert {(2, b), (3, c), (3, d), (None, a)} <= set(got) and got.count((2, b)) == 2
+    assert (2, a) not in got and not any(a[:300] in (t or "") for i, t in got if i)
+
+
 # -- graph and urls
 
 def test_components(spark):
