@@ -8,8 +8,6 @@ sys.path[:0] = [os.path.dirname(os.path.dirname(os.path.abspath(__file__))),
 
 from changelake.session import build_session  # noqa: E402
 
-SF = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):

@@ -4,8 +4,7 @@ import importlib.util
 import os
 
 import pytest
-from compare import database, differences
-from conftest import SF
+from compare import SF, database, differences
 
 path = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "__spark_entry__.py")
 spec = importlib.util.spec_from_file_location("spark_entry", path)
