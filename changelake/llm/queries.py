@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelake.llm import (bit_sliced, chunk_dedup, hilbert, html_extract, ngram_join, packing, suffix_dedup,
-                            toxicity, trie_bpe, url_filter)
+from changelake.llm import (bit_sliced, chunk_dedup, hilbert, html_extract, ngram_join, packing, source_mix,
+                            suffix_dedup, toxicity, trie_bpe, url_filter)
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -67,9 +67,14 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), 400).drop("kept")
 
 
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = source_mix.mix(table(spark, sf_dir, "documents"), weights=(1, 2, 3), repeats=3)
+    return mixed.documents.select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_ngram_join, op3_html_extract, op4_hilbert_neighbours, op5_url_filter, op6_chunk_dedup,
-    op7_packing, op8_trie_bpe, op9_bit_sliced, op10_suffix_dedup)}
+    op7_packing, op8_trie_bpe, op9_bit_sliced, op10_suffix_dedup, op11_source_mix)}
 
 _QUANTISED = """select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as q
     from embeddings where vec_id is not null and len(embedding) > 0
@@ -84,4 +89,37 @@ CHECKS = {
         select query_id, cast(rank as int) as rank, vec_id, score from (
             select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
         where rank <= 5""",
+    # A source is capped if, with all that stop earlier taken out, its share would still be too much.
+    "op11_source_mix": r"""
+        with d as (
+          select doc_id, source, md5(concat('mix:', coalesce(cast(doc_id as varchar), ''), ':', coalesce(text, ''))) mark,
+                 cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size from documents),
+        s as (
+          select *, rank % 3 + 1 as weight, cast(3 * source_size as hugeint) most, sum(source_size) over () as budget
+          from (select source, cast(sum(size) as bigint) source_size,
+                       row_number() over (order by source nulls last) - 1 as rank from d group by source)),
+        o as (
+          select *, most * (6 // weight) as turn from s),
+        f as (
+          select *, most * sum(weight) over (order by turn, rank rows between current row and unbounded following)
+                    <= weight * (budget - coalesce(sum(most) over (
+                       order by turn, rank rows between unbounded preceding and 1 preceding), 0)) as capped from o),
+        t as (
+          select source, source_size, rank, budget, case when capped then cast(most as double) else
+                 cast(weight * (budget - coalesce(sum(most) filter (capped) over (), 0)) as double)
+                 / sum(weight) filter (not capped) over () end as target from f),
+        e as (
+          select *, floor(target) as low, budget - sum(floor(target)) over () as spare, row_number() over (
+                 order by case when ceil(target) > floor(target) then (floor(target) + 1) / target end nulls last, rank) as turn
+          from t),
+        v as (
+          select source, source_size, target,
+                 cast(low + case when ceil(target) > low and turn <= spare then 1 else 0 end as bigint) served from e),
+        p as (
+          select d.*, cast(coalesce(sum(size) over (partition by source order by mark, doc_id, size
+                 rows between unbounded preceding and 1 preceding), 0) as bigint) as start from d)
+        select doc_id, p.source, size, source_size, target,
+               greatest(0, least(size, served - start)) + greatest(0, least(size, served - source_size - start))
+               + greatest(0, least(size, served - 2 * source_size - start)) as taken
+        from p join v on p.source is not distinct from v.source""",
 }
