@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelake.llm import (bit_sliced, chunk_dedup, hilbert, html_extract, ngram_join, packing, source_mix,
-                            suffix_dedup, toxicity, trie_bpe, url_filter)
+from changelake.llm import (bit_sliced, chunk_dedup, hilbert, html_extract, ngram_join, packing, source_audit,
+                            source_mix, suffix_dedup, toxicity, trie_bpe, url_filter)
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -72,9 +72,14 @@ def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.documents.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(table(spark, sf_dir, "documents"), min_docs=30, top=50)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_ngram_join, op3_html_extract, op4_hilbert_neighbours, op5_url_filter, op6_chunk_dedup,
-    op7_packing, op8_trie_bpe, op9_bit_sliced, op10_suffix_dedup, op11_source_mix)}
+    op7_packing, op8_trie_bpe, op9_bit_sliced, op10_suffix_dedup, op11_source_mix,
+    op12_source_audit)}
 
 _QUANTISED = """select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as q
     from embeddings where vec_id is not null and len(embedding) > 0
@@ -122,4 +127,38 @@ CHECKS = {
                greatest(0, least(size, served - start)) + greatest(0, least(size, served - source_size - start))
                + greatest(0, least(size, served - 2 * source_size - start)) as taken
         from p join v on p.source is not distinct from v.source""",
+    "op12_source_audit": r"""
+        with d as (
+          select row_number() over () as id, coalesce(lang, '') as lang, coalesce(source, '') as source,
+                 translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+        w as (
+          select id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+        kept as (
+          select lang, term, count(*) as whole from w group by lang, term having count(distinct id) >= 30),
+        l as (
+          select lang, count(*) as v, sum(whole) as n from kept group by lang),
+        c as (
+          select lang, source, term, count(*) as cnt from w semi join kept using (lang, term) group by all),
+        g as (
+          select g.lang, g.source, coalesce(t.n, 0) as n, coalesce(l.v, 0) as v, coalesce(l.n, 0) as lang_n
+          from (select distinct lang, source from d) g left join l on g.lang = l.lang
+          left join (select lang, source, sum(cnt) as n from c group by lang, source) t
+            on g.lang = t.lang and g.source = t.source),
+        p as (
+          select g.lang, g.source, kept.term, coalesce(cnt, 0) as cnt,
+                 1 + (1000000000 * (coalesce(cnt, 0) + 5)::hugeint) // (g.n + 5 * v) as p,
+                 1 + (1000000000 * (whole + 5)::hugeint) // (lang_n + 5 * v) as q
+          from g join kept on g.lang = kept.lang
+          left join c on c.lang = g.lang and c.source = g.source and c.term = kept.term),
+        r as (
+          select a.lang, a.source, 'pair' as part, b.source as item,
+                 coalesce((select sum(abs(x.p - y.p)) from p x join p y on x.lang = y.lang and x.term = y.term
+                           where x.lang = a.lang and x.source = a.source and y.source = b.source), 0) as value
+          from g a join g b on a.lang = b.lang and a.source <> b.source
+          union all
+          select lang, source, 'term', term, p - q from p where cnt > 0 and p > q)
+        select * from (
+          select lang, source, part, item, cast(value as bigint) as value, cast(row_number() over (
+            partition by lang, source, part order by value desc, item) as int) as rank from r)
+        where part = 'pair' or rank <= 50""",
 }
