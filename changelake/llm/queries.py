@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelake.llm import (bit_sliced, chunk_dedup, hilbert, html_extract, ngram_join, packing, source_audit,
-                            source_mix, suffix_dedup, toxicity, trie_bpe, url_filter)
+from changelake.llm import (bit_sliced, chunk_dedup, hilbert, html_extract, ngram_join, packing, prefix_trie,
+                            source_audit, source_mix, suffix_dedup, toxicity, trie_bpe, url_filter)
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -76,10 +76,14 @@ def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.audit(table(spark, sf_dir, "documents"), min_docs=30, top=50)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_ngram_join, op3_html_extract, op4_hilbert_neighbours, op5_url_filter, op6_chunk_dedup,
     op7_packing, op8_trie_bpe, op9_bit_sliced, op10_suffix_dedup, op11_source_mix,
-    op12_source_audit)}
+    op12_source_audit, op13_prefix_trie)}
 
 _QUANTISED = """select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as q
     from embeddings where vec_id is not null and len(embedding) > 0
@@ -161,4 +165,45 @@ CHECKS = {
           select lang, source, part, item, cast(value as bigint) as value, cast(row_number() over (
             partition by lang, source, part order by value desc, item) as int) as rank from r)
         where part = 'pair' or rank <= 50""",
+    # The checksum bit by bit, since there is no function for it.
+    "op13_prefix_trie": r"""
+        with t as (
+          select conv_id, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''),
+                 coalesce(text, '')) as pos, concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')) as cell,
+                 strlen(coalesce(text, '')) as bytes
+          from conversations where conv_id is not null),
+        c as (
+          select conv_id, n, conv_id - conv_id % 5 as first, xor(list_reduce(list_prepend(cast(4294967295 as bigint),
+                 list_transform(range(0, 8 * length(conv_id::varchar)), lambda i: case when i % 8 = 0
+                   then cast(ord(substr(conv_id::varchar, cast(i // 8 + 1 as bigint), 1)) as bigint) else 0 end)),
+                 lambda s, x: case when xor(s, x) % 2 = 1 then xor(xor(s, x) // 2, 3988292384) else xor(s, x) // 2 end),
+                 4294967295) % 9 as h
+          from (select conv_id, max(pos) as n from t group by conv_id)),
+        f as (
+          select c.*, least(c.h, coalesce(o.n, 0)) as m from c left join c o on o.conv_id = c.first),
+        r as (
+          select f.conv_id, pos as depth, cell, bytes from f join t on t.conv_id = f.first and pos <= h
+          union all
+          select f.conv_id, m + pos - h, cell, bytes from f join t on t.conv_id = f.conv_id and pos > h),
+        p as (
+          select conv_id, depth, bytes, sha256(string_agg(sha256(cell), '') over (
+                 partition by conv_id order by depth)) as key from r
+          union all select conv_id, 0, 0, '' from f),
+        n as (
+          select key, depth, min(conv_id) as conv_id, count(*) as n_convs, max(bytes) as bytes from p group by key, depth),
+        e as (
+          select key, string_agg(conv_id::varchar, ',' order by conv_id) as ids
+          from (select conv_id, arg_max(key, depth) as key from p group by conv_id) group by key),
+        u as (
+          select n.*, o.conv_id as parent_conv_id, o.key as parent from n
+          left join p on p.conv_id = n.conv_id and p.depth = n.depth - 1 left join n o on o.key = p.key),
+        k as (select parent as key, count(*) as n_children from u where parent is not null group by parent),
+        s as (
+          select p.key, sum(case when k.key is null then 1 else 0 end) as n_leaves,
+                 sum((n.n_convs - 1) * n.bytes) as saved_tokens
+          from n left join k on n.key = k.key join p on p.conv_id = n.conv_id and p.depth <= n.depth group by p.key)
+        select u.conv_id, cast(depth as bigint) as depth, parent_conv_id, n_convs,
+               coalesce(n_children, 0) as n_children, cast(n_leaves as bigint) as n_leaves,
+               cast(saved_tokens as bigint) as saved_tokens, sha256(coalesce(ids, '')) as ends_sha256
+        from u left join k on u.key = k.key join s on u.key = s.key left join e on u.key = e.key""",
 }
