@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,30 +25,45 @@ ABORTS = ("stream_abort",)
 
 def read_changes(spark: SparkSession, path: str, format: str = "parquet", streaming: bool = False,
                  start: int = 0, max_files: int | None = None) -> DataFrame:
-    """Change files below ``path`` from position ``start`` on, as a batch or a stream."""
-    reader = (spark.readStream if streaming else spark.read).schema(CHANGES).format(format)
+    """Change files below ``path`` from position ``start`` on, as a batch or a stream.
+
+    JSON files have a message a line; a line that is none becomes a message of kind ``malformed``,
+    which has no position, so it is kept whatever ``start`` is. Blank lines are no messages.
+    """
+    reader = spark.readStream if streaming else spark.read
     if streaming and max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    changes = reader.load(path)
-    return changes.where(F.col("lsn") >= start) if start else changes
+    if format == "json":
+        # A stream has no row numbers; a batch of it is read once, so any name for a line will do.
+        line = F.expr("uuid()") if streaming else F.monotonically_increasing_id()
+        lines = reader.text(path).select("value", F.col("_metadata.file_path").alias("_file"), line.alias("_line"))
+        changes = from_json_text(lines.where(F.trim("value") != ""), place=("_file", "_line"))
+    else:
+        changes = reader.schema(CHANGES).format(format).load(path)
+    return changes.where((F.col("lsn") >= start) | (F.col("kind") == "malformed")) if start else changes
 
 
 def read_kafka(spark: SparkSession, options: dict[str, str], streaming: bool = True) -> DataFrame:
     """The same feed from a Kafka topic of JSON envelopes (needs Spark's Kafka package)."""
     reader = (spark.readStream if streaming else spark.read).format("kafka").options(**options)
-    return from_json_text(reader.load().selectExpr("CAST(value AS STRING) AS value"))
+    texts = reader.load().selectExpr("CAST(value AS STRING) AS value", "topic", "partition", "offset")
+    return from_json_text(texts, place=("topic", "partition", "offset"))
 
 
-def from_json_text(rows: DataFrame, column: str = "value") -> DataFrame:
+def from_json_text(rows: DataFrame, column: str = "value", place: Sequence[str] = ()) -> DataFrame:
     """Messages from JSON text. Text that is no envelope becomes a message of kind ``malformed``
-    that carries the text as its only cell, below all positions, so that it is seen and counted."""
+    that carries the text as its only cell, below all positions, so that it is seen and counted.
+
+    ``place`` names the columns that tell where a text came from: equal texts from two places count
+    twice, and one that is delivered again counts once.
+    """
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     parsed = rows.select(F.from_json(column, CHANGES + ", _corrupt STRING", options).alias("c"),
-                         F.col(column).alias("_text"))
+                         F.col(column).alias("_text"), *place)
     bad = F.col("c._corrupt").isNotNull() | F.col("c.kind").isNull() | F.col("c.lsn").isNull()
     cells = {f.name: F.col(f"c.{f.name}") for f in parsed.schema["c"].dataType.fields if f.name != "_corrupt"}
     instead = {"kind": F.lit("malformed"), "seq": F.lit(0),
-               "lsn": -F.abs(F.shiftrightunsigned(F.xxhash64("_text"), 1)) - 1,
+               "lsn": -F.shiftrightunsigned(F.xxhash64("_text", *place), 1) - 1,
                "new_cols": F.array(F.struct(F.lit("t").alias("f"), F.col("_text").alias("v")))}
     return parsed.select(*(F.when(~bad, cell).otherwise(instead.get(n, F.lit(None))).alias(n)
                            for n, cell in cells.items()))
