@@ -1,4 +1,4 @@
-"""Neighbours and running totals in ordered groups of any size.
+"""Neighbours and running totals in ordered groups of any size, and places in sorted arrays.
 
 A plain window puts each group into one task. Groups beyond ``HOT_ROWS`` rows are cut
 into slices that follow the order; each slice is a window of its own, and one value per
@@ -91,3 +91,13 @@ def running_totals(df: DataFrame, group: Sequence[str], order: Sequence[str],
 def running_total(df: DataFrame, group: Sequence[str], order: Sequence[str], measure: Column,
                   out: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     return running_totals(df, group, order, {out: measure}, hot_rows)
+
+
+def bisect(array: Column, value: Column, longest: int) -> Column:
+    """How many elements of a sorted array of at most ``longest`` are at most ``value`` (0 if NULL).
+
+    One expression that halves what is left: a row costs the logarithm of the array's length.
+    """
+    halves = F.array(*(F.lit(1 << i) for i in reversed(range(max(1, longest.bit_length())))))
+    return F.aggregate(halves, F.lit(0), lambda n, half: F.when(
+        F.get(array, n + half - 1) <= value, n + half).otherwise(n))

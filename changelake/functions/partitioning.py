@@ -38,6 +38,24 @@ def bucket(columns: Iterable[str], count: int) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(count)).cast("int")
 
 
+def linear_bucket(columns: Iterable[str], start: int, count: int) -> Column:
+    """Linear hashing: of ``start * 2^n`` buckets, those that were split have a twin ``start * 2^n`` on.
+
+    With one bucket more, the rows of one bucket move; all others stay.
+    """
+    whole = start << ((count // start).bit_length() - 1)
+    value = F.xxhash64(*columns)
+    low = F.pmod(value, F.lit(whole))
+    return F.when(low < count - whole, F.pmod(value, F.lit(2 * whole))).otherwise(low).cast("int")
+
+
+def split_from(bucket: int, start: int, count: int) -> int:
+    """The bucket that held the rows of ``bucket`` when there were ``count`` buckets."""
+    while bucket >= count:
+        bucket -= start << ((bucket // start).bit_length() - 1)
+    return bucket
+
+
 def partition_by(df: DataFrame, spec: Iterable[PartitionField]) -> DataFrame:
     """``df`` with one column per partition field, ready for ``write.partitionBy``."""
     return df.withColumns({field.name: transform(df, field) for field in spec})

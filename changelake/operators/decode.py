@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from changelake.functions.types import decode_binary, decode_text
-from changelake.operators.relations import TableShape, bind_relation
+from changelake.operators.relations import Sizes, TableShape, bind_relation
 from changelake.operators.state import flag
 
 POSITIONS = ["lsn", "seq", "xid", "sub_xid", "kind", "relation_id"]
@@ -22,7 +22,7 @@ def tuple_map(tuple_column: str = "new_cols") -> Column:
     return F.map_from_arrays(names, tuple_column)
 
 
-def bind(rows: DataFrame, versions: DataFrame, shape: TableShape, few: bool | None = None) -> DataFrame:
+def bind(rows: DataFrame, versions: DataFrame, shape: TableShape, sizes: Sizes | None = None) -> DataFrame:
     """Rows of one table with ``at``: where each of the shape's columns sits in the tuple.
 
     The places are worked out once per version, not per row; a column that a version lacks has
@@ -36,7 +36,7 @@ def bind(rows: DataFrame, versions: DataFrame, shape: TableShape, few: bool | No
         "relation_id", "valid_from", "valid_to", F.size("relation.columns").alias("width"),
         F.transform(wanted, lambda n: (F.nullif(F.array_position(names, n), F.lit(0)) - 1)
                     .cast("int")).alias("at"))
-    return bind_relation(rows, placed, few=few)
+    return bind_relation(rows, placed, sizes=sizes)
 
 
 def to_columns(rows: DataFrame, shape: TableShape) -> DataFrame:
@@ -98,13 +98,6 @@ def _reasons(shape: TableShape) -> list[Column]:
         elif name in shape.required:
             reason = reason.when(~deleted & (kind == "n"), f"not_null:{name}")
         found.append(reason)
-    moved, unchanged = F.lit(False), F.lit(False)
-    for key in shape.keys:
-        old = F.col(f"old_{key}")
-        moved = moved | (old.isNotNull() & ~old.eqNullSafe(F.col(key)))
-    for name in shape.carried_values:
-        unchanged = unchanged | (F.col(flag(name)) == "u")
-    found.append(F.when(row & moved & unchanged, F.lit("unchanged_on_key_change")))
     found.append(F.when(row & F.col("new_cols").isNotNull() & (F.size("new_cols") != F.col("width")),
                         F.lit("tuple_width")))
     return found

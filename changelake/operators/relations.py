@@ -3,18 +3,16 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from changelake.functions.ordering import HOT_ROWS, neighbour
+from changelake.functions.ordering import HOT_ROWS, bisect, neighbour
 from changelake.functions.types import can_be_unchanged, spark_type, wider
-from changelake.session import fits, freeze
-
-SLOTS = 1024
-
+from changelake.session import BROADCAST_ROWS, freeze
 
 def relation_versions(changes: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per shape: relation_id, relation, valid_from, valid_to (NULL for the newest).
@@ -32,37 +30,62 @@ def relation_versions(changes: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame
                             hot_rows=hot_rows))
 
 
+# Positions of one node of the tree of a relation's versions.
+FANOUT = 32
+
+
+class Sizes(NamedTuple):
+    """How many relation versions there are, and how many the relation with most of them has."""
+
+    versions: int
+    longest: int
+
+    @classmethod
+    def of(cls, versions: DataFrame) -> Sizes:
+        counts = versions.groupBy("relation_id").agg(F.count(F.lit(1)).alias("n"))
+        return cls(*counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first())
+
+
 def bind_relation(changes: DataFrame, versions: DataFrame, keep_unknown: bool = False,
-                  few: bool | None = None) -> DataFrame:
+                  sizes: Sizes | None = None) -> DataFrame:
     """Each change row with the ``relation`` in force at its position (as-of join).
 
-    Few versions (counted, unless the caller knows) are broadcast. Otherwise both sides get the slot of the log they lie in and
-    join on (relation, slot), so the rows of one busy relation spread over many tasks.
+    A relation's versions, in order, are the leaves of a tree whose nodes are sorted arrays of at most
+    ``FANOUT`` positions. A row goes down by equality joins, one a level, and halves the array it meets:
+    it costs the logarithm of the number of versions, and neither rows nor versions are copied.
+    Versions of a counted size are broadcast; beyond it the joins shuffle, and the lower levels
+    spread a busy relation. ``sizes`` saves the count where the caller knows it.
     Rows before the first relation message have none; ``keep_unknown`` keeps them.
     """
-    how = "left" if keep_unknown else "inner"
-    rows = changes.drop("relation").withColumn("_at", F.struct("lsn", "seq"))
-    side = versions.withColumnRenamed("relation_id", "_id")
-    in_force = ((F.col("relation_id") == F.col("_id")) & (F.col("_at") >= F.col("valid_from"))
-                & (F.col("valid_to").isNull() | (F.col("_at") < F.col("valid_to"))))
-    if fits(versions) if few is None else few:
-        joined = rows.join(F.broadcast(side), in_force, how)
-    else:
-        low, high = changes.agg(F.min("lsn"), F.max("lsn")).first()
-        width = max(1, ((high or 0) - (low or 0)) // SLOTS + 1)
-        first, last = (low or 0) // width, (high or 0) // width
-        slot = F.floor(F.col("lsn") / width) if width == 1 else F.expr(f"lsn div {width}")
-        start = F.greatest(F.expr(f"valid_from.lsn div {width}"), F.lit(first))
-        end = F.least(F.coalesce(F.expr(f"valid_to.lsn div {width}"), F.lit(last)), F.lit(last))
-        spread = side.where(start <= end).withColumn("_slot_v", F.explode(F.sequence(start, end)))
-        joined = rows.withColumn("_slot", slot).join(
-            spread, (F.col("_slot") == F.col("_slot_v")) & in_force, how).drop("_slot", "_slot_v")
-    return joined.drop("_at", "_id", "valid_from", "valid_to")
-
-
-def unknown_relation(changes: DataFrame, versions: DataFrame, few: bool | None = None) -> DataFrame:
+    sizes = Sizes.of(versions) if sizes is None else sizes
+    near = F.broadcast if sizes.versions <= BROADCAST_ROWS else (lambda df: df)
+    found = [c for c in versions.columns if c not in ("relation_id", "valid_from", "valid_to")]
+    ordered = versions.groupBy(F.col("relation_id").alias("_id")).agg(F.sort_array(F.collect_list(
+        F.struct("valid_from", F.struct(*found).alias("_found")))).alias("_all"))
+    leaves = ordered.select("_id", F.posexplode("_all").alias("_n", "_e"))
+    rows = changes.drop("relation")
+    bound, span = rows.withColumn("_n", F.lit(0)), FANOUT
+    while span < sizes.longest:
+        span *= FANOUT
+    while span > 1:
+        # Nodes of this level span so many leaves; their entries are the first ones of their children.
+        below = span // FANOUT
+        nodes = leaves.where(F.col("_n") % below == 0).groupBy("_id", F.expr(f"_n div {span}").cast("int").alias("_m")).agg(
+            F.sort_array(F.collect_list("_e.valid_from")).alias("_starts"))
+        on = (F.col("relation_id") == F.col("_id")) & (F.col("_n") == F.col("_m"))
+        child = F.col("_n") * FANOUT + bisect(F.col("_starts"), F.struct("lsn", "seq"), FANOUT) - 1
+        bound = bound.join(near(nodes), on, "left").select(
+            *rows.columns, F.when(child >= F.col("_n") * FANOUT, child).cast("int").alias("_n"))
+        span = below
+    on = (F.col("relation_id") == F.col("_id")) & (F.col("_n") == F.col("_m"))
+    side = leaves.select("_id", F.col("_n").alias("_m"), F.col("_e._found").alias("_found"))
+    return bound.join(near(side), on, "left" if keep_unknown else "inner").select(
+        *rows.columns, *(F.col(f"_found.{c}").alias(c) for c in found))
+
+
+def unknown_relation(changes: DataFrame, versions: DataFrame, sizes: Sizes | None = None) -> DataFrame:
     """Rows whose relation had not been described yet."""
-    return bind_relation(changes, versions, True, few).where("relation IS NULL")
+    return bind_relation(changes, versions, True, sizes).where("relation IS NULL")
 
 
 def merge_nullability(columns: DataFrame, known: DataFrame) -> DataFrame:
@@ -144,6 +167,13 @@ class TableShape:
         shape.keys, shape.carried = saved["keys"], saved["carried"]
         return shape
 
+    @classmethod
+    def from_schema(cls, namespace: str, name: str, schema: T.StructType, keys: Iterable[str]) -> TableShape:
+        """The shape of a table that is known by its rows only."""
+        shape = cls(namespace, name, [])
+        shape.types, shape.keys = {f.name: f.dataType for f in schema}, list(keys)
+        return shape
+
     @classmethod
     def of(cls, versions: DataFrame, namespace: str, name: str,
            required: Sequence[str] = ()) -> TableShape:

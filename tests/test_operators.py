@@ -205,13 +205,14 @@ def test_versions_drop_repeats(spark, feed):
 
 
 @pytest.mark.parametrize("few", [True, False])
-def test_binding_by_broadcast_and_by_slots(spark, feed, few):
+def test_binding_by_broadcast_and_by_shuffle(spark, feed, few):
     versions = relations.relation_versions(feed)
+    sizes = None if few else relations.Sizes(10**9, 2)
     rows = feed.where("kind <> 'relation'")
-    bound = relations.bind_relation(rows, versions, keep_unknown=True, few=few)
+    bound = relations.bind_relation(rows, versions, keep_unknown=True, sizes=sizes)
     found = {r.lsn: len(r.relation.columns) if r.relation else None for r in bound.collect()}
     assert found == {1: None, 10: 2, 11: 2, 30: 3, 31: 3, 32: 3, 33: 3, 34: 3, 35: 3, 36: 3}
-    assert relations.bind_relation(rows, versions, few=few).count() == 9
+    assert relations.bind_relation(rows, versions, sizes=sizes).count() == 9
     assert [r.lsn for r in relations.unknown_relation(rows, versions).collect()] == [1]
 
 
@@ -224,10 +225,10 @@ def test_decode(spark, feed):
     decoded = decode.to_columns(decode.bind(feed.where("kind <> 'relation'"), versions, shape), shape)
     good = {r.lsn: (r.kind, r.id, r.old_id, r["name"], r.extra, r.name_f) for r in decode.fit(decoded).collect()}
     assert good == {30: ("update", 1, None, None, 2.5, "u"), 33: ("delete", 1, None, None, None, "n"),
-                    35: ("update", 8, 1, "eight", 1.0, "t")}
+                    34: ("update", 9, 1, None, 1.0, "u"), 35: ("update", 8, 1, "eight", 1.0, "t")}
     bad = {r.lsn: list(r.reasons) for r in decode.quarantine(decoded).collect()}
     assert bad == {10: ["not_null:extra"], 31: ["bad_value:id"], 32: ["bad_kind:extra"],
-                   34: ["unchanged_on_key_change"], 36: ["not_null:extra", "tuple_width"]}
+                   36: ["not_null:extra", "tuple_width"]}
     with pytest.raises(ValueError, match="undecodable"):
         decode.require_fit(decoded)
     counts = {r.reason: r.errors for r in monitor.error_counts(decode.quarantine(decoded)).collect()}
