@@ -61,16 +61,19 @@ def jobs(plan: DataFrame, files_per_job: int = FILES_PER_JOB) -> Iterator[DataFr
 
 
 def rewrite(spark: SparkSession, plan: DataFrame, out: str, target: int = TARGET_BYTES,
-            files_per_job: int = FILES_PER_JOB, schemas: Mapping[str, T.StructType] | None = None) -> DataFrame:
+            files_per_job: int = FILES_PER_JOB, schemas: Mapping[str, T.StructType] | None = None,
+            bounds: str | None = None) -> DataFrame:
     """Write the rows of each group to a directory of its own below ``out``.
 
     A group becomes one file per ``target`` bytes, so one huge group is many tasks. ``schemas``
     has the schema of each ``dir``; without it, a job's files are read with their merged schema,
     so that columns that some files lack are NULL there (types that do not merge are an error).
     Rows and the values of every column are counted before and after, before the result, one
-    row per written file, is returned: dir, grp, path, record_count, bytes. The replaced files
-    stay until ``vacuum``.
+    row per written file, is returned: dir, grp, path, record_count, bytes, and ``low`` and ``high`` of
+    the column ``bounds`` if that is given. The replaced files stay until ``vacuum``.
     """
+    names = ["low", "high"] if bounds else []
+    ends = [f(bounds).alias(name) for name, f in zip(names, (F.min, F.max))]
     plan = freeze(plan.withColumn("path", listed_path(F.col("path"))))
     for number, part in enumerate(jobs(plan, files_per_job)):
         for place, (name, schema) in enumerate((schemas or {None: None}).items()):
@@ -78,13 +81,13 @@ def rewrite(spark: SparkSession, plan: DataFrame, out: str, target: int = TARGET
                          f"{out}/job={number}-{place}", target, schema)
     if plan.isEmpty():
         return plan.select("dir", "grp", "path", F.lit(0).cast("bigint").alias("record_count"),
-                           F.col("length").alias("bytes"))
+                           F.col("length").alias("bytes"), *(F.lit(None).cast("bigint").alias(n) for n in names))
     written = (spark.read.option("basePath", out).parquet(out)
                .groupBy(scanned_path().alias("path"), "group_id")
                .agg(F.count(F.lit(1)).alias("record_count"),
-                    F.first("_metadata.file_size").alias("bytes")))
+                    F.first("_metadata.file_size").alias("bytes"), *ends))
     ids = plan.select("dir", "grp", _group_id().alias("group_id")).distinct()
-    return written.join(ids, "group_id").select("dir", "grp", "path", "record_count", "bytes")
+    return written.join(ids, "group_id").select("dir", "grp", "path", "record_count", "bytes", *names)
 
 
 def _group_id() -> Column:

@@ -149,6 +149,14 @@ def unchanged_without_base(spark, sf):
     return lost.select("k", F.array_join("missing", ",").alias("missing"))
 
 
+@query(check(feeds.MOVES_FEED + "," + feeds.MOVES_STATE, "select * from state"))
+def key_change_chain(spark, sf):
+    """Rows that move three times and leave values out, within transactions and across them."""
+    log = transactions.committed(feeds.moves_changes(spark, sf))
+    split = state.explode_key_change(log.drop("ch"), ["k"], origin="was")
+    return state.current_state(state.inherit(split, ["k"], CUSTOMERS[1], "was"), ["k"], *CUSTOMERS)
+
+
 @query(check(ORDERS_FEED + "," + MARKERS, """
     select kind, count(*) messages from (select kind from feed union all select kind from markers) x group by kind"""))
 def kind_counts(spark, sf):
@@ -188,6 +196,14 @@ def relation_asof(spark, sf):
     return relations.bind_relation(changes, versions).select("k", "relation_id", F.col("relation.nm").alias("nm"))
 
 
+@query(check(feeds.DAILY_RELATION, """
+    select c.k, m.nm from changes c asof join messages m on c.relation_id = m.relation_id and c.lsn >= m.lsn"""))
+def relation_asof_daily(spark, sf):
+    """One relation with a version for every day with orders."""
+    changes, versions = _relation_feed(spark, sf, feeds.DAILY_RELATION)
+    return relations.bind_relation(changes, versions).select("k", F.col("relation.nm").alias("nm"))
+
+
 @query(check(RELATIONS + """, shapes as (
     select relation_id, ns, nm, lsn, lag(nm) over (partition by relation_id order by lsn) before from messages)""",
              """select relation_id, nm, lsn valid_from, lead(lsn) over (partition by relation_id order by lsn) valid_to
@@ -205,9 +221,9 @@ def unknown_relation(spark, sf):
     return relations.unknown_relation(*_relation_feed(spark, sf)).select("k", "relation_id")
 
 
-def _relation_feed(spark, sf):
-    changes = feeds.run(spark, sf, RELATIONS, "select * from changes")
-    messages = feeds.run(spark, sf, RELATIONS, "select relation_id, lsn, seq, kind, struct(ns, nm) relation from messages")
+def _relation_feed(spark, sf, feed=RELATIONS):
+    changes = feeds.run(spark, sf, feed, "select * from changes")
+    messages = feeds.run(spark, sf, feed, "select relation_id, lsn, seq, kind, struct(ns, nm) relation from messages")
     return changes, relations.relation_versions(messages)
 
 

@@ -96,6 +96,49 @@ markers as (
 committed as (
   select feed.*, m.lsn commit_lsn from feed join markers m on feed.xid = m.xid)"""
 
+# Rows that move: every customer changes its key three times. The name comes with the first row only
+# (and with an update at the second key for each third customer), the segment with the first move.
+# Each fifth customer does all of it in one transaction; the first key of each seventh of the others
+# is used again by a new row.
+GAP = 1 << 40
+
+
+def moved_row(step: int, key: str, old: str, kind: str, name: str, balance: str, segment: str, more: str = "",
+              where: str = "true", chain: str = "c_custkey") -> str:
+    name, name_f = (f"cast({name} as varchar(40))", "t") if name else ("cast(null as varchar(40))", "u")
+    segment, segment_f = (f"cast({segment} as varchar(20))", "t") if segment else ("cast(null as varchar(20))", "u")
+    return f"""select cast(3 as bigint) relation_id, {chain} ch, {key} k, cast({old} as bigint) old_k,
+        cast({step} as bigint) * {GAP} + c_custkey * 64 {more} lsn, 0 seq,
+        case when {chain} >= 0 and c_custkey % 5 = 0 then {9 * SESSION} else {step * SESSION} end + c_custkey * 8 + {len(more)} xid,
+        '{kind}' kind, {name} nm, '{name_f}' nm_f, {balance} bal, {segment} seg, '{segment_f}' seg_f
+        from {{customer}} where {where}"""
+
+
+MOVES_FEED = "feed as (" + " union all ".join([
+    moved_row(0, "c_custkey", "null", "insert", "c_name", "c_acctbal", "c_mktsegment"),
+    moved_row(1, f"c_custkey + {SESSION}", "c_custkey", "update", "", "c_acctbal + 1", "'first'"),
+    moved_row(1, f"c_custkey + {SESSION}", "null", "update", "'renamed'", "c_acctbal + 2", "", "+ 16",
+              "c_custkey % 3 = 0 and c_custkey % 5 <> 0"),
+    moved_row(2, f"c_custkey + {2 * SESSION}", f"c_custkey + {SESSION}", "update", "", "c_acctbal + 3", ""),
+    moved_row(2, "c_custkey", "null", "insert", "'again'", "c_acctbal + 4", "'reused'", "+ 32",
+              "c_custkey % 7 = 0 and c_custkey % 5 <> 0", "-c_custkey"),
+    moved_row(3, f"c_custkey + {3 * SESSION}", f"c_custkey + {2 * SESSION}", "update", "", "c_acctbal + 5", ""),
+]) + """),
+markers as (
+  select xid, cast(null as bigint) sub_xid, 'commit' kind, max(lsn) + 8 lsn from feed group by xid),
+committed as (
+  select feed.*, m.lsn commit_lsn from feed join markers m on feed.xid = m.xid)"""
+
+# By definition: a row keeps what it had, whatever its key was.
+MOVES_STATE = """
+last as (select * from (select ch, k, bal, row_number() over (
+  partition by ch order by commit_lsn desc, lsn desc) n from committed) x where n = 1),
+a as (select * from (select ch, nm, row_number() over (
+  partition by ch order by commit_lsn desc, lsn desc) n from committed where nm_f <> 'u') x where n = 1),
+b as (select * from (select ch, seg, row_number() over (
+  partition by ch order by commit_lsn desc, lsn desc) n from committed where seg_f <> 'u') x where n = 1),
+state as (select last.k, a.nm, last.bal, b.seg from last left join a on last.ch = a.ch left join b on last.ch = b.ch)"""
+
 FILE_BYTES = "cast(l_quantity * 1000 as bigint)"
 
 # Data files of a table per order: each order line is one file, added in the snapshot of its
@@ -141,6 +184,15 @@ types as (
   union all select 'pg_catalog', 'float8', cast(701 as bigint)
   union all select 'other', 'text', cast(99999 as bigint))"""
 
+# One relation described anew for every day with orders.
+DAILY_RELATION = f"""
+changes as (
+  select cast(1 as bigint) relation_id, {D} * {DAY} + o_orderkey * 16 lsn, 0 seq, 'insert' kind, o_orderkey k from {{orders}}),
+messages as (
+  select cast(1 as bigint) relation_id, {D} * {DAY} - 1 lsn, 0 seq, 'relation' kind, 'public' ns,
+         concat('v', cast({D} as varchar(20))) nm
+  from {{orders}} group by {D})"""
+
 # Relation messages: nations are relations, described again in every month with orders. The
 # shape changes with the quarter, so some messages repeat the shape before them.
 MONTH = "(year(o_orderdate) * 12 + month(o_orderdate))"
@@ -188,3 +240,9 @@ def customer_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = run(spark, sf_dir, CUSTOMER_FEED, "select *, xid sub_xid from feed")
     ends = run(spark, sf_dir, CUSTOMER_FEED, "select *, 1 seq from markers")
     return rows.unionByName(ends, allowMissingColumns=True)
+
+
+def moves_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = run(spark, sf_dir, MOVES_FEED, "select *, xid sub_xid from feed")
+    ends = run(spark, sf_dir, MOVES_FEED, "select *, 1 seq from markers")
+    return rows.unionByName(ends, allowMissingColumns=True)

@@ -11,16 +11,17 @@ from __future__ import annotations
 import datetime
 import time
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from changelake.operators import compaction, decode, monitor, transactions
 from changelake.operators.maintenance import RUNS
 from changelake.operators.relations import (
-    TableShape, bind_relation, relation_versions, unknown_relation)
-from changelake.session import fits, freeze, sized
+    Sizes, TableShape, bind_relation, relation_versions, unknown_relation)
+from changelake.session import freeze, sized
 from changelake.sources.envelope import ABORTS, CHANGES, rows_only
 from changelake.sources.logs import exists, read_log, remove, write_log
 from changelake.streaming.table import MirroredTable
@@ -28,6 +29,9 @@ from changelake.streaming.table import MirroredTable
 STEP = 1000  # snapshot ids of a batch and of the maintenance that follows it
 BATCHES = "batch_id BIGINT, messages MAP<STRING, BIGINT>, last_lsn BIGINT, finished_at TIMESTAMP"
 TRIMS = "trim BIGINT, first_batch BIGINT"
+BASE = "table_name STRING, part STRING, low BIGINT, rows BIGINT"
+FAILURES = "table_name STRING, batch BIGINT, error STRING, rows BIGINT, failed_at TIMESTAMP"
+RECOVERIES = "table_name STRING, through BIGINT"
 ERRORS = """table_name STRING, lsn BIGINT, seq INT, xid BIGINT, kind STRING, relation_id BIGINT,
             reasons ARRAY<STRING>, batch BIGINT"""
 
@@ -38,15 +42,24 @@ def full_name() -> Column:
 
 
 class Mirror:
-    """Configured tables below one root. ``fold_every`` batches, states are brought up to date."""
+    """Configured tables below one root.
+
+    States are brought up to date every ``fold_every`` batches or, with ``fold_share``, when the log
+    that is not folded yet reaches that share of a table's state. ``workers`` tables are written side
+    by side, each in a scheduler pool of its own (pools share the cluster if the scheduler is FAIR).
+    With ``keep_going`` a table that fails stays as it was and is listed, the others go on, and its
+    changes are tried again with the next batch; otherwise the batch fails.
+    """
 
     def __init__(self, spark: SparkSession, root: str, tables: Iterable[MirroredTable],
-                 fold_every: int = 1, compact_every: int = 0, pending_buckets: int = 64):
+                 fold_every: int = 1, compact_every: int = 0, pending_buckets: int = 64,
+                 fold_share: float | None = None, workers: int = 4, keep_going: bool = False):
         self.spark, self.root = spark, root.rstrip("/")
         self.tables = {t.full_name: t for t in tables}
         self.fold_every, self.compact_every = fold_every, compact_every
-        self.pending_buckets = pending_buckets
-        self._described: tuple[DataFrame, bool, dict[str, TableShape]] | None = None
+        self.pending_buckets, self.fold_share = pending_buckets, fold_share
+        self.workers, self.keep_going = workers, keep_going
+        self._described: tuple[DataFrame, Sizes, dict[str, TableShape]] | None = None
 
     def _feed(self, name: str) -> str:
         return f"{self.root}/_feed/{name}"
@@ -123,8 +136,8 @@ class Mirror:
             messages = messages.where(F.col("batch") <= batch_id)
         return relation_versions(transactions.deduplicate(messages))
 
-    def _shapes(self, batch_id: int) -> tuple[DataFrame, bool, dict[str, TableShape]]:
-        """Relation versions, whether they are few, and the shapes of the configured tables.
+    def _shapes(self, batch_id: int | None) -> tuple[DataFrame, Sizes, dict[str, TableShape]]:
+        """Relation versions, how many they are, and the shapes of the configured tables.
 
         They are kept until the next relation message.
         """
@@ -134,7 +147,7 @@ class Mirror:
                 F.col("n").isin(*self.tables)).distinct().collect()
             shapes = {t.full_name: TableShape.of(versions, t.namespace, t.name, t.required)
                       for t in (self.tables[r.n] for r in named)}
-            self._described = versions, fits(versions), shapes
+            self._described = versions, Sizes.of(versions), shapes
         return self._described
 
     def _released(self, batch: DataFrame, ends: DataFrame, batch_id: int, aborts: bool) -> DataFrame:
@@ -176,6 +189,8 @@ class Mirror:
 
         A trim serves the batches after it; one that is repeated goes back to the place before.
         """
+        if not exists(self.spark, self._feed("trims")):
+            return self._feed("open-0")
         trims = read_log(self.spark, self._feed("trims"), TRIMS).where(F.col("first_batch") <= batch_id)
         last = trims.agg(F.max("trim")).first()[0] or 0
         return self._feed(f"open-{last}")
@@ -218,28 +233,111 @@ class Mirror:
 
     def _publish(self, released: DataFrame, batch_id: int) -> dict[str, int]:
         """Publishes the rows of configured tables; gives the numbers of rows of all others."""
-        versions, few, shapes = self._shapes(batch_id)
+        versions, sizes, shapes = self._shapes(batch_id)
         # One pass tells which tables have rows; the others cost nothing more.
-        bound = bind_relation(released, versions, True, few).select(full_name().alias("n"))
-        rows_of = {r.n: r["count"] for r in bound.groupBy("n").count().collect()}
-        found = {n for n in rows_of if n is None or n in self.tables}
+        opened = ((F.col("kind") == "update") & F.col("old_cols").isNotNull()
+                  & F.exists("new_cols", lambda c: c["f"] == "u"))
+        marked = released.select("relation_id", "lsn", "seq", "commit_lsn", opened.alias("moves"))
+        found = {r.n: r for r in bind_relation(marked, versions, True, sizes).groupBy(full_name().alias("n")).agg(
+            F.count(F.lit(1)).alias("rows"), F.min("commit_lsn").alias("low"), F.max("moves").alias("moves")).collect()}
         if None in found:
-            unknown = unknown_relation(released, versions, few)
+            unknown = unknown_relation(released, versions, sizes)
             self._errors(unknown.withColumn("reasons", F.array(F.lit("unknown_relation"))), None, batch_id)
-        fold = (batch_id + 1) % self.fold_every == 0
-        for name in sorted(found - {None}):
-            shape = shapes[name]
-            decoded = decode.to_columns(decode.bind(released, versions, shape, few), shape)
-            unfit = Observation()
-            seen = decoded.observe(unfit, F.count("unfit").alias("rows"))
-            rows = self.tables[name].append(decode.fit(seen), shape, (batch_id + 1) * STEP, fold)
-            # Without a write there is no count; the job may have stopped before the errors.
-            if rows is None or unfit.get["rows"]:
-                self._errors(decode.quarantine(decoded), name, batch_id)
-            late = self.tables[name].late(decode.fit(decoded), (batch_id + 1) * STEP)
-            if late is not None:
-                self._errors(late.withColumn("reasons", F.array(F.lit("late_commit"))), name, batch_id, f"{name}-late")
-        return {n: count for n, count in rows_of.items() if n is not None and n not in self.tables}
+        waiting = self._waiting(batch_id)
+
+        def publish(name: str) -> None:
+            context, own, row = self.spark.sparkContext, released, found.get(name)
+            context.setLocalProperty("spark.scheduler.pool", name)
+            if name in waiting:
+                again = self._failed().where((F.col("table_name") == name) & (F.col("batch") > waiting[name])
+                                             & (F.col("batch") < batch_id))
+                own = own.unionByName(again.select(*own.columns))
+                row = None
+            self._publish_table(name, own, row, versions, sizes, shapes[name], batch_id)
+            if name in waiting:
+                write_log(self.spark.createDataFrame([(name, batch_id)], RECOVERIES).coalesce(1),
+                          self._feed(f"recoveries/batch={batch_id}/part={name}"))
+
+        names = sorted(({n for n in found if n in self.tables} | set(waiting)) & set(shapes))
+        failed: dict[str, Exception] = {}
+        with ThreadPoolExecutor(max(1, min(self.workers, len(names) or 1))) as pool:
+            for name, result in [(name, pool.submit(publish, name)) for name in names]:
+                error = result.exception()
+                if error is not None:
+                    failed[name] = error
+        for name, error in failed.items():
+            if not self.keep_going:
+                raise error
+            self._put_aside(name, error, released, versions, sizes, batch_id)
+        return {n: r.rows for n, r in found.items() if n is not None and n not in self.tables}
+
+    def _publish_table(self, name: str, released: DataFrame, row: Row | None, versions: DataFrame, sizes: Sizes,
+                       shape: TableShape, batch_id: int) -> None:
+        """Decode and publish a table's rows. ``row`` has what is known of them beforehand."""
+        table, snapshot_id = self.tables[name], (batch_id + 1) * STEP
+        fold = (batch_id + 1) % self.fold_every == 0 if self.fold_share is None else float(self.fold_share)
+        decoded = decode.to_columns(decode.bind(released, versions, shape, sizes), shape)
+        unfit = Observation()
+        seen = decoded.observe(unfit, F.count("unfit").alias("rows"))
+        arrived, late = table.arrivals(decode.fit(seen), snapshot_id, row.low if row else None)
+        rows = table.append(arrived, shape, snapshot_id, fold, row.moves if row else True)
+        # Without a write there is no count; the job may have stopped before the errors.
+        if rows is None or unfit.get["rows"]:
+            self._errors(decode.quarantine(decoded), name, batch_id)
+        if late is not None:
+            self._errors(late.withColumn("reasons", F.array(F.lit("late_commit"))), name, batch_id, f"{name}-late")
+
+    def _put_aside(self, name: str, error: Exception, released: DataFrame, versions: DataFrame, sizes: Sizes,
+                   batch_id: int) -> None:
+        """Keep the changes of a table that failed, for the batches to come."""
+        rows = bind_relation(released, versions, False, sizes).where(full_name() == name)
+        path = self._feed(f"failed/batch={batch_id}/part={name}")
+        write_log(rows.select(F.lit(name).alias("table_name"), *released.columns), path)
+        row = (name, batch_id, f"{type(error).__name__}: {error}"[:1000], self.spark.read.parquet(path).count(),
+               datetime.datetime.now(datetime.timezone.utc))
+        write_log(self.spark.createDataFrame([row], FAILURES).coalesce(1), self._feed(f"failures/at={batch_id}/part={name}"))
+
+    def _failed(self) -> DataFrame:
+        return read_log(self.spark, self._feed("failed"), f"table_name STRING, {CHANGES}, commit_lsn BIGINT, batch BIGINT")
+
+    def failures(self) -> DataFrame:
+        """Tables that failed, by batch, with the reason."""
+        return read_log(self.spark, self._feed("failures"), FAILURES)
+
+    def _waiting(self, batch_id: int) -> dict[str, int]:
+        """Tables with changes put aside by earlier batches, and the batch up to which they were made good."""
+        if not self.keep_going:
+            return {}
+        last = read_log(self.spark, self._feed("recoveries"), RECOVERIES).where(F.col("through") < batch_id).groupBy(
+            "table_name").agg(F.max("through").alias("through"))
+        known = self.failures().where(F.col("batch") < batch_id).join(last, "table_name", "left").where(
+            F.col("batch") > F.coalesce("through", F.lit(-1)))
+        return {r.table_name: r.through for r in known.groupBy("table_name").agg(
+            F.coalesce(F.max("through"), F.lit(-1)).alias("through")).collect()}
+
+    def load_base(self, full_name: str, rows: DataFrame, low: int, part: str, keys: Iterable[str] = ()) -> int:
+        """Load a part of a table as it was copied from the source, while the feed goes on.
+
+        ``rows`` (typed columns) were read at or after position ``low``; the feed must hold everything
+        from there on. Its changes go before the copied rows, whether they were applied earlier or come
+        later. A part that was loaded is not loaded again; returns the number of rows. ``keys`` are
+        needed only before the first description of the table.
+        """
+        done = self._feed(f"base/at={full_name}-{part}")
+        if exists(self.spark, f"{done}/_SUCCESS"):
+            return 0
+        table = self.tables[full_name]
+        shape = self._shapes(None)[2].get(full_name)
+        if shape is None:
+            shape = TableShape.from_schema(table.namespace, table.name, rows.schema, keys)
+        at, batch = table.snapshot(), self.last_batch()
+        if at and table.horizon is not None and low < at.max_lsn - table.horizon:
+            raise ValueError(f"position {low} is below the horizon of {full_name}; copy the rows again")
+        first = 0 if batch is None else (batch + 1) * STEP
+        typed = rows.select(*(F.col(c).cast(t).alias(c) for c, t in shape.types.items()))
+        loaded = table.load(typed, shape, low, max(first, at.snapshot_id if at else 0) + 1)
+        write_log(self.spark.createDataFrame([(full_name, part, low, loaded)], BASE).coalesce(1), done)
+        return loaded
 
     def _errors(self, rows: DataFrame, name: str | None, batch_id: int, part: str | None = None) -> None:
         rows = rows.select(F.lit(name).cast("string").alias("table_name"), "lsn", "seq", "xid", "kind",
@@ -254,7 +352,7 @@ class Mirror:
     def snapshot_bound(self) -> int:
         """Snapshots up to here belong to finished batches: the same cut for all tables."""
         done = self.last_batch()
-        return 0 if done is None else (done + 2) * STEP - 1
+        return STEP - 1 if done is None else (done + 2) * STEP - 1
 
     def read(self, full_name: str, as_of: int | None = None) -> DataFrame | None:
         """A table as the last finished batch left it, or at an earlier snapshot."""

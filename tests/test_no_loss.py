@@ -78,13 +78,14 @@ def test_table_without_a_key_beside_one_with(spark, tmp_path):
 
 
 def test_late_rows_are_applied_or_listed(spark, tmp_path):
-    table = MirroredTable(spark, str(tmp_path), "public", "items", buckets=2)
+    table = MirroredTable(spark, str(tmp_path), "public", "items", buckets=2, horizon=0)
     m = Mirror(spark, str(tmp_path), [table])
     m.apply_batch(feed(spark, [relation(1, 1, "items", OLD), row(4, 1, "insert", t(1, "a")), end(5, 1), end(9, 7)]), 0)
     # A row that lands after its marker, above what was applied; one delivered again.
     m.apply_batch(feed(spark, [row(8, 7, "insert", t(2, "after its marker")), row(4, 1, "insert", t(1, "a"))]), 1)
     assert rows_of(m.read("public.items")) == [(1, "a"), (2, "after its marker")]
-    # A transaction that commits below what was applied, and a row of one that has ended there.
+    # A transaction that commits below what was applied, and a row of one that has ended there: both
+    # lie below a horizon of no width.
     m.apply_batch(feed(spark, [row(2, 3, "insert", t(3, "late")), end(3, 3), row(3, 1, "insert", t(4, "late too"))]), 2)
     assert rows_of(m.read("public.items")) == [(1, "a"), (2, "after its marker")]
     assert rows_of(m.errors().select("lsn", F.col("reasons")[0])) == [(2, "late_commit"), (3, "late_commit")]
