@@ -19,9 +19,12 @@ import regex
 from pyspark.sql import DataFrame
 
 from changelake.llm.common import prepare
+from changelake.llm.packing import OTHER, PIECE
 
 # Words that a Python worker remembers between batches (about 150 MB); then it starts anew.
 REMEMBERED = 400_000
+# Keys of a vocabulary node beside its letters: the token that ends here, within a word or with it.
+PLAIN, CLOSING = 0, 1
 # White space for Python's split(), but not for the tokenizer.
 NOT_SPACE = re.compile("[\x1c-\x1f]")
 
@@ -46,7 +49,6 @@ class TrieEncoder:
         self.tokens = {i: t for t, i in self.vocab.items()}
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.ranks = {m: i for i, m in enumerate(merges)}
-        self.longest = max(len(t.removesuffix(self.suffix)) for t in self.vocab)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens |= {i: t for t, i in self.special.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
@@ -54,8 +56,10 @@ class TrieEncoder:
         self.pieces = regex.compile(split)
         self.normal = Tokenizer.from_file(path).normalizer
         self.letters = byte_letters()
+        self.root = self._graft()
         self.apart: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, tuple[int, str, str]] = {}
+        self.parts: dict[str, tuple[int, ...]] = {}
 
     # -- which tokens may follow each other
 
@@ -87,19 +91,35 @@ class TrieEncoder:
 
     # -- depth-first traversal
 
-    def _last(self, states: list[int], starts: list[int], word: str, end: int, suffix: str) -> tuple[int, int]:
-        """(last token, its start) of the encoding of ``word[:end]``, which ends a word if ``suffix``."""
-        vocab = self.vocab
-        for start in range(max(0, end - self.longest), end):
-            token = vocab.get(word[start:end] + suffix)
+    def _graft(self) -> dict:
+        """The vocabulary as a trie of its own: a node has its tokens under ``PLAIN`` and ``CLOSING``."""
+        root: dict = {}
+        for token, number in self.vocab.items():
+            closing = bool(self.suffix) and token.endswith(self.suffix)
+            node = root
+            for letter in token.removesuffix(self.suffix) if closing else token:
+                node = node.setdefault(letter, {})
+            node[CLOSING if closing else PLAIN] = number
+        return root
+
+    def _last(self, states: list[int], open_tokens: list[tuple[int, dict]], kind: int, end: int) -> tuple[int, int]:
+        """(last token, its start) of the encoding of a prefix: the longest that stays apart from what is
+        before it. ``open_tokens`` are the tokens that may end here, by their start."""
+        for start, node in open_tokens:
+            token = node.get(kind)
             if token is not None and self._stay_apart(states[start], token):
                 return token, start
-        raise ValueError(f"no token ends {word[:end]!r}")
+        raise ValueError(f"no token ends at {end}")
 
     def encode_pieces(self, pieces: Iterable[str]) -> dict[str, tuple[int, ...]]:
-        """Ids of each distinct piece (letters standing for bytes)."""
+        """Ids of each distinct piece (letters standing for bytes).
+
+        The words' trie and the vocabulary's are walked together: a prefix keeps the vocabulary
+        nodes of all tokens that are open at its end, and the next letter moves each of them on.
+        """
         out: dict[str, tuple[int, ...]] = {}
-        states, starts, before = [-1], [0], ""
+        states, starts, opened, before = [-1], [0], [[]], ""
+        root, final = self.root, CLOSING if self.suffix else PLAIN
         for word in sorted(pieces):
             shared = 0
             for a, b in zip(before, word, strict=False):
@@ -108,12 +128,18 @@ class TrieEncoder:
                 shared += 1
             # States of all proper prefixes; those of the shared prefix are there already.
             shared = min(shared, len(states) - 1)
-            del states[shared + 1:], starts[shared + 1:]
-            for end in range(len(states), len(word)):
-                token, start = self._last(states, starts, word, end, "")
-                states.append(token)
-                starts.append(start)
-            token, at = self._last(states, starts, word, len(word), self.suffix)
+            del states[shared + 1:], starts[shared + 1:], opened[shared + 1:]
+            for end in range(len(states), len(word) + 1):
+                letter = word[end - 1]
+                here = [(s, m) for s, node in opened[-1] if (m := node.get(letter)) is not None]
+                if (m := root.get(letter)) is not None:
+                    here.append((end - 1, m))
+                if end < len(word):
+                    token, start = self._last(states, here, PLAIN, end)
+                    states.append(token)
+                    starts.append(start)
+                    opened.append(here)
+            token, at = self._last(states, here, final, len(word))
             ids = [token]
             while at:
                 ids.append(states[at])
@@ -130,6 +156,10 @@ class TrieEncoder:
 
     def _pieces(self, word: str) -> Iterator[int | str]:
         """Ids of special tokens, and the pieces between them."""
+        if not OTHER.search(word):
+            yield from [p if p.isascii() and p.isprintable() else "".join([self.letters[b] for b in p.encode()])
+                        for p in PIECE.findall(word.lower())]
+            return
         for k, part in enumerate(self.cut.split(word) if "<" in word else (word,)):
             if k % 2:
                 yield self.special[part]
@@ -139,11 +169,15 @@ class TrieEncoder:
                     yield "".join([self.letters[b] for b in piece.encode()])
 
     def encode_words(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
-        """Ids of each distinct white-space word."""
+        """Ids of each distinct white-space word. Words share pieces, which are remembered too."""
+        if len(self.parts) > REMEMBERED:
+            self.parts.clear()
         parts = {word: list(self._pieces(word)) for word in words}
-        ids = self.encode_pieces({p for x in parts.values() for p in x if isinstance(p, str)})
-        return {word: tuple(i for p in x for i in (ids[p] if isinstance(p, str) else (p,)))
-                for word, x in parts.items()}
+        fresh = {p for x in parts.values() for p in x if p not in self.parts and isinstance(p, str)}
+        self.parts.update(self.encode_pieces(fresh))
+        ids = self.parts
+        return {word: ids[x[0]] if len(x) == 1 and isinstance(x[0], str) else tuple(
+            i for p in x for i in (ids[p] if isinstance(p, str) else (p,))) for word, x in parts.items()}
 
     def encode(self, text: str) -> list[int]:
         words = self.words(text)
