@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gc
 import pathlib
 import tempfile
 import weakref
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 import changelake
 from changelake.session import scratch_path
+from changelake.sources.logs import remove
 
 # Bytes of text that one numpy step works on; a longer text is one step of its own.
 STEP = 1 << 17
@@ -28,7 +30,22 @@ def store(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: cuts lineage, survives executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored.stored_at = path
+    return stored
+
+
+def discard(*steps: DataFrame) -> None:
+    """Deletes stored steps that nothing will read any more; what was computed from them is stored."""
+    for step in steps:
+        remove(step.sparkSession, step.stored_at)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets the driver forget finished queries, upon which Spark deletes their shuffle files too."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    spark._jvm.System.gc()
 
 
 _SHIPPED: weakref.WeakSet = weakref.WeakSet()

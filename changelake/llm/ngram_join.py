@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changelake.llm.common import hinted, longs, mix, prepare, span_hash, store, texts, words
+from changelake.llm.common import discard, hinted, longs, mix, prepare, span_hash, store, texts, tidy, words
 from changelake.llm.graph import components
 
 TILE = 2048
@@ -494,16 +494,27 @@ def link(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
         met.join(firsts("doc_id"), "doc_id", "left").join(firsts("leader"), "leader", "left")
         .select("block", F.coalesce("leader_first", "leader").alias("leader"),
                 F.coalesce("doc_id_first", "doc_id").alias("doc_id")).distinct(), "blocks")
+    discard(met)
+    tidy(documents.sparkSession)
     stars = store(blocks.where("leader <> doc_id").select(
         F.least("leader", "doc_id").alias("a"), F.greatest("leader", "doc_id").alias("b")).distinct(), "stars")
     chosen = store(blocks.select("doc_id").union(blocks.select("leader")).distinct(), "chosen")
+    discard(blocks)
     # Several rows with one doc_id are several sets of one node.
     tokens = store(_tokens(usable.join(hinted(chosen, F.lit(8)), "doc_id"), rule)
                    .withColumn("n", (F.octet_length("tokens") / 8).cast("long")).where("n > 0"), "tokens")
+    discard(chosen)
     linked = store(_verified(stars, tokens, rule).distinct(), "linked")
-    parts = components(linked).withColumnRenamed("id", "doc_id")
-    clusters = components(stars).toDF("doc_id", "cluster")
-    crossed = _across(_similar_sizes(clusters, tokens, rule), parts, tokens, rule)
-    edges = store(linked.union(crossed).union(copies.where("doc_id <> first")).distinct(), "edges")
-    return sets.join(components(edges).withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
+    parts, clusters = components(linked), components(stars)
+    discard(stars, linked)
+    tidy(documents.sparkSession)
+    crossed = _across(_similar_sizes(clusters.toDF("doc_id", "cluster"), tokens, rule),
+                      parts.toDF("doc_id", "component"), tokens, rule)
+    # Components of what the leaders linked stand for their links.
+    edges = store(parts.where("id <> component").union(crossed).union(copies.where("doc_id <> first")).distinct(), "edges")
+    discard(parts, clusters, tokens, copies)
+    tidy(documents.sparkSession)
+    whole = components(edges)
+    discard(edges)
+    return sets.join(whole.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
