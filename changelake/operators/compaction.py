@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,19 +61,16 @@ def jobs(plan: DataFrame, files_per_job: int = FILES_PER_JOB) -> Iterator[DataFr
 
 
 def rewrite(spark: SparkSession, plan: DataFrame, out: str, target: int = TARGET_BYTES,
-            files_per_job: int = FILES_PER_JOB, schemas: Mapping[str, T.StructType] | None = None,
-            bounds: str | None = None) -> DataFrame:
+            files_per_job: int = FILES_PER_JOB, schemas: Mapping[str, T.StructType] | None = None) -> DataFrame:
     """Write the rows of each group to a directory of its own below ``out``.
 
     A group becomes one file per ``target`` bytes, so one huge group is many tasks. ``schemas``
     has the schema of each ``dir``; without it, a job's files are read with their merged schema,
     so that columns that some files lack are NULL there (types that do not merge are an error).
     Rows and the values of every column are counted before and after, before the result, one
-    row per written file, is returned: dir, grp, path, record_count, bytes, and ``low`` and ``high`` of
-    the column ``bounds`` if that is given. The replaced files stay until ``vacuum``.
+    row per written file, is returned: dir, grp, path, record_count, bytes. The replaced files
+    stay until ``vacuum``.
     """
-    names = ["low", "high"] if bounds else []
-    ends = [f(bounds).alias(name) for name, f in zip(names, (F.min, F.max))]
     plan = freeze(plan.withColumn("path", listed_path(F.col("path"))))
     for number, part in enumerate(jobs(plan, files_per_job)):
         for place, (name, schema) in enumerate((schemas or {None: None}).items()):
@@ -81,13 +78,13 @@ def rewrite(spark: SparkSession, plan: DataFrame, out: str, target: int = TARGET
                          f"{out}/job={number}-{place}", target, schema)
     if plan.isEmpty():
         return plan.select("dir", "grp", "path", F.lit(0).cast("bigint").alias("record_count"),
-                           F.col("length").alias("bytes"), *(F.lit(None).cast("bigint").alias(n) for n in names))
+                           F.col("length").alias("bytes"))
     written = (spark.read.option("basePath", out).parquet(out)
                .groupBy(scanned_path().alias("path"), "group_id")
                .agg(F.count(F.lit(1)).alias("record_count"),
-                    F.first("_metadata.file_size").alias("bytes"), *ends))
+                    F.first("_metadata.file_size").alias("bytes")))
     ids = plan.select("dir", "grp", _group_id().alias("group_id")).distinct()
-    return written.join(ids, "group_id").select("dir", "grp", "path", "record_count", "bytes", *names)
+    return written.join(ids, "group_id").select("dir", "grp", "path", "record_count", "bytes")
 
 
 def _group_id() -> Column:
@@ -124,6 +121,33 @@ def _rewrite_job(spark: SparkSession, plan: DataFrame, out: str, target: int,
         raise RuntimeError(f"rewrite of {before} wrote {after}; nothing was replaced")
 
 
+STATS = """dir STRING, grp BIGINT, files_before BIGINT, bytes_before BIGINT, files_after BIGINT,
+           bytes_after BIGINT, rows BIGINT, bytes_saved BIGINT"""
+
+
+def cluster(spark: SparkSession, files: Sequence[Row], out: str, order: Sequence[str], target: int,
+            schema: str) -> list[dict]:
+    """Write the rows of files of one schema again, in about ``target`` bytes a file and ordered by
+    ``order`` over all of them: ranges of its first column hardly overlap.
+
+    ``files`` have path, bytes and record_count. The rows are read once (and sampled, if they make several
+    files) and counted as they are written. Returns path, record_count, bytes, and low and high of
+    the first column for each new file.
+    """
+    pieces = max(1, -(-sum(f.bytes for f in files) // target))
+    rows = spark.read.schema(schema).parquet(*(f.path for f in files))
+    placed = rows.repartitionByRange(pieces, *order) if pieces > 1 else rows.coalesce(1)
+    seen = Observation()
+    placed.sortWithinPartitions(*order).observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(out)
+    expected = sum(f.record_count for f in files)
+    if seen.get["rows"] != expected:
+        raise RuntimeError(f"rewrite of {expected} rows wrote {seen.get['rows']}; nothing was replaced")
+    written = spark.read.schema(schema).parquet(out).groupBy(scanned_path().alias("path")).agg(
+        F.count(F.lit(1)).alias("record_count"), F.first("_metadata.file_size").alias("bytes"),
+        F.min(order[0]).alias("low"), F.max(order[0]).alias("high"))
+    return [r.asDict() for r in written.collect()]
+
+
 def compaction_stats(plan: DataFrame, written: DataFrame) -> DataFrame:
     """Per group: files and bytes before and after, and the bytes saved."""
     before = plan.groupBy("dir", "grp").agg(

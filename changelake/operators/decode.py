@@ -29,13 +29,20 @@ def bind(rows: DataFrame, versions: DataFrame, shape: TableShape, sizes: Sizes |
     no place, and reads as NULL.
     """
     names = F.transform("relation.columns", lambda c: c.getField("name"))
-    wanted = F.array(*[F.lit(c) for c in shape.types])
     own = versions.where((F.col("relation.namespace") == shape.namespace)
                          & (F.col("relation.name") == shape.name))
-    placed = own.select(
-        "relation_id", "valid_from", "valid_to", F.size("relation.columns").alias("width"),
-        F.transform(wanted, lambda n: (F.nullif(F.array_position(names, n), F.lit(0)) - 1)
-                    .cast("int")).alias("at"))
+
+    def place(column: str) -> Column:
+        found = (F.nullif(F.array_position(names, shape.names[column]), F.lit(0)) - 1).cast("int")
+        first, last = shape.since.get(column, (None, None))
+        for bound, there in ((first, True), (last, False)):
+            if bound is not None:
+                from_there = F.col("valid_from") >= F.struct(F.lit(bound[0]).cast("bigint"), F.lit(bound[1]).cast("int"))
+                found = F.when(from_there if there else ~from_there, found)
+        return found
+
+    placed = own.select("relation_id", "valid_from", "valid_to", F.size("relation.columns").alias("width"),
+                        F.array(*map(place, shape.types)).alias("at"))
     return bind_relation(rows, placed, sizes=sizes)
 
 
@@ -54,18 +61,20 @@ def to_columns(rows: DataFrame, shape: TableShape) -> DataFrame:
             cells[f"_t_{name}"] = F.when(
                 deleted, F.coalesce(cells[f"_o_{name}"], cells[f"_t_{name}"])
             ).otherwise(cells[f"_t_{name}"])
-        else:
+        elif name in shape.carried_values:
             # A full old tuple has the value that the new one leaves out. The old tuple of a key
             # alone has NULL for the others, which says nothing.
             new, old = cells[f"_t_{name}"], F.get("old_cols", place)
             cells[f"_t_{name}"] = F.when((new["f"] == "u") & old["f"].isin("t", "b"), old).otherwise(new)
     rows = rows.withColumns(cells)
+    places = {name: i for i, name in enumerate(shape.types)}
     typed: dict[str, Column] = {}
     for name, data_type in shape.types.items():
         kind, text = F.col(f"_t_{name}.f"), F.col(f"_t_{name}.v")
         typed[name] = _decoded(kind, text, data_type)
         if name in shape.carried_values:
-            typed[flag(name)] = F.when(deleted, "n").otherwise(F.coalesce(kind, F.lit("n")))
+            absent = F.get("at", F.lit(places[name])).isNull() & (F.col("kind") == "update")
+            typed[flag(name)] = F.when(deleted, "n").when(absent, "a").otherwise(F.coalesce(kind, F.lit("n")))
     for key in shape.keys:
         old = F.when(F.col("kind") == "update", F.col(f"_o_{key}.v"))
         typed[f"old_{key}"] = _decoded(F.col(f"_o_{key}.f"), old, shape.types[key])
@@ -103,8 +112,14 @@ def _reasons(shape: TableShape) -> list[Column]:
     return found
 
 
-def fit(decoded: DataFrame) -> DataFrame:
-    return decoded.where("unfit IS NULL").drop("unfit", "reasons")
+def fit(decoded: DataFrame, shape: TableShape | None = None) -> DataFrame:
+    """The rows that can be used. With a ``shape`` a row is used that has bad values only where it
+    could be NULL: they are NULL then."""
+    usable = F.col("unfit").isNull()
+    if shape is not None:
+        needed = [f"bad_{what}:{c}" for c in {*shape.keys, *shape.required} for what in ("value", "kind")]
+        usable = usable | F.forall("reasons", lambda r: r.startswith("bad_") & ~r.isin(needed))
+    return decoded.where(usable).drop("unfit", "reasons")
 
 
 def quarantine(decoded: DataFrame) -> DataFrame:

@@ -115,7 +115,12 @@ def shape_columns(versions: DataFrame) -> DataFrame:
 
 
 class TableShape:
-    """Typed columns of one table over all versions of its shape."""
+    """Typed columns of one table over all versions of its shape.
+
+    A column that was dropped and added again under its name is another column: it is kept as
+    ``<name>__2`` (and so on), and read under the name. ``names`` has the source's name of each
+    column, ``since`` the versions (from, to) that have a column whose name had several.
+    """
 
     def __init__(self, namespace: str, name: str, columns: Sequence[tuple[str, int, int, bool]],
                  required: Sequence[str] = ()):
@@ -123,17 +128,25 @@ class TableShape:
         self.types: dict[str, T.DataType] = {}
         self.keys: list[str] = []
         self.carried: list[str] = []
+        self.names: dict[str, str] = {}
+        self.since: dict[str, tuple[tuple | None, tuple | None]] = {}
         for column, oid, typmod, is_key in columns:
             self.add(column, oid, typmod, is_key)
 
-    def add(self, column: str, oid: int, typmod: int = -1, is_key: bool = False) -> None:
+    def add(self, column: str, oid: int, typmod: int = -1, is_key: bool = False, name: str | None = None) -> None:
         new = spark_type(oid, typmod)
         self.types[column] = wider(self.types.get(column, new), new)
+        self.names[column] = name or column
         if is_key and column not in self.keys:
             self.keys.append(column)
         if can_be_unchanged(oid) and column not in self.carried:
             self.carried.append(column)
 
+    @property
+    def visible(self) -> dict[str, str]:
+        """The column that is read under each name: the last that had it."""
+        return {self.names.get(c, c): c for c in self.types}
+
     @property
     def full_name(self) -> str:
         return f"{self.namespace}.{self.name}"
@@ -155,7 +168,7 @@ class TableShape:
     def to_json(self) -> str:
         """The columns as text, kept with the files written in this shape."""
         return json.dumps({"schema": self.struct_type().jsonValue(), "keys": self.keys,
-                           "carried": self.carried})
+                           "carried": self.carried, "names": {c: n for c, n in self.names.items() if c != n}})
 
     @classmethod
     def from_json(cls, namespace: str, name: str, text: str) -> TableShape:
@@ -165,6 +178,7 @@ class TableShape:
         shape.types = {f.name: f.dataType for f in schema}
         shape.required = [f.name for f in schema if not f.nullable]
         shape.keys, shape.carried = saved["keys"], saved["carried"]
+        shape.names = {c: saved["names"].get(c, c) for c in shape.types}
         return shape
 
     @classmethod
@@ -172,21 +186,36 @@ class TableShape:
         """The shape of a table that is known by its rows only."""
         shape = cls(namespace, name, [])
         shape.types, shape.keys = {f.name: f.dataType for f in schema}, list(keys)
+        shape.names = {c: c for c in shape.types}
         return shape
 
     @classmethod
     def of(cls, versions: DataFrame, namespace: str, name: str,
            required: Sequence[str] = ()) -> TableShape:
-        """Union of the table's versions, oldest first. Only column descriptions are fetched:
-        distinct ones, in the order of their first appearance."""
-        rows = (shape_columns(versions.where((F.col("relation.namespace") == namespace)
-                                             & (F.col("relation.name") == name)))
-                .groupBy("column_name", "type_oid", "typmod", "is_key")
-                .agg(F.min(F.struct("valid_from", "field_id")).alias("first"))
-                .orderBy("first").collect())
-        return cls(namespace, name, [
-            (r.column_name, r.type_oid, -1 if r.typmod is None else r.typmod, r.is_key)
-            for r in rows], required)
+        """Union of the table's versions, oldest first. Only column descriptions are fetched, of
+        the versions in which a column comes, goes or changes."""
+        own = versions.where((F.col("relation.namespace") == namespace) & (F.col("relation.name") == name))
+        columns = own.select("valid_from", F.posexplode("relation.columns").alias("_i", "_c")).groupBy("valid_from").agg(
+            F.sort_array(F.collect_list(F.struct("_i", "_c.name", "_c.oid", "_c.typmod", "_c.is_key"))).alias("columns"))
+        rows = columns.orderBy("valid_from").collect()
+        shape, held, epoch = cls(namespace, name, [], required), {}, {}
+        for row in rows:
+            here = {c.name for c in row.columns}
+            for gone in set(held) - here:
+                start, _ = shape.since.get(held[gone], (None, None))
+                shape.since[held.pop(gone)] = start, tuple(row.valid_from)
+            for c in row.columns:
+                if c.name not in held:
+                    epoch[c.name] = epoch.get(c.name, 0) + 1
+                    held[c.name] = c.name if epoch[c.name] == 1 else f"{c.name}__{epoch[c.name]}"
+                    if epoch[c.name] > 1:
+                        shape.since[held[c.name]] = tuple(row.valid_from), None
+                shape.add(held[c.name], c.oid, -1 if c.typmod is None else c.typmod, c.is_key, c.name)
+        shape.since = {c: s for c, s in shape.since.items() if epoch[shape.names[c]] > 1}
+        # Versions that lack a column leave it as it is.
+        always = set.intersection(*({c.name for c in row.columns} for row in rows)) if rows else set()
+        shape.carried += [c for c in shape.types if c not in shape.carried and (shape.names[c] not in always or c in shape.since)]
+        return shape
 
 
 def union_schema(parts: Sequence[DataFrame]) -> DataFrame:

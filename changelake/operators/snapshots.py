@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from changelake.functions.ordering import HOT_ROWS, neighbour, running_totals
 
@@ -63,11 +64,14 @@ def summary_map(summary: DataFrame) -> DataFrame:
     return summary.select("table_name", "snapshot_id", F.create_map(*pairs).alias("summary"))
 
 
-def column_metrics(df: DataFrame, file: str, columns: Sequence[str]) -> DataFrame:
+def column_metrics(df: DataFrame, file: str, columns: Sequence[str] | None = None) -> DataFrame:
     """Per file and column: value and NULL counts, lower and upper bound (as text).
 
-    One pass; min, max and counts are combined before the shuffle.
+    All columns that have an order, unless some are named. One pass; min, max and counts are combined
+    before the shuffle.
     """
+    if columns is None:
+        columns = [f.name for f in df.schema if f.name != file and not isinstance(f.dataType, (T.MapType, T.VariantType))]
     parts = []
     for i, c in enumerate(columns):
         parts += [F.count(c).alias(f"_n{i}"), F.count_if(F.col(c).isNull()).alias(f"_z{i}"),
@@ -81,7 +85,7 @@ def column_metrics(df: DataFrame, file: str, columns: Sequence[str]) -> DataFram
     return wide.select(file, F.inline(long))
 
 
-def file_metrics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def file_metrics(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Column metrics per data file of a scan."""
     return column_metrics(
         df.select("*", F.col("_metadata.file_path").alias("path")), "path", columns)

@@ -39,8 +39,10 @@ def unset() -> Column:
 
 def _set_where(log: DataFrame, column: str) -> Column:
     """Where a row says that the column's value was set; NULL if it leaves it unchanged. Rows from
-    before the column could come unchanged have no flag, and set it."""
-    own = F.when(F.coalesce(F.col(flag(column)), F.lit("t")) != "u", position())
+    before the column could come unchanged have no flag, and set it. Rows of a version that lacks
+    the column (flag ``a``) count as before all that have it."""
+    kind = F.coalesce(F.col(flag(column)), F.lit("t"))
+    own = F.when(kind == "a", unset()).when(kind != "u", position())
     return F.coalesce(F.col(set_at(column)), own) if set_at(column) in log.columns else own
 
 
@@ -203,7 +205,7 @@ def inherit(log: DataFrame, keys: Sequence[str], carried: Sequence[str], origin:
     entries = []
     for c in carried:
         via = F.when(F.col(origin).isNotNull() & (F.col(flag(c)) == "u"), F.col("_p"))
-        known = F.when((F.col(flag(c)) != "u") | F.col(origin).isNotNull(), F.col("_p"))
+        known = F.when(~F.col(flag(c)).isin("u", "a") | via.isNotNull(), F.col("_p"))
         entries.append(F.max_by(F.struct(F.col(c).alias("v"), via.alias("via")), known).alias(f"_{c}"))
     parts = freeze(rows.groupBy("_key", "_part").agg(*entries))
     placed = moves.join(left, "_key").withColumn("_part", part - 1).join(parts, ["_key", "_part"], "left")

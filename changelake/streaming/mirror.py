@@ -279,7 +279,9 @@ class Mirror:
         decoded = decode.to_columns(decode.bind(released, versions, shape, sizes), shape)
         unfit = Observation()
         seen = decoded.observe(unfit, F.count("unfit").alias("rows"))
-        arrived, late = table.arrivals(decode.fit(seen), snapshot_id, row.low if row else None)
+        rows = (decode.require_fit(seen) if table.bad_values == "fail"
+                else decode.fit(seen, shape if table.bad_values == "cell" else None))
+        arrived, late = table.arrivals(rows, snapshot_id, row.low if row else None)
         rows = table.append(arrived, shape, snapshot_id, fold, row.moves if row else True)
         # Without a write there is no count; the job may have stopped before the errors.
         if rows is None or unfit.get["rows"]:
@@ -334,7 +336,8 @@ class Mirror:
         if at and table.horizon is not None and low < at.max_lsn - table.horizon:
             raise ValueError(f"position {low} is below the horizon of {full_name}; copy the rows again")
         first = 0 if batch is None else (batch + 1) * STEP
-        typed = rows.select(*(F.col(c).cast(t).alias(c) for c, t in shape.types.items()))
+        given = {column: F.col(name) for name, column in shape.visible.items()}
+        typed = rows.select(*(given.get(c, F.lit(None)).cast(t).alias(c) for c, t in shape.types.items()))
         loaded = table.load(typed, shape, low, max(first, at.snapshot_id if at else 0) + 1)
         write_log(self.spark.createDataFrame([(full_name, part, low, loaded)], BASE).coalesce(1), done)
         return loaded

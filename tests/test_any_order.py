@@ -9,8 +9,8 @@ from test_no_loss import feed, rows_of
 from test_stream import end, relation, row, t
 
 from changelake.functions.ordering import bisect
-from changelake.functions.partitioning import linear_bucket, split_from
-from changelake.operators import relations, state
+from changelake.functions.partitioning import PartitionField, linear_bucket, split_from
+from changelake.operators import maintenance, relations, state
 from changelake.sources.envelope import read_changes
 from changelake.sources.logs import read_log
 from changelake.streaming.mirror import Mirror
@@ -289,3 +289,65 @@ def test_broken_json_lines_are_counted(spark, tmp_path):
     m.run(read_changes(spark, str(tmp_path / "feed"), format="json", streaming=True))
     assert sorted(r["reasons"][1] for r in m.errors().collect()) == ['{"lsn": 7}'] * 2 + ["{broken"] * 4
     assert read_log(spark, str(tmp_path / "none"), ERRORS).count() == 0
+
+
+def test_column_added_again_is_another_column(spark, tmp_path):
+    table, m = one_table(spark, tmp_path)
+    without, other = [("id", 20, True), ("n", 23, False)], [("id", 20, True), ("n", 20, False), ("note", 23, False)]
+    m.apply_batch(feed(spark, [relation(1, 1, "items", NOTES), row(2, 1, "insert", t(1, "old", 1)), row(3, 1, "insert", t(2, "old", 2)), end(4, 1)]), 0)
+    m.apply_batch(feed(spark, [relation(5, 1, "items", without), row(6, 2, "update", t(1, 3)), end(7, 2)]), 1)
+    assert rows_of(m.read("public.items")) == [(1, "old", 3), (2, "old", 2)]
+    m.apply_batch(feed(spark, [relation(8, 1, "items", other), row(9, 3, "insert", t(4, 1 << 40, 77)), end(10, 3),
+                               row(11, 4, "update", t(2, 5, None)), end(12, 4)]), 2)
+    want = [(1, None, 3), (2, None, 5), (4, 77, 1 << 40)]
+    assert rows_of(m.read("public.items")) == want
+    assert table.compact() is not None and rows_of(m.read("public.items")) == want
+    assert rows_of(table.read_at_lsn(12)) == want
+    again = Mirror(spark, str(tmp_path), [MirroredTable(spark, str(tmp_path), "public", "items")])
+    again.apply_batch(feed(spark, [row(13, 5, "delete", old=t(1, None, None)), end(14, 5)]), 3)
+    assert rows_of(again.read("public.items")) == want[1:]
+
+
+@pytest.mark.parametrize("bad_values", ["cell", "row", "fail"])
+def test_bad_values(spark, tmp_path, bad_values):
+    table, m = one_table(spark, tmp_path, bad_values=bad_values)
+    m.apply_batch(feed(spark, [relation(1, 1, "items", NOTES), row(2, 1, "insert", t(1, "a", 1)), end(3, 1)]), 0)
+    bad = feed(spark, [row(4, 2, "update", t(1, "b", "many")), row(5, 2, "insert", t("key", "c", 2)), row(6, 2, "insert", t(3, "d", 3)), end(7, 2)])
+    if bad_values == "fail":
+        with pytest.raises(ValueError, match="undecodable"):
+            m.apply_batch(bad, 1)
+        assert rows_of(m.read("public.items")) == [(1, "a", 1)]
+        return
+    m.apply_batch(bad, 1)
+    assert rows_of(m.read("public.items")) == [(1, *(("b", None) if bad_values == "cell" else ("a", 1))), (3, "d", 3)]
+    assert rows_of(m.errors().select("lsn", F.col("reasons")[0])) == [(4, "bad_value:n"), (5, "bad_value:id")]
+
+
+def test_a_table_that_cannot_be_compacted(spark, tmp_path):
+    for name in ("broken", "whole"):
+        (tmp_path / name / "metadata").mkdir(parents=True)
+        (tmp_path / name / "metadata" / "v1").write_text("one")
+        for i in range(3):
+            spark.createDataFrame([(i,)], "id int").coalesce(1).write.mode("append").parquet(str(tmp_path / name / "data"))
+    (tmp_path / "broken" / "data" / "part-x.parquet").write_bytes(b"no file of this kind")
+    totals = maintenance.compact(spark, str(tmp_path)).first()
+    assert (totals["tables_processed"], totals["files_compacted"]) == (1, 3)
+    assert [r["table_dir"].rsplit("/", 1)[1] for r in maintenance.compaction_errors(spark, str(tmp_path)).collect()] == ["broken"]
+    assert maintenance.table_files(spark, str(tmp_path / "whole")).count() == 1
+
+
+@pytest.mark.parametrize("fold_every", [1, 2])
+def test_partitioned_state(spark, tmp_path, fold_every):
+    spec = [PartitionField("note", "truncate", "first", 1), PartitionField("n", "truncate", "tens", 10)]
+    table = MirroredTable(spark, str(tmp_path), "public", "items", buckets=2, partition=spec)
+    m = Mirror(spark, str(tmp_path), [table], fold_every=fold_every, pending_buckets=2)
+    m.apply_batch(feed(spark, [relation(1, 1, "items", NOTES), *(row(2 + i, 1, "insert", t(i, "ab"[i % 2] + "x", i)) for i in range(40)), end(50, 1)]), 0)
+    m.apply_batch(feed(spark, [row(60, 2, "update", t(3, "c", 35)), row(61, 2, "update", t(4, None, 4)), end(62, 2)]), 1)
+    m.apply_batch(feed(spark, [row(70, 3, "delete", old=t(5, None, None)), end(71, 3)]), 2)
+    want = {i: ("ab"[i % 2] + "x", i) for i in range(40) if i != 5} | {3: ("c", 35), 4: (None, 4)}
+    assert rows_of(m.read("public.items")) == sorted(((k, v, n, v and v[0], n - n % 10) for k, (v, n) in want.items()), key=repr)
+    part = m.read("public.items").where("first = 'c' and tens = 30")
+    assert [r["id"] for r in part.collect()] == [3]
+    if fold_every == 1:
+        plan = part._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(first" in plan

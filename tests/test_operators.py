@@ -220,7 +220,7 @@ def test_decode(spark, feed):
     versions = relations.relation_versions(feed)
     shape = relations.TableShape.of(versions, "public", "users", ["extra"])
     assert shape.types == {"id": T.LongType(), "name": T.StringType(), "extra": T.DoubleType()}
-    assert shape.keys == ["id"] and shape.carried_values == ["name"]
+    assert shape.keys == ["id"] and shape.carried_values == ["name", "extra"]
     assert relations.TableShape.from_json("public", "users", shape.to_json()).types == shape.types
     decoded = decode.to_columns(decode.bind(feed.where("kind <> 'relation'"), versions, shape), shape)
     good = {r.lsn: (r.kind, r.id, r.old_id, r["name"], r.extra, r.name_f) for r in decode.fit(decoded).collect()}
