@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from changelake.llm.common import STEP, hinted, prepare, span_hash, store, texts
+from changelake.llm.common import STEP, hinted, prepare, span_hash, store, texts, unused
 
 GEAR = np.random.default_rng(2024).integers(0, 2**32, 256, dtype=np.uint32)
 SPACE = np.zeros(256, bool)
@@ -205,21 +205,21 @@ def deduplicate(documents: DataFrame, least: int = 100) -> DataFrame:
     stay; those that have one of the new names give way.
     """
     prepare(documents.sparkSession)
-    base = documents.drop("n_bytes", "n_removed", "n_spans", "__spans")
+    base = documents.drop("n_bytes", "n_removed", "n_spans")
+    key, found, hit = unused(base, "key", "spans", "hit")
     spans = store(repeated_spans(base, least), "spans")
     spans = hinted(spans, F.size("spans") * 16)
     schema = T.StructType([*base.schema.fields, *(T.StructField(n, T.LongType())
                                                   for n in ("n_bytes", "n_removed", "n_spans"))])
     names = base.columns
-    marked = base.withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), "text")).join(
-        spans.select(F.col("key").alias("__key"), F.col("spans").alias("__spans")).withColumn("__hit", F.lit(True)),
-        "__key", "left")
-    touched, clean = marked.where("__hit"), marked.where("__hit is null")
+    marked = base.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), "text")).join(
+        spans.select(F.col("key").alias(key), F.col("spans").alias(found), F.lit(True).alias(hit)), key, "left")
+    touched, clean = marked.where(F.col(hit)), marked.where(F.col(hit).isNull())
 
     def cut(batches):
         for batch in batches:
             kept, sizes, removed, counts = [], [], [], []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist(), strict=True):
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column(found).to_pylist(), strict=True):
                 data, parts, last, gone, n = (text or "").encode(), [], 0, 0, 0
                 for span in spans:
                     start, stop = max(span["start"], last), span["stop"]
@@ -239,6 +239,6 @@ def deduplicate(documents: DataFrame, least: int = 100) -> DataFrame:
                 [*columns, *(pa.array(c, pa.int64()) for c in (sizes, removed, counts))],
                 [*names, "n_bytes", "n_removed", "n_spans"])
 
-    return touched.select(*names, "__spans").mapInArrow(cut, schema).union(clean.select(
+    return touched.select(*names, found).mapInArrow(cut, schema).union(clean.select(
         *names, F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
         F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans")))

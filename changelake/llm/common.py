@@ -69,6 +69,17 @@ def prepare(spark: SparkSession) -> None:
         _SHIPPED.add(context)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores in front as it takes to be no column of ``df``."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def hinted(df: DataFrame, size: Column, limit: int = BROADCAST_BYTES) -> DataFrame:
     """A stored table with a broadcast hint, if ``size`` (bytes a row) was summed to be small.
 

@@ -310,6 +310,18 @@ def test_pipeline_stages_keep_other_texts_of_an_id(spark):
     assert (2, a) not in got and not any(a[:300] in (t or "") for i, t in got if i)
 
 
+def test_stages_keep_columns_named_like_their_own(spark):
+    names = ("key", "spans", "hit", "__key", "__hit", "__spans", "node", "several", "__node", "__shared", "component_id", "text2")
+    df = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g"), (3, None), (None, "")], DOCS).withColumns(
+        {n: F.lit(n) for n in names})
+    for stage in (corpus_pipeline.keep_one_of_near_copies, corpus_pipeline.drop_repeated_passages):
+        got = stage(spark, df, SF)
+        assert got.columns == df.columns
+        rows = got.collect()
+        assert rows and all(r[n] == n for r in rows for n in names)
+        assert corpus_pipeline.keep_one_of_near_copies(spark, df.limit(0), SF).count() == 0
+
+
 # -- graph and urls
 
 def test_components(spark):
