@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changelake.llm import chunk_dedup, ngram_join, packing, toxicity
-from changelake.llm.common import hinted, store
+from changelake.llm.common import hinted, store, unused
 from changelake.llm.queries import table, vocabulary
 
 # Workers still hold what the earlier stages took; the words they keep encoded are fewer here.
@@ -32,18 +32,19 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     own; rows without a doc_id stay as they are.
     """
     key = F.xxhash64("doc_id", "text")
+    node, several = unused(docs, "node", "several")
     given = docs.where("doc_id is not null")
     # Ids that several texts share; each of these texts is linked by its key.
     shared = store(given.groupBy("doc_id").agg(F.min(key).alias("a"), F.max(key).alias("b")).where("a <> b")
-                   .select("doc_id", F.lit(True).alias("__shared")), "shared")
+                   .select("doc_id", F.lit(True).alias(several)), "shared")
     named = given.join(hinted(shared, F.lit(8)), "doc_id", "left").withColumn(
-        "__node", F.when(F.col("__shared"), key).otherwise(F.col("doc_id").cast("long")))
-    linked = ngram_join.link(named.select(F.col("__node").alias("doc_id"), "text"), NEAR)
-    ids = store(named.where("__shared").select(F.col("__node").alias("node"), F.col("doc_id").alias("id")).distinct(), "ids")
+        node, F.when(F.col(several), key).otherwise(F.col("doc_id").cast("long")))
+    linked = ngram_join.link(named.select(F.col(node).alias("doc_id"), "text"), NEAR)
+    ids = store(named.where(F.col(several)).select(F.col(node).alias("node"), F.col("doc_id").alias("id")).distinct(), "ids")
     kept = (linked.withColumnRenamed("doc_id", "node").join(hinted(ids, F.lit(16)), "node", "left")
             .groupBy("component_id").agg(F.min(F.struct(F.coalesce("id", "node").alias("id"), "node")).alias("least"))
-            .select(F.col("least.node").alias("__node")))
-    one = named.join(kept, "__node", "left_semi").dropDuplicates(["__node"])
+            .select(F.col("least.node").alias(node)))
+    one = named.join(kept, node, "left_semi").dropDuplicates([node])
     return one.select(*docs.columns).union(docs.where("doc_id is null"))
 
 
