@@ -1,10 +1,12 @@
 """How far the sources of a language differ: smoothed term shares compared between sources.
 
 For each language a ``CountVectorizer`` keeps the terms that are in at least ``min_docs`` of its
-documents, all of them, and turns every document into a sparse count vector. The vectors' cells are
-summed to one sparse vector for each source. With ``V`` kept terms and ``N`` kept occurrences, a
-term that occurs ``count`` times has the share ``p = 1 + floor(scale * (count + 5) / (N + 5 V))``;
-terms that do not occur share one value, so distances need only what occurs:
+documents, all of them, and turns every document into sparse vectors: one of its terms, and one for each
+digit (base 4) of how often they are repeated, so that few terms are handled more than once. Weighted by
+the place of the digit, the vectors' cells are summed to one sparse vector for each source. With ``V``
+kept terms and ``N`` kept occurrences, a term that occurs ``count`` times has the share
+``p = 1 + floor(scale * (count + 5) / (N + 5 V))``; terms that do not occur share one value, so
+distances need only what occurs:
 
     D(a, b) = V |a0 - b0|  +  terms of a against b0  +  terms of b against a0  +  correction for
               terms of both
@@ -23,45 +25,104 @@ columns text, lang and source are read, so others cannot clash; an empty table g
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from changelake.llm.common import prepare, store
+from changelake.llm.common import blobs, prepare, store, texts, words
 from changelake.session import scratch_path
 
-TERM = r"([^\x00-\x40\x5B-\x60\x7B-\x7F]+)"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# Bytes that are in no term: all ASCII characters but letters. Of the letters only A-Z change.
+BETWEEN = np.array([b < 0x80 and not chr(b).isalpha() for b in range(256)])
+LOWER_CASE = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 SCALE = 1_000_000_000
 ALL_TERMS = 2**31 - 1
 # Terms of one block of the pair sums.
 BLOCK = 512
-# A stored vector as plain columns.
-VECTORS = "source STRING, vector STRUCT<type: TINYINT, size: INT, indices: ARRAY<INT>, values: ARRAY<DOUBLE>>"
+# Digits of the counts, and bytes of text that one step works on; a longer text is one step of its own.
+DIGIT, TOGETHER = 4, 1 << 22
+# Cells that a task holds before it sums them.
+CELLS_HELD = 4_000_000
+WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 CELLS = "lang STRING, source STRING, term STRING, number INT, count BIGINT"
 
 
-def terms(text: Column) -> Column:
-    """Runs of letters: all characters but ASCII ones that are no letters; A-Z become lower-case."""
-    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(TERM))
+def _tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The terms of texts: for each text a row of its distinct terms, and rows of what is left of their
+    counts by digits, where a term counts 1, 4, 16, ... each time it is there."""
+    for batch in batches:
+        for row, data, offsets in texts(batch["text"], TOGETHER):
+            count = len(offsets) - 1
+            starts, stops, first = words(data, offsets, BETWEEN)
+            ends = np.cumsum(stops - starts)
+            found = blobs(LOWER_CASE[data[~BETWEEN[data]]], ends).dictionary_encode()
+            names, codes = found.dictionary.cast(pa.string()), found.indices.to_numpy().astype(np.int64)
+            places = np.repeat(np.arange(count), np.diff(first))
+            keys, repeats = np.unique(places * len(names) + codes, return_counts=True)
+            part, edges = batch.slice(row, count).select(["lang", "source"]), np.arange(count + 1) * len(names)
+
+            def rows(times, weight, whole, part=part, keys=keys, names=names, edges=edges):
+                chosen = keys if whole else np.repeat(keys, times)
+                bounds = np.searchsorted(chosen, edges)
+                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)),
+                                                 names.take(pa.array(chosen % max(1, len(names)))))
+                out = pa.RecordBatch.from_arrays(
+                    [part["lang"], part["source"], pa.array(np.full(len(part), weight, np.int64)),
+                     pa.array(np.full(len(part), whole)), lists], ["lang", "source", "weight", "whole", "terms"])
+                return out if whole else out.filter(pa.array(np.diff(bounds) > 0))
+
+            yield rows(None, 1, True)
+            left, weight = repeats - 1, 1
+            while left.any():
+                yield rows(left % DIGIT, weight, False)
+                left, weight = left // DIGIT, weight * DIGIT
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the cells of sparse vectors by source, a few million cells at a time."""
+    def result():
+        keys, counts = np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held])
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(known)).take(pa.array(keys[starts] >> 32)), pa.array((keys[starts] & 0xFFFFFFFF).astype(np.int32)),
+             pa.array(np.add.reduceat(counts, starts))], ["source", "number", "count"])
+
+    known: dict[str, int] = {}
+    held, size = [], 0
+    for batch in batches:
+        vectors = batch["vector"]
+        indices, values = vectors.field("indices"), vectors.field("values")
+        per_row = np.diff(indices.offsets.to_numpy())
+        sources = np.array([known.setdefault(s, len(known)) for s in batch["source"].to_pylist()], np.int64)
+        keys = (np.repeat(sources, per_row) << 32) + indices.flatten().to_numpy()
+        counts = values.flatten().to_numpy().astype(np.int64) * np.repeat(batch["weight"].to_numpy(), per_row)
+        if len(keys):
+            held.append((keys, counts))
+            size += len(keys)
+        if size > CELLS_HELD:
+            yield result()
+            known, held, size = {}, [], 0
+    if held:
+        yield result()
 
 
 def _vectors(tokens: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
-    """Sparse count vectors of the documents of one language, and the kept terms by number.
-
-    The vectors go through a stored table, which gives their cells as plain columns.
-    """
+    """Sparse count vectors of the documents of one language, and the kept terms by number."""
     spark = tokens.sparkSession
-    model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=ALL_TERMS).fit(tokens)
-    saved, path = scratch_path(spark, "terms"), scratch_path(spark, "vectors")
+    model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=ALL_TERMS).fit(
+        tokens.where("whole").select("terms"))
+    saved = scratch_path(spark, "terms")
     model.save(saved)
-    model.transform(tokens.where("size(terms) > 0")).select("source", "vector").write.parquet(path)
-    vectors = spark.read.schema(VECTORS).parquet(path)
     kept = spark.read.parquet(f"{saved}/data").select(F.posexplode("vocabulary").alias("number", "term"))
-    return vectors, kept
+    return model.transform(tokens.where("size(terms) > 0")).select("source", "weight", "vector"), kept
 
 
 def cells(docs: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
@@ -71,19 +132,22 @@ def cells(docs: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
     prepare(spark)
     read = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")))
     path = scratch_path(spark, "tokens")
-    read.select("lang", "source", terms(F.col("text")).alias("terms"), F.md5("lang").alias("part")).write.partitionBy(
-        "part").parquet(path)
-    schema = "lang STRING, source STRING, terms ARRAY<STRING>, part STRING"
+    schema = "lang STRING, source STRING, weight BIGINT, whole BOOLEAN, terms ARRAY<STRING>"
+    found = read.mapInArrow(_tokenized, schema).withColumn("part", F.md5("lang"))
+    # Few languages are written side by side; a task that meets more of them sorts its rows.
+    before = spark.conf.get(WRITERS, "0")
+    spark.conf.set(WRITERS, "32")
+    found.write.partitionBy("part").parquet(path)
+    spark.conf.set(WRITERS, before)
+    schema += ", part STRING"
     tokens = spark.read.schema(schema).parquet(path)
     groups = store(tokens.select("lang", "source").distinct(), "groups")
     out = scratch_path(spark, "cells")
     spark.createDataFrame([], CELLS).write.parquet(out)
     for row in groups.select("lang", F.md5("lang").alias("part")).distinct().orderBy("lang").collect():
         vectors, kept = _vectors(tokens.where(F.col("part") == row["part"]), min_docs)
-        cell = F.explode(F.arrays_zip("vector.indices", "vector.values"))
-        counts = (vectors.select("source", cell.alias("cell"))
-                  .groupBy("source", F.col("cell.indices").alias("number"))
-                  .agg(F.sum(F.col("cell.values").cast("long")).alias("count")))
+        counts = (vectors.mapInArrow(_summed, "source STRING, number INT, count BIGINT")
+                  .groupBy("source", "number").agg(F.sum("count").alias("count")))
         counts.join(kept, "number").select(
             F.lit(row["lang"]).alias("lang"), "source", "term", "number", "count").write.mode("append").parquet(out)
     return spark.read.schema(CELLS).parquet(out), groups
