@@ -27,6 +27,8 @@ REMEMBERED = 400_000
 PLAIN, CLOSING = 0, 1
 # White space for Python's split(), but not for the tokenizer.
 NOT_SPACE = re.compile("[\x1c-\x1f]")
+# Words that the short division of pieces does not know.
+ODD_WORD = re.compile(f"{NOT_SPACE.pattern}|{OTHER.pattern}")
 
 
 def byte_letters() -> list[str]:
@@ -156,7 +158,7 @@ class TrieEncoder:
 
     def _pieces(self, word: str) -> Iterator[int | str]:
         """Ids of special tokens, and the pieces between them."""
-        if not OTHER.search(word):
+        if not ODD_WORD.search(word):
             yield from [p if p.isascii() and p.isprintable() else "".join([self.letters[b] for b in p.encode()])
                         for p in PIECE.findall(word.lower())]
             return
