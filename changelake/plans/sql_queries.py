@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from changelake.plans import feeds
 from changelake.plans.registry import query
+from changelake.session import any_size
 
 TEXTS = {
     "sql_outer_joins": """
@@ -65,6 +66,8 @@ def _plain(text: str) -> str:
 def _add(name: str, text: str) -> None:
     @query(_plain(text), name)
     def run(spark, sf):
+        if "with recursive" in text:
+            any_size(spark)
         used = {n: spark.read.parquet(f"{sf}/{n}.parquet") for n in feeds.TABLES if "{" + n + "}" in text}
         return spark.sql(text, **used)
 
