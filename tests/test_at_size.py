@@ -28,3 +28,18 @@ def changes(table, rows, snapshot_id, parts=2):
 def test_recursion_of_over_a_million_rows(spark, tmp_path):
     spark.range(600_000).selectExpr("id c_custkey", "24 c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
     assert QUERIES["sql_recursive"](spark, str(tmp_path)).count() == 1_200_000
+
+
+def test_each_group_of_a_rewrite_has_tasks_of_its_own(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(compaction, "TASK_BYTES", 40_000, raising=False)
+    source, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    spark.range(60_000).selectExpr("id", "hash(id) h").repartition(12).write.parquet(source)
+    plan = compaction.plan_by_count(inventory.file_inventory(spark, source), 4)
+    least = {r.grp: -(-r.bytes // 40_000) for r in plan.groupBy("grp").agg(F.sum("length").alias("bytes")).collect()}
+    written = compaction.rewrite(spark, plan, out).collect()
+    assert {g: sum(w.grp == g for w in written) for g in least} == least
+    tasks = [re.search(r"part-(\d+)", w.path)[1] for w in written]
+    assert len(set(tasks)) == len(tasks)
+    assert max(w.record_count for w in written) < 60_000 // len(written) * 1.2
+    rows = spark.read.option("recursiveFileLookup", "true").parquet(out)
+    assert rows.count() == 60_000 and rows.distinct().count() == 60_000
