@@ -10,7 +10,7 @@ from changelake.operators import compaction, decode, monitor, relational, relati
 from changelake.plans import feeds
 from changelake.plans.feeds import FILES, LISTING, check
 from changelake.plans.registry import query
-from changelake.session import scratch_path
+from changelake.session import TASK_ROWS, parts_for, scratch_path
 from changelake.sources import inventory
 from changelake.sources.logs import qualified
 
@@ -175,7 +175,11 @@ def not_null_violations(spark, sf):
 # --- files and snapshots --------------------------------------------------------------------
 
 def _files(spark, sf):
-    return feeds.run(spark, sf, FILES, "select * from files")
+    """Each order's files in one of as many parts as the order lines need, so that no task's share grows with them."""
+    lines = table(spark, sf, "lineitem")
+    parts = parts_for(lines)
+    files = spark.sql(f"with {FILES} select * from files", lineitem=lines.repartition(parts, "l_orderkey"))
+    return files.repartition(parts, "table_name")
 
 
 @query(check(FILES, """
@@ -280,7 +284,8 @@ def compaction_stats(spark, sf):
 def compaction_rows_preserved(spark, sf):
     """All rows of a table after its files were merged."""
     source, out = scratch_path(spark, "small"), scratch_path(spark, "merged")
-    table(spark, sf, "lineitem").repartition(12).write.parquet(source)
+    lines = table(spark, sf, "lineitem")
+    lines.repartition(max(12, -(-lines.count() // TASK_ROWS))).write.parquet(source)
     files = inventory.file_inventory(spark, source)
     compaction.rewrite(spark, compaction.plan_by_count(files), out)
     merged = spark.read.option("recursiveFileLookup", "true").parquet(out)

@@ -43,3 +43,24 @@ def test_each_group_of_a_rewrite_has_tasks_of_its_own(spark, tmp_path, monkeypat
     assert max(w.record_count for w in written) < 60_000 // len(written) * 1.2
     rows = spark.read.option("recursiveFileLookup", "true").parquet(out)
     assert rows.count() == 60_000 and rows.distinct().count() == 60_000
+
+
+def test_small_files_are_written_by_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(table_queries, "TASK_ROWS", 1_000, raising=False)
+    seen = []
+    monkeypatch.setattr(table_queries.compaction, "rewrite", lambda spark, plan, out, **k: (
+        seen.append(plan.count()), spark.range(0).write.parquet(out)))
+    spark.range(40_000).write.parquet(f"{tmp_path}/lineitem.parquet")
+    table_queries.compaction_rows_preserved(spark, str(tmp_path))
+    assert seen == [40]
+
+
+def test_files_of_orders_come_in_parts_by_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(table_queries, "parts_for", lambda df: 37, raising=False)
+    spark.range(1000).selectExpr("id div 4 l_orderkey", "id % 4 l_linenumber", "if(id % 3 = 0, 'R', 'N') l_returnflag",
+                                 "double(id) l_quantity").write.parquet(f"{tmp_path}/lineitem.parquet")
+    files = table_queries._files(spark, str(tmp_path))
+    assert files.rdd.getNumPartitions() == 37
+    assert files.count() == 1000 + 334
+    placed = files.select("table_name", F.spark_partition_id().alias("p")).distinct()
+    assert placed.count() == files.select("table_name").distinct().count()
