@@ -64,3 +64,34 @@ def test_files_of_orders_come_in_parts_by_rows(spark, tmp_path, monkeypatch):
     assert files.count() == 1000 + 334
     placed = files.select("table_name", F.spark_partition_id().alias("p")).distinct()
     assert placed.count() == files.select("table_name").distinct().count()
+
+
+def test_buckets_of_a_fold_have_tasks_of_their_own(spark, tmp_path):
+    table = mirrored(spark, tmp_path, buckets=2)
+    changes(table, spark.range(2_000), 1000)
+    tasks = [re.search(r"part-(\d+)", e.path)[1] for e in table._entries() if e.area == "data"]
+    assert len(tasks) == len(set(tasks)) == 2
+    assert table.read().count() == 2_000
+
+
+def test_neighbouring_slots_share_a_task(spark, tmp_path, monkeypatch):
+    table = mirrored(spark, tmp_path, buckets=40, task_bytes=100)
+    changes(table, spark.range(20_000), 1000)
+    tasks = {re.search(r"part-(\d+)", e.path)[1] for e in table._entries() if e.area == "data"}
+    assert len(tasks) <= 2 * spark.sparkContext.defaultParallelism
+    assert sorted(r.k for r in table.read().collect()) == list(range(20_000))
+
+
+def test_log_is_compacted_by_tasks_of_bounded_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(compaction, "TASK_BYTES", 40_000, raising=False)
+    table = mirrored(spark, tmp_path)
+    for i in range(4):
+        changes(table, spark.range(i * 5_000, i * 5_000 + 5_000), 1000 * (i + 1), 4)
+    before = sum(e.bytes for e in table._entries() if e.area == "log")
+    table.compact()
+    files = [e for e in table._entries() if e.area == "archive"]
+    assert len(files) >= before // 40_000 and max(e.bytes for e in files) < 80_000
+    assert sum(e.record_count for e in files) == 20_000 and table.read_log().count() == 20_000
+    large = {e.path for e in files if e.bytes >= 20_000}
+    table.compact()
+    assert large <= {e.path for e in table._entries()}
