@@ -333,3 +333,28 @@ def test_packing_word_ids_match_the_library(remembered):
     for batch in batches:
         got = [np.frombuffer(x, "<u4").tolist() for x in words.encode(pa.array(batch, pa.string()))]
         assert got == [words.tokenizer.encode(t or "", add_special_tokens=False).ids for t in batch]
+
+
+def test_toxicity_learns_from_every_labelled_text(spark):
+    """Long texts and those beyond the first sample teach as well: one word is in long ones only."""
+    rng, words = random.Random(7), [f"w{i}" for i in range(200)]
+
+    def text(i):
+        toxic, long = i % 2, i % 4 > 1
+        out = [rng.choice(words) for _ in range(60 if long else 12)]
+        if toxic:
+            for _ in range(2):
+                out.insert(rng.randrange(len(out)), "zorgle" if long else "badword")
+        return i, " ".join(out), "en" if long else "de", toxic
+
+    rows = [text(i) for i in range(2400)]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, toxicity.Shape(sample=300, longest_sampled=120, **(
+        {"part": 500} if "part" in toxicity.Shape.__dataclass_fields__ else {})))
+    told = {r[0]: r for r in rows}
+    scored = [r for r in toxicity.score(docs, model, ["doc_id"]).where(toxicity.held_out(F.col("doc_id"))).collect()]
+    for lang in ("en", "de"):
+        own = [r for r in scored if told[r["doc_id"]][2] == lang]
+        assert sum(r["predicted"] == told[r["doc_id"]][3] for r in own) >= 0.95 * len(own), lang
+    assert set(model.thresholds) == {"en", "de"}
