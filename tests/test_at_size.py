@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from changelake.operators import compaction
+from changelake.operators import compaction, state, transactions
 from changelake.plans import sql_queries, table_queries  # noqa: F401
 from changelake.plans.registry import QUERIES
 from changelake.operators.relations import TableShape
@@ -95,3 +95,39 @@ def test_log_is_compacted_by_tasks_of_bounded_size(spark, tmp_path, monkeypatch)
     large = {e.path for e in files if e.bytes >= 20_000}
     table.compact()
     assert large <= {e.path for e in table._entries()}
+
+
+def test_only_repeated_messages_are_grouped_as_whole_rows(spark):
+    once = spark.sql("select id lsn, 0 seq, array('x') cells from range(50)").cache()
+    assert transactions.distinct_messages(once) is once
+    twice = once.unionByName(once.where("lsn % 9 = 0")).unionByName(
+        spark.sql("select cast(null as bigint) lsn, 0 seq, array('y') cells from range(3)")).cache()
+    left = transactions.distinct_messages(twice)
+    assert left.count() == 51 and left.distinct().count() == 51
+    once.unpersist()
+    twice.unpersist()
+
+
+def test_rows_that_cannot_move_are_not_unfolded(spark):
+    rows = spark.sql("""select id k, if(id % 3 = 0, 'delete', 'update') kind, id * 2L v, 't' v_f, cast(null as bigint) old_k
+                        from range(30)""")
+    whole, plain = state.explode_key_change(rows, ["k"]), state.explode_key_change(rows, ["k"], moving=False)
+    assert "Generate" not in plain._jdf.queryExecution().toString()
+    assert plain.columns == whole.columns and sorted(map(tuple, plain.collect()), key=repr) == sorted(map(tuple, whole.collect()), key=repr)
+
+
+def test_missing_values_are_listed_from_what_a_fold_wrote(spark, tmp_path, monkeypatch):
+    def unused(*args):
+        raise AssertionError("the fold is computed again")
+
+    monkeypatch.setattr(state, "missing", unused)
+    table = mirrored(spark, tmp_path, buckets=2)
+    rows = spark.sql("select id k, if(id % 2 = 0, 'x', null) v from range(8)")
+    shape = TableShape("public", "t", [("k", 20, -1, True), ("v", 25, -1, False)])
+    for at in (1, 2):
+        table.append(rows.selectExpr(
+            "*", "'update' kind", "1L relation_id", "1L xid", f"{100 * at}L + k commit_lsn", f"{100 * at}L + k lsn", "0 seq",
+            "if(k % 2 = 0, 't', 'u') v_f", "cast(null as bigint) old_k"), shape, at, moves=False)
+    found = table.errors().orderBy("key").collect()
+    assert [(r.key, r.missing, r.snap) for r in found] == [(f'{{"k":{k}}}', ["v"], 1) for k in (1, 3, 5, 7)]
+    assert {r.k: r.v for r in table.read().collect()} == {k: "x" if k % 2 == 0 else None for k in range(8)}
