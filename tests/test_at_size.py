@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from changelake.operators import compaction, state, transactions
+from changelake.operators import compaction, decode, state, transactions
 from changelake.plans import sql_queries, table_queries  # noqa: F401
 from changelake.plans.registry import QUERIES
 from changelake.operators.relations import TableShape
@@ -131,3 +131,13 @@ def test_missing_values_are_listed_from_what_a_fold_wrote(spark, tmp_path, monke
     found = table.errors().orderBy("key").collect()
     assert [(r.key, r.missing, r.snap) for r in found] == [(f'{{"k":{k}}}', ["v"], 1) for k in (1, 3, 5, 7)]
     assert {r.k: r.v for r in table.read().collect()} == {k: "x" if k % 2 == 0 else None for k in range(8)}
+
+
+def test_decodes_are_compiled_in_any_session(spark):
+    other = spark.newSession()
+    other.conf.set("spark.sql.codegen.hugeMethodLimit", "65535")
+    rows = other.sql("select 1L lsn, 0 seq, 1L xid, 1L sub_xid, 'insert' kind, 1L relation_id, 2 width, array(0, 1) at, "
+                     "array(named_struct('f', 't', 'v', '7')) new_cols, cast(null as array<struct<f: string, v: string>>) old_cols")
+    shape = TableShape("public", "t", [("k", 20, -1, True), ("v", 25, -1, False)])
+    assert decode.to_columns(rows, shape).select("k").first().k == 7
+    assert int(other.conf.get("spark.sql.codegen.hugeMethodLimit")) == 8000
