@@ -163,6 +163,35 @@ def test_audit_of_no_rows(spark):
     assert source_audit.audit(one).collect() == []
 
 
+@pytest.mark.parametrize("held", [50, 1_000_000])
+def test_audit_counts_before_it_vectorizes(spark, monkeypatch, held):
+    """CountVectorizer gets few strings of terms that many documents have, with the same result."""
+    monkeypatch.setattr(source_audit, "TERMS_HELD", held, raising=False)
+    rng = random.Random(5)
+    made = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
+    docs = [(rng.choice("xy"), rng.choice("abc"), " ".join(rng.choices(made, k=80))) for _ in range(600)]
+    docs += [("x", "a", "just " * n) for n in range(1, 31)] + [("x", "b", "under")] * 29 + [("y", "b", "under")] * 30
+    seen, keep = [], source_audit._vectors
+
+    def vectors(tokens, min_docs):
+        seen.append(tokens.agg(F.sum(F.size("terms"))).first())
+        return keep(tokens, min_docs)
+
+    monkeypatch.setattr(source_audit, "_vectors", vectors)
+    df = spark.createDataFrame(docs, "lang string, source string, text string").coalesce(1)
+    assert rows_of(source_audit.audit(df)) == plain_audit(docs, 30, 50)
+    strings = sum(len(set(text.split())) for _, _, text in docs)
+    assert len(seen) == 2 and (held == 50 or sum(s[0] for s in seen) < strings / 4)
+
+
+def test_pairs_of_one_source_or_without_common_terms(spark):
+    """Blocks in which no two sources have a term in common have no corrections, and fail nothing."""
+    rows = [("x", "a", 1, 5, 1), ("x", "a", 2, 5, 1), ("y", "a", 1, 5, 1), ("y", "b", 2, 5, 1)]
+    df = spark.createDataFrame(rows, "lang string, source string, number int, p bigint, zero bigint")
+    assert df.groupBy("lang").applyInPandas(
+        source_audit.pair_corrections, "lang STRING, a STRING, b STRING, value BIGINT").collect() == []
+
+
 # -- trie
 
 def plain_trie(rows):
