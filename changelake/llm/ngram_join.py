@@ -25,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changelake.llm.common import discard, hinted, longs, mix, prepare, span_hash, store, texts, tidy, words
+from changelake.llm.common import discard, hinted, lean, longs, mix, prepare, span_hash, store, texts, tidy, words
 from changelake.llm.graph import components
 
 TILE = 2048
 LEAF = 16
+# Bytes of an Arrow batch: shingles and counts take several times their text.
+BATCH = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -207,7 +209,7 @@ def _sets(documents: DataFrame, rule: Rule) -> DataFrame:
                  pa.array(digests, pa.binary())],
                 ["doc_id", "n", "digest"])
 
-    return documents.mapInArrow(run, "doc_id long, n long, digest binary")
+    return documents.mapInArrow(lean(run), "doc_id long, n long, digest binary")
 
 
 def _marks(documents: DataFrame, rule: Rule) -> DataFrame:
@@ -225,7 +227,7 @@ def _marks(documents: DataFrame, rule: Rule) -> DataFrame:
                 if len(marks):
                     yield pa.RecordBatch.from_arrays([longs(marks), pa.array(ids[row + owner])], ["mark", "doc_id"])
 
-    return documents.mapInArrow(run, "mark long, doc_id long")
+    return documents.mapInArrow(lean(run), "mark long, doc_id long")
 
 
 def _blocks(marks: DataFrame) -> DataFrame:
@@ -287,7 +289,7 @@ def _blocks(marks: DataFrame) -> DataFrame:
                 yield batch_of([found])
 
     return (marks.repartition("mark").sortWithinPartitions("mark", "doc_id")
-            .mapInArrow(run, "block long, leader long, doc_id long"))
+            .mapInArrow(lean(run), "block long, leader long, doc_id long"))
 
 
 def _tokens(documents: DataFrame, rule: Rule) -> DataFrame:
@@ -303,7 +305,7 @@ def _tokens(documents: DataFrame, rule: Rule) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(tokens, pa.binary()),
                                               pa.array(counts, pa.binary())], ["doc_id", "tokens", "counts"])
 
-    return documents.mapInArrow(run, "doc_id long, tokens binary, counts binary")
+    return documents.mapInArrow(lean(run), "doc_id long, tokens binary, counts binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -329,10 +331,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
     light = sets.select("doc_id", "counts", "n")
     near = (pairs.join(light.toDF("b", "cb", "nb"), "b").join(light.toDF("a", "ca", "na"), "a")
-            .select("a", "b", "ca", "cb", "na", "nb").mapInArrow(bound, "a long, b long"))
+            .select("a", "b", "ca", "cb", "na", "nb").mapInArrow(lean(bound), "a long, b long"))
     whole = sets.select("doc_id", "tokens")
     return (near.join(whole.toDF("b", "tb"), "b").join(whole.toDF("a", "ta"), "a")
-            .select("a", "b", "ta", "tb").mapInArrow(exact, "a long, b long"))
+            .select("a", "b", "ta", "tb").mapInArrow(lean(exact), "a long, b long"))
 
 
 def _similar_sizes(clusters: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -414,7 +416,7 @@ def _across(blocks: DataFrame, parts: DataFrame, sets: DataFrame, rule: Rule) ->
 
     def links(rows, edges):
         ids = rows.column("doc_id").to_numpy()
-        tokens = [np.frombuffer(c, np.uint64) for c in rows.column("tokens").to_pylist()]
+        tokens = [np.frombuffer(c.as_buffer(), np.uint64) for c in rows.column("tokens")]
         found = [np.zeros((0, 2), np.int64)]
         for low, high, *tile in tiles_of(rows, edges):
             found.append(ids[low:high][_links(tokens[low:high], *tile, rule)])
@@ -423,9 +425,9 @@ def _across(blocks: DataFrame, parts: DataFrame, sets: DataFrame, rule: Rule) ->
 
     # The points alone tell which members need their whole sets in a tile.
     points = tiled.join(sets.select("doc_id", "counts", "n"), "doc_id").select(*row, "n")
-    asked = points.repartition(*key).sortWithinPartitions(*key).mapInArrow(by_tile(hopeful), points.schema)
+    asked = points.repartition(*key).sortWithinPartitions(*key).mapInArrow(lean(by_tile(hopeful)), points.schema)
     return (asked.join(sets.select("doc_id", "tokens", "n"), ["doc_id", "n"]).select(*row, "n", "tokens")
-            .repartition(*key).sortWithinPartitions(*key).mapInArrow(by_tile(links), "a long, b long").distinct())
+            .repartition(*key).sortWithinPartitions(*key).mapInArrow(lean(by_tile(links)), "a long, b long").distinct())
 
 
 def _near(counts, sizes, parts, ours, rule: Rule):
@@ -474,7 +476,7 @@ def link(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
     without a doc_id have no component and link with nothing. Other columns are left out; an empty
     table gives an empty one. Shingles are told apart by 64-bit hashes, equal sets by 128 bits.
     """
-    prepare(documents.sparkSession)
+    prepare(documents.sparkSession, BATCH)
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     usable = documents.where("doc_id is not null and text is not null")
     sets = store(_sets(documents, rule), "sets")

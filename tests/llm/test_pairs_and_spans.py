@@ -7,7 +7,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from changelake.llm import chunk_dedup, graph, ngram_join, suffix_dedup, url_filter
+from changelake.llm import chunk_dedup, common, graph, ngram_join, suffix_dedup, url_filter
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string"
@@ -82,6 +82,19 @@ def test_join_with_null_and_repeated_ids_and_other_columns(spark):
     assert ngram_join.link(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_join_takes_small_batches_and_workers_give_back(spark, monkeypatch):
+    documents = spark.createDataFrame([(1, "a b c d e"), (2, "a b c d e"), (3, "x")], DOCS)
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    assert rows_of(ngram_join.link(documents), "doc_id", "component_id") == [(1, 1), (2, 1), (3, 3)]
+    assert int(spark.conf.get(setting)) <= 1 << 20
+    common.prepare(spark)
+    assert int(spark.conf.get(setting)) == 4 << 20
+    given = []
+    pool = type("Pool", (), {"release_unused": lambda self: given.append(1)})()
+    monkeypatch.setattr(common.pa, "default_memory_pool", lambda: pool)
+    assert list(common.lean(lambda batches: batches)(iter([1, 2]))) == [1, 2] and given == [1]
+
+
 def test_count_tree_keeps_what_a_scan_keeps():
     import numpy as np
 
