@@ -7,10 +7,13 @@ it by its largest coordinates. Pairs that survive the bound are verified on the
 The tree alone would compare every set with all sets of a similar size, so sets meet in blocks
 first. A pair at the threshold differs in a known number d of shingles; with more than d groups, one
 group at least holds the same shingles in both. A block is the sets (of similar size) that agree
-in one group, so each pair that links meets in a block. Each block's first member is compared with
-the others, which unites most of what links. Blocks that share members form a cluster; the members
-of a cluster whose sizes are close and that still lie in different components are searched with the
-tree, in tiles, and verified where they meet: a tile gives the links that unite components, not all.
+in one group, so each pair that links meets in a block. There are some more groups than d + 1, and a
+pair agrees in that many more; so each set leaves its largest blocks, which are those of passages
+that many texts share, and a pair that links still meets (``_rare``). Each block's first member is
+compared with the others, which unites most of what links. Blocks that share members form a cluster;
+the members of a cluster, or of each block where that is less, whose sizes are close and that still
+lie in different components are searched with the tree, in tiles, and verified where they meet: a
+tile gives the links that unite components, not all.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from changelake.llm.common import discard, hinted, lean, longs, mix, prepare, span_hash, store, texts, tidy, words
@@ -30,6 +33,10 @@ from changelake.llm.graph import components
 
 TILE = 2048
 LEAF = 16
+# Pairs in a tile that take as long as a row of it.
+ROW = 200
+# The lowest bits of a mark, which stay in the names of blocks.
+TAG = np.uint64(3)
 # Bytes of an Arrow batch: shingles and counts take several times their text.
 BATCH = 1 << 20
 
@@ -101,35 +108,68 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarr
     return joined[new], np.concatenate([[0], np.cumsum(new)])[first]
 
 
-def group_marks(tokens: np.ndarray, bounds: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of what a set holds in a group, set) for the class of each set and the one above."""
+def _grouped(tokens: np.ndarray, bounds: np.ndarray, number: np.ndarray, rule: Rule):
+    """(shingle, first shingle of each group that holds any, set of these, group) for a class of each set."""
     sizes = np.diff(bounds)
+    count = rule.groups[0][number]
+    chosen = np.flatnonzero(np.repeat(count > 0, sizes))
+    of = np.repeat(np.arange(len(sizes)), sizes)[chosen]
+    # Groups are equal ranges of the hash, and shingles are in its order.
+    group = ((tokens[chosen] >> np.uint64(32)) * count[of].astype(np.uint64)) >> np.uint64(32)
+    new = np.ones(len(of), bool)
+    new[1:] = (group[1:] != group[:-1]) | (of[1:] != of[:-1])
+    begins = np.flatnonzero(new)
+    return chosen, begins, of[begins], group[begins]
+
+
+def _class_numbers(sizes: np.ndarray, rule: Rule) -> list[np.ndarray]:
+    """The class of each set and the one above; 0, which has no groups, for empty sets."""
     own = np.searchsorted(rule.classes, sizes, "right") - 1
+    return [np.where(sizes > 0, number, 0) for number in (own, own + 1)]
+
+
+def group_marks(tokens: np.ndarray, bounds: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of what a set holds in a group, set) for the class of each set and the one above.
+
+    The lowest bit of a hash is that of its class, the next one tells the extra blocks.
+    """
+    sizes = np.diff(bounds)
     counts, spares = rule.groups
-    mixed, high = mix(tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5)), tokens >> np.uint64(32)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
+    mixed = mix(tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5))
     out, sets = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for number in (own, own + 1):
-        number = np.where(sizes > 0, number, 0)
+    for number in _class_numbers(sizes, rule):
         count = counts[number]
-        chosen = np.repeat(count > 0, sizes)
-        if not chosen.any():
+        chosen, begins, of, group = _grouped(tokens, bounds, number, rule)
+        if not len(chosen):
             continue
-        # Groups are equal ranges of the hash, and shingles are in its order.
-        of, hashes = owner[chosen], mixed[chosen]
-        group = (high[chosen] * count[of].astype(np.uint64)) >> np.uint64(32)
-        begins = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (of[1:] != of[:-1])]))
-        held = np.add.reduceat(hashes, begins)
-        held ^= group[begins] << np.uint64(8)
-        held ^= number[of[begins]].astype(np.uint64) << np.uint64(40)
-        out.append(mix(held))
-        sets.append(of[begins])
-        sparse = np.flatnonzero((count > 0) & (count - np.bincount(of[begins], minlength=len(sizes)) > spares[number]))
-        out.append(mix(number[sparse].astype(np.uint64) + np.uint64(1 << 50)))
+        held = np.add.reduceat(mixed[chosen], begins)
+        held ^= group << np.uint64(8)
+        held ^= number[of].astype(np.uint64) << np.uint64(40)
+        out.append(mix(held) & ~TAG | (number[of] & 1).astype(np.uint64))
+        sets.append(of)
+        sparse = np.flatnonzero((count > 0) & (count - np.bincount(of, minlength=len(sizes)) > spares[number]))
+        number = number[sparse].astype(np.uint64)
+        out.append(mix(number + np.uint64(1 << 50)) & ~TAG | np.uint64(2) | number & np.uint64(1))
         sets.append(sparse)
     return np.concatenate(out), np.concatenate(sets)
 
 
+def group_rests(tokens: np.ndarray, bounds: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """How many of its marks each set may leave out, of its even and of its odd class.
+
+    Linked sets agree in one group more than there are spare ones. Some of these may be empty in both:
+    so the pair has one mark more in common than either may leave out, and if both leave those out that
+    come last in one order of all marks, they keep one that they share.
+    """
+    sizes = np.diff(bounds)
+    out = np.zeros((2, len(sizes)), np.int64)
+    for number in _class_numbers(sizes, rule):
+        _, _, of, _ = _grouped(tokens, bounds, number, rule)
+        empty = rule.groups[0][number] - np.bincount(of, minlength=len(sizes))
+        out[number & 1, np.arange(len(sizes))] = np.maximum(0, rule.groups[1][number] - empty)
+    return out[0], out[1]
+
+
 def point(tokens: np.ndarray) -> np.ndarray:
     """Counts by group of a set, at a power of two of groups that holds about six in each."""
     count = 1 << max(0, (len(tokens) // 4).bit_length() - 1)
@@ -196,20 +236,22 @@ def _digests(tokens: np.ndarray, bounds: np.ndarray) -> list[bytes]:
 
 
 def _sets(documents: DataFrame, rule: Rule) -> DataFrame:
-    """(doc_id, n, digest) of every row; the digest tells sets apart."""
+    """(doc_id, n, digest, even, odd) of every row; the digest tells sets apart. See ``group_rests``."""
     def run(batches):
         for batch in batches:
-            sizes, digests = [], []
+            sizes, digests, rests = [], [], [np.zeros((2, 0), np.int64)]
             for _, data, offsets in texts(batch.column("text")):
                 tokens, bounds = shingles(data, offsets, rule.size)
                 sizes.append(np.diff(bounds))
                 digests += _digests(tokens, bounds)
+                rests.append(np.array(group_rests(tokens, bounds, rule)))
+            even, odd = np.concatenate(rests, axis=1)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(np.concatenate(sizes) if sizes else [], pa.int64()),
-                 pa.array(digests, pa.binary())],
-                ["doc_id", "n", "digest"])
+                 pa.array(digests, pa.binary()), pa.array(even), pa.array(odd)],
+                ["doc_id", "n", "digest", "even", "odd"])
 
-    return documents.mapInArrow(lean(run), "doc_id long, n long, digest binary")
+    return documents.mapInArrow(lean(run), "doc_id long, n long, digest binary, even long, odd long")
 
 
 def _marks(documents: DataFrame, rule: Rule) -> DataFrame:
@@ -231,65 +273,117 @@ def _marks(documents: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _blocks(marks: DataFrame) -> DataFrame:
-    """(block, leader, doc_id): members of each mark that several sets have, equal blocks once.
+    """(block, doc_id, marks): members of each mark that several rows have, equal blocks once; and, without
+    a doc_id, how many marks a block stands for.
 
     Rows come in the order of (mark, doc_id). A block with the members of one before it is the same
     block; one that does not fit the buffer keeps its mark as name and is passed on as it comes.
     """
     def run(batches):
-        seen, buffered = _Seen(300_000), 200_000
-        kept_mark = kept_docs = None
-        streaming = False  # the open block is longer than the buffer
-
-        def named(mark, docs):
-            docs = np.unique(docs)
-            if len(docs) < 2:
+        named, most, buffered = {}, 300_000, 200_000
+        held_marks = held_docs = np.zeros(0, np.int64)
+        streaming = None  # the open mark, if its rows are more than the buffer holds
+
+        def rows(block, docs, number):
+            return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(docs, pa.int64()), pa.array(number, pa.int64())],
+                                              ["block", "doc_id", "marks"])
+
+        def counted():
+            names = list(named)
+            out = rows(names, [None] * len(names), [named[n] for n in names])
+            named.clear()
+            return out
+
+        def closed(marks, docs):
+            """Blocks of marks that are there as a whole."""
+            new = np.ones(len(marks), bool)
+            new[1:] = (marks[1:] != marks[:-1]) | (docs[1:] != docs[:-1])
+            marks, docs = marks[new], docs[new]
+            starts = np.flatnonzero(np.concatenate([[True], marks[1:] != marks[:-1]])) if len(marks) else np.zeros(0, np.int64)
+            sizes = np.diff(np.concatenate([starts, [len(marks)]]))
+            several = sizes > 1
+            if not several.any():
                 return None
-            name = mix(np.array([mix(docs.view(np.uint64)).sum(dtype=np.uint64)], np.uint64)).view(np.int64)[0]
-            return (np.full(len(docs), name), np.full(len(docs), docs[0]), docs) if seen.fresh(name) else None
-
-        def batch_of(parts):
-            block, leader, docs = (np.concatenate(c) for c in zip(*parts, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(block), pa.array(leader), pa.array(docs)],
-                                              ["block", "leader", "doc_id"])
+            of = np.repeat(several, sizes)
+            marks, docs, sizes = marks[of], docs[of], sizes[several]
+            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            sums = np.add.reduceat(mix(docs.view(np.uint64)), starts)
+            names = (mix(sums) & ~TAG | marks[starts].view(np.uint64) & TAG).view(np.int64)
+            names, first, number = np.unique(names, return_index=True, return_counts=True)
+            fresh = []
+            for name, place, n in zip(names.tolist(), first.tolist(), number.tolist(), strict=True):
+                if name in named:
+                    named[name] += n
+                else:
+                    named[name] = n
+                    fresh.append(place)
+            if not fresh:
+                return None
+            fresh = np.array(fresh)
+            chosen = np.zeros(len(sizes), bool)
+            chosen[fresh] = True
+            name = np.zeros(len(sizes), np.int64)
+            name[first] = names
+            of = np.repeat(chosen, sizes)
+            return rows(np.repeat(name, sizes)[of], docs[of], np.zeros(int(of.sum()), np.int64))
 
-        leader = None
         for batch in batches:
             marks, docs = batch.column("mark").to_numpy(), batch.column("doc_id").to_numpy()
             if not len(marks):
                 continue
-            out = []
-            if streaming:
-                same = int(np.searchsorted(marks != kept_mark, True))
+            if streaming is not None:
+                same = int(np.searchsorted(marks != streaming, True))
                 if same:
-                    out.append((np.full(same, kept_mark), np.full(same, leader), docs[:same]))
+                    yield rows(np.full(same, streaming), docs[:same], np.zeros(same, np.int64))
                 marks, docs = marks[same:], docs[same:]
                 if not len(marks):
-                    yield batch_of(out)
                     continue
-                streaming, kept_mark, kept_docs = False, None, None
-            if kept_mark is not None:
-                marks = np.concatenate([np.full(len(kept_docs), kept_mark), marks])
-                docs = np.concatenate([kept_docs, docs])
-            edges = np.flatnonzero(np.diff(marks)) + 1
-            starts, stops = np.concatenate([[0], edges]), np.concatenate([edges, [len(marks)]])
-            for i in np.flatnonzero(stops[:-1] - starts[:-1] > 1):
-                found = named(marks[starts[i]], docs[starts[i]:stops[i]])
-                if found:
-                    out.append(found)
-            kept_mark, kept_docs = marks[-1], docs[starts[-1]:]
-            if len(kept_docs) > buffered:
-                leader, streaming = kept_docs[0], True
-                out.append((np.full(len(kept_docs), kept_mark), np.full(len(kept_docs), leader), kept_docs))
-            if out:
-                yield batch_of(out)
-        if kept_mark is not None and not streaming:
-            found = named(kept_mark, kept_docs)
-            if found:
-                yield batch_of([found])
+                streaming = None
+            marks, docs = np.concatenate([held_marks, marks]), np.concatenate([held_docs, docs])
+            last = int(np.searchsorted(marks == marks[-1], True))
+            found = closed(marks[:last], docs[:last])
+            if found is not None:
+                yield found
+            held_marks, held_docs = marks[last:], docs[last:]
+            if len(held_docs) > buffered:
+                streaming = int(held_marks[0])
+                named[streaming] = named.get(streaming, 0) + 1
+                yield rows(held_marks, held_docs, np.zeros(len(held_docs), np.int64))
+                held_marks = held_docs = np.zeros(0, np.int64)
+            if len(named) >= most:
+                yield counted()
+        found = closed(held_marks, held_docs)
+        if found is not None:
+            yield found
+        yield counted()
 
     return (marks.repartition("mark").sortWithinPartitions("mark", "doc_id")
-            .mapInArrow(lean(run), "block long, leader long, doc_id long"))
+            .mapInArrow(lean(run), "block long, doc_id long, marks long"))
+
+
+def _rare(members: DataFrame, marks: DataFrame, rests: DataFrame) -> DataFrame:
+    """(block, leader, doc_id): blocks without the members that need not meet there; equal blocks once.
+
+    ``members`` (block, doc_id) are distinct, ``marks`` has the number of marks of each block, ``rests`` (doc_id,
+    even, odd) how many a set may leave out: it leaves those of its largest blocks. Sets without rests
+    stay in all blocks. The order is that of (members, name of the block), which is the same for all sets.
+    """
+    sizes = members.groupBy("block").agg(F.count("*").alias("size")).where("size > 1").join(marks, "block")
+    extra = F.col("block").bitwiseAND(F.lit(2)) != 0
+    largest = Window.partitionBy("doc_id", F.col("block").bitwiseAND(F.lit(1))).orderBy(F.desc("size"), F.desc("block")).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    rest = F.when(F.col("block").bitwiseAND(F.lit(1)) == 0, F.col("even")).otherwise(F.col("odd"))
+    kept = (members.join(sizes, "block").join(rests, "doc_id", "left")
+            .withColumn("over", F.sum(F.when(extra, 0).otherwise(F.col("marks"))).over(largest))
+            .where(extra | (F.col("over") > F.coalesce(rest, F.lit(0)))).select("block", "doc_id"))
+    kept = store(kept, "kept")
+    # Members tell blocks apart from here on.
+    named = (kept.groupBy("block").agg(F.count("*").alias("size"), F.min("doc_id").alias("leader"),
+                                       F.bit_xor(F.xxhash64("doc_id")).alias("a"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("b"))
+             .where("size > 1").groupBy("size", "leader", "a", "b").agg(F.min("block").alias("block")).select("block", "leader"))
+    found = store(kept.join(named, "block").select("block", "leader", "doc_id"), "blocks")
+    discard(kept)
+    return found
 
 
 def _tokens(documents: DataFrame, rule: Rule) -> DataFrame:
@@ -338,12 +432,33 @@ def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _similar_sizes(clusters: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """(block, doc_id, n): members of a cluster whose sizes allow a link, each with its class and the next."""
+    """(block, cluster, doc_id, n): members of a cluster whose sizes allow a link, each with its class and the next."""
     bounds = F.array(*(F.lit(int(x)) for x in rule.classes))
     own = F.size(F.filter(bounds, lambda x: x <= F.col("n")))
     return (sets.select("doc_id", "n").join(clusters, "doc_id")
             .select(F.explode(F.array(own, own + 1)).alias("number"), "cluster", "doc_id", "n")
-            .select(F.xxhash64("cluster", "number").alias("block"), "doc_id", "n"))
+            .select(F.xxhash64("cluster", "number").alias("block"), "cluster", "doc_id", "n"))
+
+
+def _searched(blocks: DataFrame, clusters: DataFrame, parts: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """(block, doc_id, n): where members in several components are searched. In blocks that share members many
+    pairs meet more than once; in a cluster, which is all blocks that do, each meets once, with others
+    that no block holds together. Of the two each cluster takes the one with less to do.
+    """
+    def work(rows, name):
+        held = (rows.join(parts, "doc_id", "left").groupBy("cluster", "block", F.coalesce("component", "doc_id").alias("component"))
+                .agg(F.count("*").alias("m")).groupBy("cluster", "block").agg(
+                    F.count("*").alias("kinds"), F.sum("m").alias("m"), F.max("m").alias("top")).where("kinds > 1"))
+        return held.groupBy("cluster").agg(F.sum(F.col("m").cast("double") * (F.col("m") - F.col("top") + ROW)).alias(name))
+
+    own = (sets.select("doc_id", "n").join(blocks.select("block", "doc_id"), "doc_id").join(clusters, "doc_id")
+           .select("block", "cluster", "doc_id", "n"))
+    whole = _similar_sizes(clusters, sets, rule)
+    less = store(work(whole, "whole").join(work(own, "own"), "cluster").select("cluster", F.expr("whole <= own").alias("as_one")), "less")
+    found = store(whole.join(less.where("as_one"), "cluster").union(own.join(less.where("not as_one"), "cluster").select(*whole.columns, "as_one"))
+                  .select("block", "doc_id", "n"), "searched")
+    discard(less)
+    return found
 
 
 def _across(blocks: DataFrame, parts: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -487,21 +602,17 @@ def link(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
     met = store(_blocks(_marks(usable, rule)), "met")
     # Copies that several tasks named are one member.
     named = copies.groupBy("doc_id").agg(F.min("first").alias("first"), F.count("*").alias("sets"))
-
-    def firsts(column):
-        return named.where("sets = 1 and doc_id <> first").select(
-            F.col("doc_id").alias(column), F.col("first").alias(f"{column}_first"))
-
-    blocks = store(
-        met.join(firsts("doc_id"), "doc_id", "left").join(firsts("leader"), "leader", "left")
-        .select("block", F.coalesce("leader_first", "leader").alias("leader"),
-                F.coalesce("doc_id_first", "doc_id").alias("doc_id")).distinct(), "blocks")
+    firsts = named.where("sets = 1 and doc_id <> first").select("doc_id", "first")
+    members = met.where("doc_id is not null").join(firsts, "doc_id", "left").select(
+        "block", F.coalesce("first", "doc_id").alias("doc_id")).distinct()
+    # Several sets of one node leave no block.
+    rests = full.groupBy("doc_id").agg(*(F.when(F.min("digest") == F.max("digest"), F.min(c)).alias(c) for c in ("even", "odd")))
+    blocks = _rare(members, met.where("doc_id is null").groupBy("block").agg(F.sum("marks").alias("marks")), rests)
     discard(met)
     tidy(documents.sparkSession)
     stars = store(blocks.where("leader <> doc_id").select(
-        F.least("leader", "doc_id").alias("a"), F.greatest("leader", "doc_id").alias("b")).distinct(), "stars")
-    chosen = store(blocks.select("doc_id").union(blocks.select("leader")).distinct(), "chosen")
-    discard(blocks)
+        F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct(), "stars")
+    chosen = store(blocks.select("doc_id").distinct(), "chosen")
     # Several rows with one doc_id are several sets of one node.
     tokens = store(_tokens(usable.join(hinted(chosen, F.lit(8)), "doc_id"), rule)
                    .withColumn("n", (F.octet_length("tokens") / 8).cast("long")).where("n > 0"), "tokens")
@@ -510,11 +621,12 @@ def link(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
     parts, clusters = components(linked), components(stars)
     discard(stars, linked)
     tidy(documents.sparkSession)
-    crossed = _across(_similar_sizes(clusters.toDF("doc_id", "cluster"), tokens, rule),
-                      parts.toDF("doc_id", "component"), tokens, rule)
+    placed = parts.toDF("doc_id", "component")
+    searched = _searched(blocks, clusters.toDF("doc_id", "cluster"), placed, tokens, rule)
+    crossed = _across(searched, placed, tokens, rule)
     # Components of what the leaders linked stand for their links.
     edges = store(parts.where("id <> component").union(crossed).union(copies.where("doc_id <> first")).distinct(), "edges")
-    discard(parts, clusters, tokens, copies)
+    discard(parts, clusters, blocks, searched, tokens, copies)
     tidy(documents.sparkSession)
     whole = components(edges)
     discard(edges)

@@ -95,6 +95,47 @@ def test_join_takes_small_batches_and_workers_give_back(spark, monkeypatch):
     assert list(common.lean(lambda batches: batches)(iter([1, 2]))) == [1, 2] and given == [1]
 
 
+def test_texts_that_only_share_a_passage_are_not_searched(spark, monkeypatch):
+    across, asked = ngram_join._across, []
+    monkeypatch.setattr(ngram_join, "_across", lambda blocks, *rest: (
+        asked.append(blocks.select("doc_id").distinct().count()), across(blocks, *rest))[1])
+    passage = " ".join(f"p{i}" for i in range(42))
+    rows = [(d, " ".join(f"w{d}-{i}" for i in range(58)) + " " + passage) for d in range(300)]
+    rows.append((1000, rows[7][1] + " more"))
+    got = ngram_join.link(spark.createDataFrame(rows, DOCS), ngram_join.Rule(4, 85, 100))
+    assert rows_of(got, "doc_id", "component_id") == sorted([(d, d) for d in range(300)] + [(1000, 7)], key=repr)
+    assert asked[0] < 75
+
+
+def test_linked_sets_keep_a_mark_in_any_order():
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    for rule in (ngram_join.Rule(4, 85, 100), ngram_join.Rule(5, 80, 100)):
+        for n in (6, 9, 14, 25, 40, 90, 400):
+            for _ in range(40):
+                a = rng.integers(0, 2**64, n, dtype=np.uint64)
+                gone = rng.integers(0, int(n * (rule.over - rule.part) / (rule.over + rule.part)) + 1)
+                b = np.concatenate([a[gone:], rng.integers(0, 2**64, gone, dtype=np.uint64)])
+                a, b = np.unique(a), np.unique(b)
+                linked = rule.over * len(np.intersect1d(a, b)) >= rule.part * len(np.union1d(a, b))
+                if not linked or len(np.setxor1d(a, b)) == 0:
+                    continue
+                kept = []
+                for tokens in (a, b):
+                    bounds = np.array([0, len(tokens)])
+                    marks, _ = ngram_join.group_marks(tokens, bounds, rule)
+                    rests = ngram_join.group_rests(tokens, bounds, rule)
+                    keep = set()
+                    for parity in (0, 1):
+                        own = marks[(marks & np.uint64(1)) == parity]
+                        extra = own[(own & np.uint64(2)) != 0]
+                        own = np.sort(own[(own & np.uint64(2)) == 0])
+                        keep |= set(own[:len(own) - int(rests[parity][0])].tolist()) | set(extra.tolist())
+                    kept.append(keep)
+                assert kept[0] & kept[1], (n, gone)
+
+
 def test_count_tree_keeps_what_a_scan_keeps():
     import numpy as np
 
