@@ -137,7 +137,8 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, dro
     candidates every row but the query's own; ties go to the smaller vec_id, fewer candidates give
     fewer rows. See ``usable`` for the rows that take no part; other columns are left out. An empty
     table gives an empty one. Row blocks hold about 8192 rows and meet the queries in packs of 128,
-    so no task holds more than one of each; a block's best k rows a query are all that is shuffled.
+    so no task holds more than one of each. Packs go to blocks by a shuffle, never by a broadcast: Spark
+    sees a few queries, not how many blocks each of them goes to.
     """
     spark = vectors.sparkSession
     rows = store(usable(vectors, zero=True).select(
@@ -159,14 +160,17 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, dro
                              "qvals": [np.array(pdf["value"].tolist(), np.int64).tobytes()]})
 
     def search(batches):
+        held, block = None, None
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 ids = np.frombuffer(row.ids, np.int64)
                 values = np.frombuffer(row.vals, np.int64).reshape(len(ids), -1)
-                planes = np.frombuffer(row.planes, np.uint64).reshape(values.shape[1], row.bits, -1)
-                query_ids = np.frombuffer(row.qids, np.int64)
-                q, v, s = search_block(ids, values, row.low, planes, query_ids,
-                                       np.frombuffer(row.qvals, np.int64).reshape(len(query_ids), -1), k, dropped)
+                if row.pack < 0:  # a block, which its packs follow
+                    held = ids, values, row.low, np.frombuffer(row.planes, np.uint64).reshape(values.shape[1], row.bits, -1)
+                    block = row.block
+                if row.pack < 0 or row.block != block:  # no rows have the number of this block
+                    continue
+                q, v, s = search_block(*held, ids, values, k, dropped)
                 yield pd.DataFrame({"query_id": q, "vec_id": v, "score": s})
 
     prepare(spark)
@@ -174,11 +178,15 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, dro
              .groupBy("block").applyInPandas(build, "block int, ids binary, vals binary, low long, bits int, planes binary"))
     packed = (rows.where(asked).withColumn("pack", F.pmod(F.xxhash64("vec_id"), F.lit(packs)).cast("int"))
               .groupBy("pack").applyInPandas(pack, "pack int, qids binary, qvals binary"))
-    # The stated query set meets all rows in blocks: every pack goes to every block.
-    pairs = index.join(packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), "block")
-    # A pack is one task's work at a time; pairs spread by both keys.
-    found = (pairs.repartition(max(1, min(blocks * packs, 4 * spark.sparkContext.defaultParallelism)), "block", "pack")
-             .mapInPandas(search, "query_id long, vec_id long, score long"))
+    # The stated query set meets all rows in blocks: every pack goes to every block. A task gets a block once and
+    # its packs after it, a part of them where there are fewer blocks than make enough tasks.
+    parts = max(1, min(packs, -(-4 * spark.sparkContext.defaultParallelism // blocks)))
+    units = (index.select("block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(-1).alias("pack"),
+                          "ids", "vals", "low", "bits", "planes")
+             .union(packed.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))), F.col("pack") % parts, "pack",
+                                  "qids", "qvals", F.lit(0).cast("long"), F.lit(0), F.lit(b""))))
+    found = (units.repartitionById(blocks * parts, F.col("block") * parts + F.col("part"))
+             .sortWithinPartitions("block", "part", "pack").mapInPandas(search, "query_id long, vec_id long, score long"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

@@ -237,6 +237,18 @@ def test_bit_sliced_top_k_is_exact(spark, dropped):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_bit_sliced_packs_are_shuffled_to_blocks(spark, monkeypatch):
+    monkeypatch.setattr(bit_sliced, "BLOCK", 4)
+    monkeypatch.setattr(bit_sliced, "QUERIES", 10)
+    rows, everything = made_vectors(3, 200, 4)
+    found = bit_sliced.top_k(spark.createDataFrame(everything, VECTORS), every=5, k=3)
+    assert "Join" not in found._jdf.queryExecution().toString()
+    q = np.floor(256 * np.array([r[1] for r in rows])).astype(int)
+    want = [(i, rank + 1, int(j), int((q @ q[i])[j])) for i in range(0, 200, 5) for rank, j in enumerate(
+        [j for j in np.lexsort((np.arange(200), -(q @ q[i]))) if j != i][:3])]
+    assert sorted(map(tuple, found.collect())) == want
+
+
 def test_bit_sliced_over_several_blocks_few_rows_and_none(spark, monkeypatch):
     monkeypatch.setattr(bit_sliced, "BLOCK", 64)
     monkeypatch.setattr(bit_sliced, "QUERIES", 10)
